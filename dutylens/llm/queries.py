@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dutylens.llm import bpe, mixing, pii, simhash, toxicity
+from dutylens.llm import ann, bpe, line_frequency, mixing, pii, sharding, simhash, token_scan, toxicity, warc_fixity
 
 #: The key of the pseudonyms in these queries; a real run brings its own.
 PII_KEY = "dutylens-demonstration-key"
@@ -24,6 +24,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_scan.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), end_id=50256)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.0, max_passes=3)
 
@@ -32,10 +36,27 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
 
+def op4_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A replica of all pages, audited against one with planted damage: first characters and whole payloads."""
+    pages = table(spark, sf_dir, "pages")
+    n_files = max(1, -(-pages.count() // 1000))
+    html = F.coalesce(F.col("html"), F.lit(""))
+    damaged = F.when(F.col("page_id") % 97 == 11, F.concat(F.lit("X"), F.substring(html, F.lit(2), F.length(html)))).when(F.col("page_id") % 389 == 7, F.repeat(F.lit("0"), F.octet_length(html))).otherwise(html)
+    return warc_fixity.audit(warc_fixity.archive(pages, n_files), warc_fixity.archive(pages, n_files, damaged))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), n_shards=8)
+
+
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, found="n_private")
 
@@ -45,6 +66,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_frequency.judge(table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -68,16 +93,58 @@ FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source JOIN k ON d.source IS NO
 """
 
 
+OP4_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, coalesce(html, '') AS html, ('0x' || substr(md5(concat_ws('|', coalesce(CAST(page_id AS VARCHAR), ''), coalesce(url, ''))), 1, 8))::BIGINT
+    % (SELECT greatest(1, ceil(count(*) / 1000.0))::BIGINT FROM pages) AS file
+  FROM pages),
+d AS (SELECT *, CASE WHEN page_id % 97 = 11 THEN 'X' || substr(html, 2) WHEN page_id % 389 = 7 THEN repeat('0', strlen(html)) ELSE html END AS other FROM p),
+r AS (SELECT file::INT AS file, page_id, url,
+    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10)
+      || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' AS head, chr(13) || chr(10) || chr(13) || chr(10) AS gap, html, other FROM d),
+h AS (SELECT file, page_id, url, strlen(head || strlen(html) || gap || html || gap) AS length, sha256(head || strlen(html) || gap || html || gap) AS expected, sha256(head || strlen(other) || gap || other || gap) AS found FROM r),
+o AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id NULLS FIRST, url NULLS FIRST, expected ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM h)
+SELECT file, page_id, url, "offset", length::BIGINT AS length, 'altered' AS fault, expected, found FROM o WHERE expected <> found
+"""
+
+OP10_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('h' || source, '') AS host, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT r, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM d),
+t AS (SELECT r, i, concat_ws(chr(1), w, lead(w) OVER o, lead(w, 2) OVER o) AS t FROM w WINDOW o AS (PARTITION BY r ORDER BY i) QUALIFY lead(w, 2) OVER o IS NOT NULL),
+b AS (SELECT r, i FROM t QUALIFY count(*) OVER (PARTITION BY r, t) > 1),
+n AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM b, (VALUES (0), (1), (2)) v(k) GROUP BY r),
+l AS (SELECT r, host, text, x AS line, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words,
+    regexp_replace(array_to_string(regexp_extract_all(lower(x), '[^\x20\x09-\x0D]+'), ' '), '[0-9]', '0', 'g') AS normal
+  FROM (SELECT r, host, text, unnest(string_split(text, chr(10))) AS x FROM d) WHERE len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) > 0),
+dup AS (SELECT r, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines FROM l GROUP BY r),
+docs AS (SELECT host, count(*) AS docs FROM (SELECT DISTINCT host, text FROM d) GROUP BY host),
+often AS (SELECT host, normal FROM (SELECT host, normal, count(DISTINCT text) AS n FROM l GROUP BY host, normal) JOIN docs USING (host) WHERE n > greatest(10, docs * 0.01::DOUBLE)),
+lost AS (SELECT r, sum(words)::BIGINT AS removed_words FROM l JOIN often USING (host, normal) GROUP BY r),
+f AS (SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(list_sum(list_transform(d.words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    (length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(removed_words, 0)::BIGINT AS removed_words
+  FROM d LEFT JOIN n USING (r) LEFT JOIN dup USING (r) LEFT JOIN lost USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+  (NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND removed_words <= 0.5 * n_words) AS kept, removed_words FROM f
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_module("corpus_pipeline").run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_tokens": op1_tokens,
     "op2_mixing": op2_mixing,
     "op3_toxicity": op3_toxicity,
+    "op4_fixity": op4_fixity,
     "op5_bpe": op5_bpe,
+    "op6_sharding": op6_sharding,
+    "op7_ann": op7_ann,
     "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
+    "op10_line_frequency": op10_line_frequency,
     "pipeline": pipeline,
 }
-SQL: dict[str, str] = {"op2_mixing": OP2_SQL}
+SQL: dict[str, str] = {"op2_mixing": OP2_SQL, "op4_fixity": OP4_SQL, "op10_line_frequency": OP10_SQL}
