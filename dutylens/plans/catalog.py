@@ -1,10 +1,419 @@
-"""Every query over the obligation engine, with the SQL that says the same."""
+"""Every query over the obligation engine, with the SQL that says the same where SQL can.
+
+Queries run over whole tables. The SQL is written for DuckDB, from the same rule tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from dutylens.functions import lexicon as L
+from dutylens.functions.text import stable_id
+from dutylens.functions.vectors import cosine
+from dutylens.operators import candidates, corpus, detect, embed, evaluate, extract, ingest, normalize, staleness, verify
+from dutylens.plans import corpora, pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+TODAY = date(2026, 1, 1)
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---------------------------------------------------------------- SQL parts
+
+
+def q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def has(c: str, p: str) -> str:
+    return f"regexp_matches({c}, {q('(?i)' + p)})"
+
+
+def first(c: str, patterns: list[str]) -> str:
+    return "coalesce(" + ", ".join(f"nullif(regexp_extract({c}, {q('(?i)' + p)}), '')" for p in patterns) + ")"
+
+
+def frag(c: str) -> str:
+    return rf"nullif(trim(regexp_replace({c}, '\s+', ' ', 'g'), ' ' || chr(9) || chr(13) || chr(10) || ',;:.-'), '')"
+
+
+def by_rule(value) -> str:
+    return "CASE rule " + " ".join(f"WHEN {i} THEN {value(w)}" for i, (w, *_) in enumerate(L.MODALITY)) + " END"
+
+
+def picked(values: list, i: str = "rule") -> str:
+    return "([" + ", ".join(q(v) if isinstance(v, str) else str(v) for v in values) + f"])[{i} + 1]"
+
+
+STOPS = "|".join([*L.FREQUENCY, *L.SCOPE, rf"\b(?:{L.CONDITION_OPENERS})\s+.", rf"\b(?:{L.EXCEPTION_OPENERS})\s+."])
+TOPIC_SQL = "CASE " + " ".join(f"WHEN {has('lower(sentence)', '|'.join(w))} THEN {q(t)}" for t, w in L.TOPICS.items()) + " END"
+TECH_SQL = "list_filter([" + ", ".join(f"CASE WHEN {has('sentence', p)} THEN {q(n)} END" for n, p in L.TECHNOLOGY) + "], lambda x: x IS NOT NULL)"
+RULES_SQL = "CASE " + " ".join(f"WHEN {has('sentence', L.phrase(w))} THEN {i}" for i, (w, *_) in enumerate(L.MODALITY)) + " END"
+
+EXTRACT_SQL = rf"""o AS ({corpora.SENTENCES_SQL}),
+m AS (SELECT *, {has("sentence", L.passive())} AS passive, {RULES_SQL} AS rule FROM o),
+r AS (SELECT *, {by_rule(lambda w: f"regexp_extract(sentence, {q('(?is)^(.*?)' + L.phrase(w))}, 1)")} AS before,
+  {by_rule(lambda w: f"regexp_extract(sentence, {q('(?is)^.*?' + L.phrase(w) + '(.*)$')}, 1)")} AS after FROM m WHERE passive OR rule IS NOT NULL),
+c AS (SELECT *, trim(regexp_replace(trim(regexp_extract(regexp_replace(trim(after), '(?i)^from\s+', ''), {q("(?is)^(.*?)(?:" + STOPS + "|$)")}, 1)), '\s+', ' ', 'g'), ' ,;:.-') AS rest FROM r),
+x AS (SELECT ord, policy_id, section_id, sentence, 'obligation_' || substr(sha256(policy_id || ':' || section_id || ':' || sentence), 1, 16) AS obligation_id,
+  CASE WHEN passive THEN lower({frag(f"regexp_extract(sentence, {q('(?i)' + L.passive())}, 2)")}) ELSE {frag("before")} END AS subject,
+  CASE WHEN passive THEN lower({frag(f"regexp_extract(sentence, {q('(?i)' + L.passive())}, 1)")}) ELSE {frag("lower(split_part(rest, ' ', 1))")} END AS action,
+  CASE WHEN NOT passive THEN {frag("CASE WHEN contains(rest, ' ') THEN substr(rest, strpos(rest, ' ') + 1) END")} END AS object,
+  CASE WHEN passive THEN lower({frag(f"regexp_extract(sentence, {q('(?i)' + L.passive())}, 2)")}) ELSE {frag("lower(" + first("sentence", L.SCOPE) + ")")} END AS scope,
+  CASE WHEN passive THEN 'PROHIBITED' ELSE {picked([m[1] for m in L.MODALITY])} END AS modality,
+  CASE WHEN passive THEN true ELSE {picked([str(m[2]).lower() for m in L.MODALITY])}::BOOLEAN END AS negated,
+  CASE WHEN passive THEN 1.0 ELSE {picked([m[3] for m in L.MODALITY])} END::DOUBLE AS strength,
+  {TECH_SQL} AS technology, {frag("lower(" + first("sentence", L.FREQUENCY) + ")")} AS frequency,
+  {frag(f"nullif(regexp_extract(sentence, {q('(?i)' + L.condition())}, 1), '')")} AS condition, {frag(f"nullif(regexp_extract(sentence, {q('(?i)' + L.exception())}, 1), '')")} AS exception, {TOPIC_SQL} AS topic FROM c),
+x2 AS (SELECT *, round(least(1.0, 0.5 + CASE WHEN subject IS NULL THEN 0 ELSE 0.15 END + CASE WHEN action IS NULL THEN 0 ELSE 0.15 END + CASE WHEN object IS NULL THEN 0 ELSE 0.1 END + 0.1 * strength)::DOUBLE, 3) AS confidence FROM x)"""
+
+
+def case_of(c: str, entries: dict[str, str]) -> str:
+    return f"CASE {c} " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in entries.items()) + f" ELSE {c} END"
+
+
+def _plain_object() -> str:
+    out = "lower(object)"
+    for p in L.USING_PHRASES:
+        out = f"regexp_replace({out}, {q(p)}, '', 'gi')"
+    for name, _ in L.TECHNOLOGY:
+        escaped = name.replace(".", r"\.").replace("-", r"\-")
+        out = f"CASE WHEN list_contains(technology, {q(name)}) THEN regexp_replace({out}, {q(chr(92) + 's+(?:using|with|via)' + chr(92) + 's+' + escaped + chr(92) + 'b')}, '', 'gi') ELSE {out} END" if name in corpora.TECH else out
+    return out
+
+
+EVERY = r"^every\s+(\d+)\s+(minute|hour|day|week|month|year)s?$"
+FREQUENCY_SQL = f"""CASE WHEN frequency IN ({", ".join(map(q, L.FREQUENCY_ALIASES))}) THEN {case_of("frequency", L.FREQUENCY_ALIASES)}
+  WHEN regexp_matches(frequency, {q(EVERY)}) THEN 'every ' || regexp_extract(frequency, {q(EVERY)}, 1)::BIGINT || ' ' || regexp_extract(frequency, {q(EVERY)}, 2) || CASE WHEN regexp_extract(frequency, {q(EVERY)}, 1)::BIGINT = 1 THEN '' ELSE 's' END
+  ELSE frequency END"""
+NORMAL_SQL = rf"""{EXTRACT_SQL},
+n AS (SELECT ord, policy_id, section_id, sentence, obligation_id, {case_of("lower(subject)", L.SUBJECT_SYNONYMS)} AS subject, {case_of("lower(action)", L.ACTION_SYNONYMS)} AS action,
+  nullif(trim(regexp_replace({_plain_object()}, '\s+', ' ', 'g'), ' ,;:.-'), '') AS object, regexp_replace(lower(scope), '^(for|during|on|within) ', '') AS scope, {FREQUENCY_SQL} AS frequency,
+  lower(condition) AS condition, lower(exception) AS exception, CASE WHEN negated THEN 'PROHIBITED' ELSE modality END AS modality, (negated OR modality = 'PROHIBITED') AS negated,
+  CASE WHEN negated OR modality IN ('PROHIBITED', 'REQUIRED') THEN 1.0 WHEN modality = 'RECOMMENDED' THEN 0.8 ELSE 0.7 END::DOUBLE AS strength, technology, topic, confidence FROM x2)"""
+VECTOR_SQL = rf"""{NORMAL_SQL},
+e AS MATERIALIZED (SELECT *, concat_ws(' | ', subject, action, object, scope, frequency, nullif(array_to_string(technology, ' '), ''), condition, exception) AS t FROM n),
+tok AS (SELECT t, regexp_extract_all(lower(t), '[a-z0-9]+(?:[.-][a-z0-9]+)*') AS k FROM (SELECT DISTINCT t FROM e)),
+feat AS (SELECT t, unnest(list_concat(k, list_transform(range(1, len(k)), lambda i: k[i] || '::' || k[i + 1]))) AS f FROM tok),
+vec AS MATERIALIZED (SELECT t, (('0x' || substr(sha256(f), 1, 16))::UBIGINT % 384)::INT AS place, sum(CASE WHEN ('0x' || substr(sha256(f), 17, 2))::INT % 2 = 0 THEN 1 ELSE -1 END)::BIGINT AS v FROM feat GROUP BY ALL HAVING v <> 0),
+sq AS MATERIALIZED (SELECT t, sum(v * v)::BIGINT AS sq FROM vec GROUP BY t)"""
+PAIRS_SQL = rf"""{VECTOR_SQL},
+a AS MATERIALIZED (SELECT e.*, coalesce(sq, 0) AS sq FROM e LEFT JOIN sq USING (t)),
+anchor AS (SELECT ord, coalesce('t' || topic, '') AS tp, 'a' AS kind, action AS anchor FROM a WHERE action IS NOT NULL UNION ALL SELECT ord, coalesce('t' || topic, ''), 'o', object FROM a WHERE object IS NOT NULL
+  UNION ALL SELECT ord, coalesce('t' || topic, ''), 't', unnest(technology) FROM a),
+ids AS MATERIALIZED (SELECT DISTINCT x.ord AS src_ord, y.ord AS tgt_ord FROM anchor x JOIN anchor y ON x.tp = y.tp AND x.kind = y.kind AND x.anchor = y.anchor AND x.ord < y.ord),
+p0 AS MATERIALIZED (SELECT src_ord, tgt_ord, s, g, s.t AS st, g.t AS gt FROM ids JOIN a s ON s.ord = src_ord JOIN a g ON g.ord = tgt_ord
+  WHERE NOT (s.policy_id = g.policy_id AND s.section_id = g.section_id AND s.sentence = g.sentence)),
+tp AS (SELECT DISTINCT st, gt FROM p0),
+dots AS MATERIALIZED (SELECT st, gt, sum(x.v * y.v)::BIGINT AS dot FROM tp JOIN vec x ON x.t = st JOIN vec y ON y.t = gt AND y.place = x.place GROUP BY st, gt),
+p AS MATERIALIZED (SELECT src_ord, tgt_ord, s, g, CASE WHEN s.sq = 0 OR g.sq = 0 THEN 0.0 ELSE least(1.0, greatest(-1.0, coalesce(dot, 0)::DOUBLE / sqrt(s.sq::DOUBLE * g.sq::DOUBLE))) END AS cosine,
+  s.policy_id = g.policy_id AS same_policy, s.subject IS NOT DISTINCT FROM g.subject AS same_subject, s.action IS NOT DISTINCT FROM g.action AS same_action, s.object IS NOT DISTINCT FROM g.object AS same_object,
+  s.scope IS NOT DISTINCT FROM g.scope AS same_scope, s.frequency IS NOT DISTINCT FROM g.frequency AS same_frequency, s.modality <> g.modality AS modality_mismatch, s.negated <> g.negated AS negation_mismatch
+  FROM p0 LEFT JOIN dots USING (st, gt)),
+cand AS MATERIALIZED (SELECT *, same_subject::INT + same_action::INT + same_object::INT + same_scope::INT + same_frequency::INT AS n_same FROM p WHERE cosine >= 0.55)"""
+# Texts of different customers share neither action nor object, which keeps their cosine far below 0.95, so near texts are looked for within an action.
+FREQ_SQL = rf"""{PAIRS_SQL},
+keyed AS (SELECT ord, policy_id, t, action, regexp_replace(regexp_replace(trim(lower(sentence)), '\s+', ' ', 'g'), '[^\w\s]', '', 'g') AS key FROM a),
+ta AS (SELECT DISTINCT t, action FROM a), tt AS (SELECT x.t AS st, y.t AS gt FROM ta x JOIN ta y ON x.action = y.action),
+near AS (SELECT st, gt FROM (SELECT st, gt, sum(x.v * y.v) AS dot FROM tt JOIN vec x ON x.t = st JOIN vec y ON y.t = gt AND y.place = x.place GROUP BY st, gt) JOIN sq a1 ON a1.t = st JOIN sq a2 ON a2.t = gt WHERE dot::DOUBLE / sqrt(a1.sq::DOUBLE * a2.sq::DOUBLE) >= 0.95),
+seen AS (SELECT k.ord, o.policy_id FROM keyed k JOIN keyed o ON o.key = k.key UNION SELECT k.ord, o.policy_id FROM keyed k JOIN near ON near.st = k.t JOIN keyed o ON o.t = near.gt),
+freq AS MATERIALIZED (SELECT ord, count(DISTINCT policy_id)::INT AS corpus_frequency FROM seen GROUP BY ord)"""
+
+
+def days(c: str) -> str:
+    p = q(r"^every (\d+) (minute|hour|day|week|month|year)s?$")
+    unit = "CASE regexp_extract(" + c + f", {p}, 2) " + " ".join(f"WHEN {q(k)} THEN {v!r}::DOUBLE" for k, v in L.UNIT_DAYS.items()) + " END"
+    return f"CASE WHEN regexp_matches({c}, {p}) THEN regexp_extract({c}, {p}, 1)::DOUBLE * {unit} END"
+
+
+def compat(c: str) -> str:
+    return f"(s.{c} IS NULL OR g.{c} IS NULL OR s.{c} = g.{c})"
+
+
+FINDINGS_SQL = rf"""{FREQ_SQL},
+d AS (SELECT cand.*, f1.corpus_frequency AS f1, f2.corpus_frequency AS f2, {days("s.frequency")} AS d1, {days("g.frequency")} AS d2,
+  same_action AND same_object AND {compat("subject")} AND {compat("scope")} AND (len(s.technology) = 0 OR len(g.technology) = 0 OR list_has_any(s.technology, g.technology)) AS ok
+  FROM cand JOIN freq f1 ON f1.ord = src_ord JOIN freq f2 ON f2.ord = tgt_ord),
+k AS (SELECT *, CASE WHEN NOT ok THEN NULL WHEN negation_mismatch AND (s.modality = 'PROHIBITED' OR g.modality = 'PROHIBITED') THEN 'CONTRADICTION'
+  WHEN NOT s.negated AND NOT g.negated AND d1 <> d2 THEN 'FREQUENCY_MISMATCH' WHEN NOT s.negated AND NOT g.negated AND same_frequency AND modality_mismatch THEN 'MODALITY_INCONSISTENCY'
+  WHEN f1 < 5 AND f2 < 5 AND NOT modality_mismatch AND NOT negation_mismatch AND same_frequency AND cosine >= 0.95 THEN 'REDUNDANCY' END AS finding_type FROM d),
+f AS (SELECT 'finding_' || substr(sha256(finding_type || ':' || least(s.obligation_id, g.obligation_id) || ':' || greatest(s.obligation_id, g.obligation_id)), 1, 16) AS finding_id, finding_type,
+  s.obligation_id AS source_obligation_id, g.obligation_id AS target_obligation_id,
+  CASE finding_type WHEN 'CONTRADICTION' THEN CASE WHEN s.modality = 'REQUIRED' OR g.modality = 'REQUIRED' THEN 'CRITICAL' ELSE 'HIGH' END
+    WHEN 'FREQUENCY_MISMATCH' THEN CASE WHEN least(d1, d2) <= 0 THEN 'LOW' WHEN greatest(d1, d2) / least(d1, d2) >= 4 THEN 'HIGH' WHEN greatest(d1, d2) / least(d1, d2) >= 2 THEN 'MEDIUM' ELSE 'LOW' END
+    WHEN 'MODALITY_INCONSISTENCY' THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+  round(least(1.0, greatest(0.0, CASE finding_type WHEN 'CONTRADICTION' THEN 0.80::DOUBLE WHEN 'FREQUENCY_MISMATCH' THEN 0.65::DOUBLE WHEN 'MODALITY_INCONSISTENCY' THEN 0.55::DOUBLE ELSE 0.45::DOUBLE END + 0.10::DOUBLE * cosine
+    + 0.05::DOUBLE * (n_same / 5.0::DOUBLE) + 0.05::DOUBLE * ((s.confidence + g.confidence) / 2.0::DOUBLE) + CASE WHEN (s.scope IS NULL) <> (g.scope IS NULL) THEN -0.10::DOUBLE ELSE 0.0::DOUBLE END)), 4) AS deterministic_score,
+  round(least(1.0, greatest(0.0, 0.65::DOUBLE * cosine + 0.35::DOUBLE * ((s.confidence + g.confidence) / 2.0::DOUBLE))), 4) AS confidence, src_ord, tgt_ord, cosine, s, g
+  FROM k WHERE finding_type IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY finding_id ORDER BY cosine DESC, least(s.obligation_id, g.obligation_id), greatest(s.obligation_id, g.obligation_id), src_ord, tgt_ord) = 1)"""
+
+# ---------------------------------------------------------------- ingestion
+
+
+@query(r"""SELECT doc_id, strlen(t) AS n_bytes, sha256(t) AS sha, 'policy_' || substr(sha256('/documents/' || doc_id || '.txt:' || t), 1, 16) AS policy_id, len(string_split(t, chr(10)))::INT AS n_lines
+FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '[ \t]+(\n|$)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), chr(13), '', 'g'), ' ' || chr(10) || chr(9)) AS t FROM documents)""")
+def ingest_clean_text(spark, sf):
+    t = ingest.clean_text(F.col("text"))
+    d = table(spark, sf, "documents").select("doc_id", t.alias("t"))
+    return d.select("doc_id", F.octet_length("t").cast("long").alias("n_bytes"), F.sha2("t", 256).alias("sha"), stable_id("policy", F.concat(F.lit("/documents/"), F.col("doc_id").cast("string"), F.lit(".txt:"), F.col("t"))).alias("policy_id"), F.size(F.split("t", "\n")).alias("n_lines"))
+
+
+@query(r"""SELECT doc_id, (i - 1)::INT AS sentence_index, p[i] AS sentence FROM (
+  SELECT doc_id, p, unnest(generate_series(1, len(p))) AS i FROM (SELECT doc_id, list_filter(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: x <> '') AS p FROM documents))""")
+def ingest_sentences(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(ingest.split_sentences(F.col("text"))).alias("sentence_index", "sentence"))
+
+
+LINES_SQL = rf"""raw AS ({corpora.DOCUMENTS_SQL}),
+clean AS (SELECT doc, path, trim(regexp_replace(regexp_replace(replace(raw, chr(13), ''), '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS text FROM raw),
+pol AS (SELECT *, 'policy_' || substr(sha256(path || ':' || text), 1, 16) AS policy_id FROM clean)"""
+
+
+@query(rf"""WITH {LINES_SQL} SELECT doc, policy_id, regexp_extract(text, '# (.*)', 1) AS title, regexp_extract(text, 'Version: (.*)', 1) AS version, regexp_extract(text, 'Owner:\*\* (.*)', 1) AS owner, NULL::VARCHAR AS department,
+  CAST(regexp_extract(text, 'Reviewed:\*\* (.*)', 1) AS DATE)::VARCHAR AS review_date, CASE WHEN doc % 3 = 0 THEN 'active' END AS status, '.md' AS file_type, length(text)::INT AS character_count FROM pol""")
+def ingest_metadata(spark, sf):
+    return ingest.policies(corpora.documents(spark, sf)).select("doc", "policy_id", "title", "version", "owner", "department", F.col("review_date").cast("string").alias("review_date"), "status", "file_type", "character_count")
+
+
+SECTIONS_SQL = rf"""{LINES_SQL},
+l AS (SELECT doc, policy_id, i, s[i] AS line FROM (SELECT doc, policy_id, s, unnest(generate_series(1, len(s))) AS i FROM (SELECT *, string_split(text, chr(10)) AS s FROM pol))),
+h AS (SELECT *, coalesce(nullif(regexp_extract(line, '^\s*#{{2,6}}\s+(.+?)\s*$', 1), ''), nullif(regexp_extract(line, '^\s*\d+(?:\.\d+)*[.)]?\s+(.+?)\s*$', 1), '')) AS heading FROM l),
+b AS (SELECT *, count(heading) OVER (PARTITION BY doc ORDER BY i) AS block FROM h),
+k AS (SELECT doc, policy_id, block, max(heading) AS title, string_agg(trim(line), chr(10) ORDER BY i) FILTER (heading IS NULL AND trim(line) <> '' AND NOT regexp_matches(trim(line), '(?i)^\s*((title|#)\s*:?\s*.+|(version|owner|author|department|effective\s+date|review\s+date|last\s+reviewed|status)\s*:.+)$')) AS text FROM b GROUP BY ALL),
+s AS (SELECT doc, policy_id, title, text, (row_number() OVER (PARTITION BY doc ORDER BY block) - 1)::INT AS section_index FROM k WHERE text IS NOT NULL)"""
+
+
+@query(rf"WITH {SECTIONS_SQL} SELECT doc, section_index, 'section_' || substr(sha256(policy_id || ':' || section_index || ':' || coalesce(title, 'document')), 1, 16) AS section_id, title, text FROM s")
+def ingest_sections(spark, sf):
+    return ingest.sections(ingest.policies(corpora.documents(spark, sf))).select("doc", "section_index", "section_id", "title", "text")
+
+
+@query()
+def ingest_policy_sentences(spark, sf):
+    return ingest.sentences(ingest.sections(ingest.policies(corpora.documents(spark, sf)))).select("doc", "section_index", "sentence_index", "sentence")
+
+
+# ---------------------------------------------------------------- extraction and normalisation
+
+
+def flat(d: DataFrame, *more: str) -> DataFrame:
+    """Obligations with technology as text."""
+    cols = ["ord", "obligation_id", "subject", "action", "object", "scope", "frequency", "condition", "exception", "topic", "modality", "negated", "strength", "confidence"]
+    return d.select(*cols, F.array_join("technology", ",").alias("technology"), *more)
+
+
+FLAT_SQL = "SELECT ord, obligation_id, subject, action, object, scope, frequency, condition, exception, topic, modality, negated, strength, confidence, array_to_string(technology, ',') AS technology"
+
+
+@query(f"WITH {EXTRACT_SQL} {FLAT_SQL} FROM x2")
+def extract_obligations(spark, sf):
+    return flat(extract.extract(corpora.sentences(spark, sf)))
+
+
+@query(f"WITH {EXTRACT_SQL} SELECT modality, topic, count(*) AS n FROM x GROUP BY ALL")
+def extract_counts(spark, sf):
+    return extract.extract(corpora.sentences(spark, sf)).groupBy("modality", "topic").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {NORMAL_SQL} {FLAT_SQL} FROM n")
+def normalize_obligations(spark, sf):
+    return flat(normalize.normalize(extract.extract(corpora.sentences(spark, sf))))
+
+
+# ---------------------------------------------------------------- vectors
+
+
+def obligations(spark, sf) -> DataFrame:
+    """Persisted, as the operators after it read it several times."""
+    return pipeline.obligations_of(corpora.sentences(spark, sf)).persist()
+
+
+@query(f"WITH {VECTOR_SQL} SELECT ord, t AS embedding_text, sq, places, mark FROM e JOIN (SELECT t, sum(v * v)::BIGINT AS sq, count(*)::INT AS places, sum(place * v)::BIGINT AS mark FROM vec GROUP BY t) USING (t)")
+def embed_hash_vectors(spark, sf):
+    mark = F.aggregate(F.zip_with("vector.idx", "vector.val", lambda i, v: i.cast("long") * v), F.lit(0).cast("long"), lambda a, x: a + x)
+    return obligations(spark, sf).select("ord", "embedding_text", F.col("vector.sq").alias("sq"), F.size("vector.idx").alias("places"), mark.alias("mark"))
+
+
+@query("""SELECT a, b, round(c, 5) AS cosine FROM (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS c FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id) WHERE c >= 0.8""")
+def cosine_pairs(spark, sf):
+    e = table(spark, sf, "embeddings")
+    side = lambda s: e.select("label", F.col("vec_id").alias(s), F.col("embedding").alias(f"v{s}"))
+    return side("a").join(side("b"), "label").where("a < b").withColumn("c", cosine(F.col("va"), F.col("vb"))).where("c >= 0.8").select("a", "b", F.round("c", 5).alias("cosine"))
+
+
+# ---------------------------------------------------------------- candidates and findings
+
+
+PAIR = "src_ord, tgt_ord, round(cosine, 9) AS cosine, same_policy, same_subject, same_action, same_object, same_scope, same_frequency, modality_mismatch, negation_mismatch, n_same::INT AS n_same"
+
+
+def plain(pairs: DataFrame) -> DataFrame:
+    return pairs.select("src_ord", "tgt_ord", F.round("cosine", 9).alias("cosine"), "same_policy", "same_subject", "same_action", "same_object", "same_scope", "same_frequency", "modality_mismatch", "negation_mismatch", F.col("n_same").cast("int").alias("n_same"))
+
+
+@query(f"WITH {PAIRS_SQL} SELECT {PAIR} FROM cand")
+def candidates_flags(spark, sf):
+    return plain(candidates.candidates(obligations(spark, sf), top_k=None))
+
+
+@query(f"WITH {PAIRS_SQL} SELECT src_ord, tgt_ord, row_number() OVER (ORDER BY modality_mismatch DESC, negation_mismatch DESC, cosine DESC, n_same DESC, least(s.obligation_id, g.obligation_id) DESC, greatest(s.obligation_id, g.obligation_id) DESC, src_ord, tgt_ord) AS place FROM cand QUALIFY place <= 100")
+def candidates_priority(spark, sf):
+    """The hundred most urgent pairs."""
+    best = candidates.candidates(obligations(spark, sf), top_k=None).orderBy(*candidates.priority()).limit(100)
+    from pyspark.sql.window import Window
+
+    return best.withColumn("place", F.row_number().over(Window.orderBy(*candidates.priority())).cast("long")).select("src_ord", "tgt_ord", "place")
+
+
+@query()
+def candidates_topk(spark, sf):
+    """At most 20 pairs for each obligation; tests hold it against a pass in order."""
+    return plain(candidates.candidates(obligations(spark, sf)))
+
+
+@query(f"WITH {FREQ_SQL} SELECT ord, corpus_frequency FROM freq")
+def corpus_frequency(spark, sf):
+    return corpus.corpus_frequency(obligations(spark, sf)).select("ord", "corpus_frequency")
+
+
+@query(f"WITH {FREQ_SQL} SELECT CASE WHEN corpus_frequency <= 3 THEN corpus_frequency::VARCHAR WHEN corpus_frequency <= 6 THEN '4-6' WHEN corpus_frequency <= 10 THEN '7-10' ELSE '11+' END AS bucket, count(*) AS n FROM freq GROUP BY 1")
+def corpus_histogram(spark, sf):
+    return evaluate.frequency_histogram(corpus.corpus_frequency(obligations(spark, sf)))
+
+
+def found(spark, sf) -> DataFrame:
+    o = corpus.corpus_frequency(obligations(spark, sf)).persist()
+    return detect.findings(candidates.candidates(o, top_k=None), o)
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT finding_id, finding_type, source_obligation_id, target_obligation_id, severity, deterministic_score, confidence FROM f")
+def findings_all(spark, sf):
+    return found(spark, sf).select("finding_id", "finding_type", "source_obligation_id", "target_obligation_id", "severity", "deterministic_score", "confidence")
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT finding_type, severity, count(*) AS n FROM f GROUP BY ALL")
+def stats_by_type_severity(spark, sf):
+    return found(spark, sf).groupBy("finding_type", "severity").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT finding_id, s.policy_id AS source_policy_id, g.policy_id AS target_policy_id, s.frequency AS source_frequency, g.frequency AS target_frequency, round(cosine, 4) AS cosine_similarity FROM f WHERE finding_type = 'FREQUENCY_MISMATCH'")
+def find_frequency_mismatch(spark, sf):
+    return found(spark, sf).where("finding_type = 'FREQUENCY_MISMATCH'").select("finding_id", *[F.col(f"evidence.{c}").alias(c) for c in ("source_policy_id", "target_policy_id", "source_frequency", "target_frequency", "cosine_similarity")])
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT CASE WHEN deterministic_score >= 0.95 THEN 'bypass' WHEN deterministic_score < 0.50 THEN 'drop' ELSE 'verify' END AS route, finding_type, count(*) AS n FROM f GROUP BY ALL")
+def verify_routing(spark, sf):
+    return found(spark, sf).groupBy(verify.route(F.col("deterministic_score")).alias("route"), "finding_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN true WHEN 1 THEN false END AS verified, CASE c_custkey % 7 WHEN 0 THEN 0.75 WHEN 1 THEN 1.0 END::DOUBLE AS confidence, CASE c_custkey % 7 WHEN 0 THEN 'fine' WHEN 1 THEN 'no' END AS explanation FROM customer")
+def verify_parse(spark, sf):
+    replies = ['{"verified": true, "confidence": 0.75, "explanation": " fine "}', '{"verified": false, "confidence": 7, "explanation": "no"}', '{"verified": "yes", "confidence": 0.5, "explanation": "x"}', '{"verified": true, "confidence": true, "explanation": "x"}', '{"verified": true, "confidence": 0.5, "explanation": " "}', "[]", "not json"]
+    reply = verify.parsed(corpora.pick(replies, F.col("c_custkey")))
+    return table(spark, sf, "customer").select("c_custkey", reply.alias("r")).select("c_custkey", "r.verified", "r.confidence", "r.explanation")
+
+
+# ---------------------------------------------------------------- staleness
+
+
+@query("""WITH p AS (SELECT 'policy_' || s_suppkey AS policy_id, s_name AS title, (DATE '2022-01-01' + (s_suppkey * 37 % 1600)::INT) AS d FROM supplier)
+SELECT 'finding_' || substr(sha256('STALE_POLICY:' || policy_id || ':' || d::DATE::VARCHAR), 1, 16) AS finding_id, policy_id, (DATE '2026-01-01' - d::DATE)::INT AS age_days, round_even((DATE '2026-01-01' - d::DATE) / 30.4::DOUBLE, 0)::INT AS months_overdue,
+  'Policy ''' || title || ''' was last scheduled for review on ' || d::DATE::VARCHAR || ' (' || round_even((DATE '2026-01-01' - d::DATE) / 30.4::DOUBLE, 0)::INT || ' months ago), which exceeds the 18-month staleness threshold.' AS explanation
+FROM p WHERE DATE '2026-01-01' - d::DATE > 548""")
+def stale_policies(spark, sf):
+    d = table(spark, sf, "supplier").select(F.concat(F.lit("policy_"), F.col("s_suppkey").cast("string")).alias("policy_id"), F.col("s_name").alias("title"), F.date_add(F.lit("2022-01-01").cast("date"), (F.col("s_suppkey") * 37 % 1600).cast("int")).alias("review_date"))
+    return staleness.stale_policies(d, TODAY).select("finding_id", "policy_id", "age_days", "months_overdue", "explanation")
+
+
+@query(f"WITH {NORMAL_SQL}, refs AS (SELECT DISTINCT policy_id, obligation_id, term FROM (SELECT policy_id, obligation_id, unnest(technology) AS term FROM n) WHERE lower(term) IN ({', '.join(q(t.lower()) for t in L.DEPRECATED)})) "
+       "SELECT 'finding_' || substr(sha256('STALE_REFERENCE:' || policy_id || ':' || term || ':' || obligation_id), 1, 16) AS finding_id, policy_id, obligation_id AS source_obligation_id, term AS subject_of, 'HIGH' AS severity FROM refs")
+def stale_references(spark, sf):
+    d = normalize.normalize(extract.extract(corpora.sentences(spark, sf)))
+    return staleness.stale_references(d).select("finding_id", "policy_id", "source_obligation_id", "subject_of", "severity")
+
+
+# ---------------------------------------------------------------- evaluation
+
+
+MATCH_SQL = """p AS (SELECT 'd' || doc_id % 97 AS file, count(*) AS p FROM labels WHERE toxic = 1 GROUP BY 1), l AS (SELECT 'd' || doc_id % 97 AS file, count(*) AS l FROM labels WHERE quality = 0 GROUP BY 1),
+m AS (SELECT coalesce(p.file, l.file) AS file, coalesce(p, 0) AS p, coalesce(l, 0) AS l FROM p FULL JOIN l ON p.file = l.file)"""
+
+
+def matches(spark, sf) -> DataFrame:
+    d = table(spark, sf, "labels").withColumn("file", F.concat(F.lit("d"), (F.col("doc_id") % 97).cast("string")))
+    return evaluate.matched(d.where("toxic = 1"), d.where("quality = 0"), ["file"])
+
+
+@query(f"WITH {MATCH_SQL} SELECT file, least(p, l) AS tp, greatest(p - l, 0) AS fp, greatest(l - p, 0) AS fn FROM m")
+def eval_multiset(spark, sf):
+    return matches(spark, sf)
+
+
+@query(f"WITH {MATCH_SQL}, s AS (SELECT sum(least(p, l))::BIGINT AS tp, sum(greatest(p - l, 0))::BIGINT AS fp, sum(greatest(l - p, 0))::BIGINT AS fn FROM m) SELECT tp, fp, fn, coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0) AS precision, coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0) AS f1 FROM s")
+def eval_prf(spark, sf):
+    return evaluate.scores(matches(spark, sf))
+
+
+@query("SELECT lang, count(*) AS labels, sum((toxic = 1)::INT)::BIGINT AS hits, count(*) - sum((toxic = 1)::INT)::BIGINT AS misses, sum((toxic = 1)::INT) / count(*)::DOUBLE AS recall FROM labels JOIN documents USING (doc_id) GROUP BY lang")
+def label_recall(spark, sf):
+    labels = table(spark, sf, "labels")
+    d = table(spark, sf, "documents").select("doc_id", "lang").join(labels.select("doc_id"), "doc_id")
+    return evaluate.label_recall(d, labels.where("toxic = 1"), ["doc_id"], "lang")
+
+
+@query("SELECT item_id, (text IN (SELECT text FROM documents)) AS exact FROM (SELECT item_id, trim(lower(regexp_replace(text, '\\s+', ' ', 'g'))) AS text FROM benchmark) b".replace("(SELECT text FROM documents)", "(SELECT trim(lower(regexp_replace(text, '\\s+', ' ', 'g'))) FROM documents WHERE text IS NOT NULL)"))
+def label_text_overlap(spark, sf):
+    return evaluate.text_overlap(table(spark, sf, "benchmark"), table(spark, sf, "documents").select(F.col("text").alias("sentence"))).select("item_id", "exact")
+
+
+@query("SELECT c AS \"column\", v AS value, count(*) AS n FROM (SELECT 'l_returnflag' AS c, l_returnflag AS v FROM lineitem UNION ALL SELECT 'l_linestatus', l_linestatus FROM lineitem) GROUP BY ALL")
+def value_inventory(spark, sf):
+    return evaluate.values_of(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"])
+
+
+@query("""WITH a AS (SELECT DISTINCT c_mktsegment AS g, c_nationkey AS i FROM customer), b AS (SELECT DISTINCT s_nationkey AS i, s_suppkey AS o FROM supplier), c AS (SELECT g, o, count(*) AS shared FROM a JOIN b USING (i) GROUP BY ALL)
+SELECT g AS segment, o AS supplier, shared FROM c QUALIFY row_number() OVER (PARTITION BY g ORDER BY shared DESC, o) = 1""")
+def best_overlap(spark, sf):
+    a = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"))
+    return evaluate.best_overlap(a, table(spark, sf, "supplier").select(F.col("s_suppkey").alias("supplier"), F.col("s_nationkey").alias("nation")), "segment", "supplier", "nation")
+
+
+@query(f"WITH {PAIRS_SQL} SELECT least(s.policy_id, g.policy_id) AS policy_a, greatest(s.policy_id, g.policy_id) AS policy_b, src_ord, tgt_ord FROM cand WHERE s.policy_id <> g.policy_id QUALIFY row_number() OVER (PARTITION BY policy_a, policy_b ORDER BY cosine DESC, src_ord, tgt_ord) = 1")
+def best_pair_argmax(spark, sf):
+    o = obligations(spark, sf)
+    pairs = candidates.with_ends(candidates.candidates(o, top_k=None).select("src_ord", "tgt_ord", "cosine"), o, ["policy_id"]).where("s.policy_id <> t.policy_id")
+    return evaluate.best_pair(pairs.select("src_ord", "tgt_ord", "cosine", F.least("s.policy_id", "t.policy_id").alias("policy_a"), F.greatest("s.policy_id", "t.policy_id").alias("policy_b")), ["policy_a", "policy_b"]).select("policy_a", "policy_b", "src_ord", "tgt_ord")
+
+
+@query()
+def redundancy_gates(spark, sf):
+    """Which condition of a redundancy fails first, over all candidate pairs."""
+    o = obligations(spark, sf)
+    pairs = candidates.candidates(o, top_k=None)
+    ends = candidates.with_ends(pairs, o, ["subject", "scope", "technology"])
+    return evaluate.redundancy_gates(ends).groupBy("first_failed").agg(F.count("*").alias("n"))
+
+
+@query()
+def analyze_documents(spark, sf):
+    """The whole analysis of a document per customer: its findings, capped and with staleness."""
+    return pipeline.analyze_table(corpora.documents(spark, sf), today=TODAY, top_k=20).findings.groupBy("finding_type", "severity").agg(F.count("*").alias("n"))
