@@ -19,6 +19,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from dutylens.llm.common import use_workers, with_columns_apart
 
-#: Distinct runs of text between blanks whose encoding a worker keeps before it starts anew.
+#: Distinct runs of text between blanks whose encoding a worker keeps, in each of two generations.
 CACHED_RUNS = 400_000
 #: White space of the tokenizer files, that is of Unicode.
 BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -130,11 +131,12 @@ class Coder:
         self.number = [str(i) for i in range(max(names) + 1)]
         self.split = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.runs: dict[str, tuple[int, str, str]] = {}
-        self._forget()
+        self.void = False  # was there ever a run without tokens?
+        self._turn()
 
-    def _forget(self) -> None:
-        self.runs = {s: (1, self.number[i], self.names[i]) for s, i in self.special.items()}
-        self.void = False  # is there a run without tokens?
+    def _turn(self) -> None:
+        """Begin a new generation of known runs; the one before it stays at hand."""
+        self.old, self.runs = self.runs, {s: (1, self.number[i], self.names[i]) for s, i in self.special.items()}
 
     def _learn(self, new: list[str]) -> None:
         """new: runs without blanks. Normal forms and cuts don't reach across blanks, so all are cut in one call."""
@@ -172,11 +174,16 @@ class Coder:
                     runs += BLANKS.split(p) if any(c in p for c in "\x1c\x1d\x1e\x1f") else p.split()
             pieces.append(runs)
         wanted = set().union(*pieces)
-        if len(self.runs) + len(wanted) > CACHED_RUNS:
-            self._forget()
-        if new := [r for r in wanted if r not in self.runs]:
+        new = [r for r in wanted if r not in self.runs]
+        if len(self.runs) + len(new) > CACHED_RUNS:
+            self._turn()
+            new = [r for r in wanted if r not in self.runs]
+        old, look = self.old, self.runs
+        if old:  # what is still in use moves to the new generation
+            look.update({r: old[r] for r in new if r in old})
+            new = [r for r in new if r not in look]
+        if new:
             self._learn(new)
-        look = self.runs
         for runs in pieces:
             found = [look[r] for r in runs]
             if self.void:
@@ -189,6 +196,12 @@ class Coder:
         return " ".join(self.names[i] for i in ids if 0 <= i < len(self.names) and self.names[i])
 
 
+@lru_cache(maxsize=2)
+def coder_of(path: str) -> Coder:
+    """One for all tasks of a worker: the file is read once and the runs that are known stay known."""
+    return Coder(path)
+
+
 def in_pieces(texts: list, limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about `limit` characters, at least one text each."""
     start, size = 0, 0
@@ -208,7 +221,7 @@ def encode_documents(docs: DataFrame, path: str, with_text: bool = False) -> Dat
     kind = d.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(path)
+        coder = coder_of(path)
         for b in batches:
             texts = b.column(1).to_pylist()
             for i, j in in_pieces(texts):
