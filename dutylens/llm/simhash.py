@@ -96,11 +96,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def group_bits(sample: np.ndarray, m: int) -> list[list[int]]:
     """m groups of nearly equal size in which correlated bits are together."""
+    if not len(sample):
+        return [list(range(g * BITS // m, (g + 1) * BITS // m)) for g in range(m)]
     bits = ((sample[:, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)).astype(float)
     bits -= bits.mean(axis=0)
     norm = np.sqrt((bits**2).sum(axis=0))
     norm[norm == 0] = 1
-    like = np.abs((bits / norm).T @ (bits / norm)) if len(sample) else np.zeros((BITS, BITS))
+    like = np.abs((bits / norm).T @ (bits / norm))
     np.fill_diagonal(like, 0)
     free, groups = set(range(BITS)), []
     for g in range(m):
@@ -356,7 +358,8 @@ def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
     kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     id_col = next(f"`{c}`" for c in docs.columns if c.lower() == "doc_id")
     first = written(kept, "simhash-kept")
-    out = docs.join(first.select(F.col("doc_id").alias("__kept")), F.col(id_col) == F.col("__kept"), "left_semi")
+    # the ids that stay grow with the table, so this is a sort-merge join at every size and never a broadcast
+    out = docs.join(first.select(F.col("doc_id").alias("__kept")).hint("merge"), F.col(id_col) == F.col("__kept"), "left_semi")
     if first.where("n > 1").limit(1).count():  # an id that stands for several rows
         out = out.dropDuplicates([id_col.strip("`")])
     return out.unionByName(docs.where(F.col(id_col).isNull()))
