@@ -123,7 +123,8 @@ ids AS MATERIALIZED (SELECT DISTINCT x.ord AS src_ord, y.ord AS tgt_ord FROM anc
 p0 AS MATERIALIZED (SELECT src_ord, tgt_ord, s, g, s.t AS st, g.t AS gt FROM ids JOIN a s ON s.ord = src_ord JOIN a g ON g.ord = tgt_ord
   WHERE NOT (s.policy_id = g.policy_id AND s.section_id = g.section_id AND s.sentence = g.sentence)),
 tp AS (SELECT DISTINCT st, gt FROM p0),
-dots AS MATERIALIZED (SELECT st, gt, sum(x.v * y.v)::BIGINT AS dot FROM tp JOIN vec x ON x.t = st JOIN vec y ON y.t = gt AND y.place = x.place GROUP BY st, gt),
+px AS MATERIALIZED (SELECT st, gt, x.place, x.v FROM tp JOIN vec x ON x.t = st),
+dots AS MATERIALIZED (SELECT st, gt, sum(px.v * y.v)::BIGINT AS dot FROM px JOIN vec y ON y.t = px.gt AND y.place = px.place GROUP BY st, gt),
 p AS MATERIALIZED (SELECT src_ord, tgt_ord, s, g, CASE WHEN s.sq = 0 OR g.sq = 0 THEN 0.0 ELSE least(1.0, greatest(-1.0, coalesce(dot, 0)::DOUBLE / sqrt(s.sq::DOUBLE * g.sq::DOUBLE))) END AS cosine,
   s.policy_id = g.policy_id AS same_policy, s.subject IS NOT DISTINCT FROM g.subject AS same_subject, s.action IS NOT DISTINCT FROM g.action AS same_action, s.object IS NOT DISTINCT FROM g.object AS same_object,
   s.scope IS NOT DISTINCT FROM g.scope AS same_scope, s.frequency IS NOT DISTINCT FROM g.frequency AS same_frequency, s.modality <> g.modality AS modality_mismatch, s.negated <> g.negated AS negation_mismatch
@@ -133,7 +134,8 @@ cand AS MATERIALIZED (SELECT *, same_subject::INT + same_action::INT + same_obje
 FREQ_SQL = rf"""{PAIRS_SQL},
 keyed AS (SELECT ord, policy_id, t, action, regexp_replace(regexp_replace(trim(lower(sentence)), '\s+', ' ', 'g'), '[^\w\s]', '', 'g') AS key FROM a),
 ta AS (SELECT DISTINCT t, action FROM a), tt AS (SELECT x.t AS st, y.t AS gt FROM ta x JOIN ta y ON x.action = y.action),
-near AS (SELECT st, gt FROM (SELECT st, gt, sum(x.v * y.v) AS dot FROM tt JOIN vec x ON x.t = st JOIN vec y ON y.t = gt AND y.place = x.place GROUP BY st, gt) JOIN sq a1 ON a1.t = st JOIN sq a2 ON a2.t = gt WHERE dot::DOUBLE / sqrt(a1.sq::DOUBLE * a2.sq::DOUBLE) >= 0.95),
+tx AS MATERIALIZED (SELECT st, gt, x.place, x.v FROM tt JOIN vec x ON x.t = st),
+near AS MATERIALIZED (SELECT st, gt FROM (SELECT st, gt, sum(tx.v * y.v) AS dot FROM tx JOIN vec y ON y.t = tx.gt AND y.place = tx.place GROUP BY st, gt) JOIN sq a1 ON a1.t = st JOIN sq a2 ON a2.t = gt WHERE dot::DOUBLE / sqrt(a1.sq::DOUBLE * a2.sq::DOUBLE) >= 0.95),
 seen AS (SELECT k.ord, o.policy_id FROM keyed k JOIN keyed o ON o.key = k.key UNION SELECT k.ord, o.policy_id FROM keyed k JOIN near ON near.st = k.t JOIN keyed o ON o.t = near.gt),
 freq AS MATERIALIZED (SELECT ord, count(DISTINCT policy_id)::INT AS corpus_frequency FROM seen GROUP BY ord)"""
 
