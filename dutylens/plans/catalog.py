@@ -415,7 +415,6 @@ def redundancy_gates(spark, sf):
     return evaluate.redundancy_gates(ends).groupBy("first_failed").agg(F.count("*").alias("n"))
 
 
-@query()
 def analyze_documents(spark, sf):
     """The whole analysis of a document per customer: its findings, capped and with staleness."""
     return pipeline.analyze_table(corpora.documents(spark, sf), today=TODAY, top_k=20).findings.groupBy("finding_type", "severity").agg(F.count("*").alias("n"))
