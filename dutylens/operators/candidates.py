@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dutylens.functions.vectors import cosine, sparse_cosine
+from dutylens.sources.scratch import written
 
 THRESHOLD, TOP_K = 0.55, 20
 CARRIED = ["ord", "policy_id", "section_id", "obligation_id", "sentence", "subject", "action", "object", "scope", "frequency", "technology", "modality", "negated", "confidence"]
@@ -69,64 +70,44 @@ def priority() -> list[Column]:
     return [F.col(c).desc() for c in ("modality_mismatch", "negation_mismatch", "cosine", "n_same", "id_low", "id_high")] + [F.col("src_ord").asc(), F.col("tgt_ord").asc()]
 
 
-def capped(pairs: DataFrame, top_k: int, max_rounds: int = 200) -> DataFrame:
+def capped(pairs: DataFrame, top_k: int) -> DataFrame:
     """The pairs that a pass in order of priority keeps if an obligation may be in top_k pairs at most.
 
     Rounds: a pair that ranks, among the undecided pairs of both its obligations, within what is left of their
     capacity is safe, as nothing before it can use that up; then pairs of full obligations go. The first pair of all is
-    safe in every round, so rounds end; nothing is collected but counts. Obligations with top_k pairs or fewer are no
-    constraint, and pairs of two such are kept at once.
+    safe in every round, so rounds end; nothing reaches the driver but whether any are left. Obligations with top_k
+    pairs or fewer are no constraint, and pairs of two such are kept at once. Pairs and what a round leaves are written
+    to the shared folder, so a plan never grows with the rounds. n obligations that all pair with one another take
+    about n / top_k rounds.
     """
     ends = lambda p: p.select(F.col("src_ord").alias("ord")).unionByName(p.select(F.col("tgt_ord").alias("ord")))
-    spark = pairs.sparkSession
-    pairs = pairs.withColumn("rank", F.struct(
-        (~F.col("modality_mismatch")).alias("a"), (~F.col("negation_mismatch")).alias("b"), (-F.col("cosine")).alias("c"), (-F.col("n_same")).alias("d"),
-    ))
-    pairs = pairs.persist()
-    busy = ends(pairs).groupBy("ord").count().where(F.col("count") > top_k).select("ord")
-    if not busy.limit(1).count():
-        return pairs.drop("rank")
+    columns = pairs.columns
+    pairs = written(pairs, "pairs")
+    degree = ends(pairs).groupBy("ord").agg(F.count("*").alias("n"))
+    busy = written(degree.where(F.col("n") > top_k).select("ord"), "busy")
+    if busy.isEmpty():
+        return pairs
     mark = lambda p, key, name: p.join(busy.select(F.col("ord").alias(key), F.lit(True).alias(name)), key, "left")
-    marked = mark(mark(pairs, "src_ord", "sb"), "tgt_ord", "tb").persist()
-    free = marked.where("sb is null and tb is null").select(pairs.columns)
-    undecided = marked.where("sb is not null or tb is not null").select(pairs.columns)
-    kept: DataFrame | None = None
-    checkpoint = _cutter(spark)
-    undecided = checkpoint(undecided)
-    room = checkpoint(_left(ends, pairs, free, top_k))
-    for _ in range(max_rounds):
-        order = priority()
-        ranked = undecided.select("*", F.explode(F.array("src_ord", "tgt_ord")).alias("ord"))
-        ranked = ranked.withColumn("nth", F.row_number().over(Window.partitionBy("ord").orderBy(*order))).join(room, "ord")
-        safe = ranked.groupBy(undecided.columns).agg(F.min((F.col("nth") <= F.col("room")).cast("int")).alias("ok")).where("ok = 1").drop("ok")
-        safe = checkpoint(safe)
-        if not safe.limit(1).count():
-            break
-        kept = safe if kept is None else kept.unionByName(safe)
+    marked = written(mark(mark(pairs, "src_ord", "sb"), "tgt_ord", "tb").withColumn("free", F.col("sb").isNull() & F.col("tb").isNull()).select(*columns, "free"), "marked")
+    out = marked.where("free").select(columns)
+    undecided = marked.where("not free").select(columns)
+    used = ends(out).groupBy("ord").agg(F.count("*").alias("used"))
+    room = ends(undecided).distinct().join(used, "ord", "left").select("ord", (F.lit(top_k) - F.coalesce("used", F.lit(0))).alias("room")).where("room > 0")
+    while True:
+        place = Window.partitionBy("ord").orderBy(*priority())
+        sides = undecided.select("*", F.explode(F.array("src_ord", "tgt_ord")).alias("ord"))
+        sides = sides.withColumn("nth", F.row_number().over(place)).join(room, "ord")
+        inside = sides.where("nth <= room").groupBy("src_ord", "tgt_ord").agg(F.count("*").alias("sides")).where("sides = 2")
+        safe = written(undecided.join(inside.drop("sides"), ["src_ord", "tgt_ord"]).select(columns), "safe")
+        if safe.isEmpty():
+            return out
+        out = out.unionByName(safe)
         used = ends(safe).groupBy("ord").agg(F.count("*").alias("used"))
-        room = checkpoint(room.join(used, "ord", "left").select("ord", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room")).where("room > 0"))
+        room = written(room.join(used, "ord", "left").select("ord", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room")).where("room > 0"), "room")
         rest = undecided.join(safe.select("src_ord", "tgt_ord"), ["src_ord", "tgt_ord"], "left_anti")
-        rest = rest.join(room.select(F.col("ord").alias("src_ord")), "src_ord", "left_semi").join(room.select(F.col("ord").alias("tgt_ord")), "tgt_ord", "left_semi")
-        undecided = checkpoint(rest.select(undecided.columns))
-    else:
-        raise RuntimeError("the cap did not settle")
-    out = free if kept is None else free.unionByName(kept.select(free.columns))
-    return out.drop("rank")
-
-
-def _left(ends, pairs: DataFrame, free: DataFrame, top_k: int) -> DataFrame:
-    """What each obligation may still take once the free pairs are kept."""
-    used = ends(free).groupBy("ord").agg(F.count("*").alias("used"))
-    return ends(pairs).distinct().join(used, "ord", "left").select("ord", (F.lit(top_k) - F.coalesce("used", F.lit(0))).alias("room")).where("room > 0")
-
-
-def _cutter(spark):
-    """checkpoint() into the shared folder; a temporary one of our own only where none is set."""
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="dutylens-"))
-    return lambda df: df.checkpoint()
+        for key in ("src_ord", "tgt_ord"):
+            rest = rest.join(room.select(F.col("ord").alias(key)), key, "left_semi")
+        undecided = written(rest.select(columns), "undecided")
 
 
 def ordered(pairs: DataFrame) -> DataFrame:

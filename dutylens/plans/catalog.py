@@ -16,6 +16,7 @@ from dutylens.functions.text import stable_id
 from dutylens.functions.vectors import cosine
 from dutylens.operators import candidates, corpus, detect, embed, evaluate, extract, ingest, normalize, staleness, verify
 from dutylens.plans import corpora, pipeline
+from dutylens.sources.scratch import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -245,8 +246,8 @@ def normalize_obligations(spark, sf):
 
 
 def obligations(spark, sf) -> DataFrame:
-    """Persisted, as the operators after it read it several times."""
-    return pipeline.obligations_of(corpora.sentences(spark, sf)).persist()
+    """Written once, as the operators after it read it several times."""
+    return written(pipeline.obligations_of(corpora.sentences(spark, sf)), "obligations")
 
 
 @query(f"WITH {VECTOR_SQL} SELECT ord, t AS embedding_text, sq, places, mark FROM e JOIN (SELECT t, sum(v * v)::BIGINT AS sq, count(*)::INT AS places, sum(place * v)::BIGINT AS mark FROM vec GROUP BY t) USING (t)")
@@ -303,7 +304,7 @@ def corpus_histogram(spark, sf):
 
 
 def found(spark, sf) -> DataFrame:
-    o = corpus.corpus_frequency(obligations(spark, sf)).persist()
+    o = written(corpus.corpus_frequency(obligations(spark, sf)), "counted")
     return detect.findings(candidates.candidates(o, top_k=None), o)
 
 
@@ -415,6 +416,23 @@ def redundancy_gates(spark, sf):
     return evaluate.redundancy_gates(ends).groupBy("first_failed").agg(F.count("*").alias("n"))
 
 
+# ---------------------------------------------------------------- the whole analysis
+
+
+def analyzed(spark, sf, top_k: int | None) -> DataFrame:
+    found = pipeline.analyze_table(corpora.policy_documents(spark, sf), today=TODAY, top_k=top_k).findings
+    return found.groupBy("finding_type", "severity").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {FINDINGS_SQL}, refs AS (SELECT DISTINCT policy_id, obligation_id, term FROM (SELECT policy_id, obligation_id, unnest(technology) AS term FROM n) WHERE lower(term) IN ({', '.join(q(t.lower()) for t in L.DEPRECATED)})),
+late AS (SELECT doc FROM (SELECT DISTINCT o_orderkey % 211 AS doc FROM orders) WHERE DATE '2026-01-01' - (DATE '2022-01-01' + (doc * 37 % 1600)::INT)::DATE > 548)
+SELECT finding_type, severity, count(*) AS n FROM (SELECT finding_type, severity FROM f UNION ALL SELECT 'STALE_REFERENCE', 'HIGH' FROM refs UNION ALL SELECT 'STALE_POLICY', 'MEDIUM' FROM late) GROUP BY ALL""")
 def analyze_documents(spark, sf):
-    """The whole analysis of a document per customer: its findings, capped and with staleness."""
-    return pipeline.analyze_table(corpora.documents(spark, sf), today=TODAY, top_k=20).findings.groupBy("finding_type", "severity").agg(F.count("*").alias("n"))
+    """From raw documents, one per policy, to all findings; every candidate pair counts."""
+    return analyzed(spark, sf, None)
+
+
+@query()
+def analyze_documents_capped(spark, sf):
+    """The same with at most 20 pairs for each obligation."""
+    return analyzed(spark, sf, candidates.TOP_K)

@@ -1,6 +1,6 @@
 """Obligation corpora made from the relational tables, in Spark and in DuckDB's SQL; every row of the table gives one.
 
-A sentence per order: subject, modal phrase, action and object by customer, and technology, scope, frequency,
+A sentence per order, and the same sentences as bullets of a document per policy: subject, modal phrase, action and object by customer, and technology, scope, frequency,
 condition or exception for some. A document per customer, with a title, metadata, headings and bullets.
 """
 
@@ -68,3 +68,19 @@ DOCUMENTS_SQL = r"""SELECT c_custkey AS doc, '/policies/p' || c_custkey || '.md'
   || '- Contractors shall rotate keys quarterly.' || chr(10) || chr(10) || CASE WHEN c_custkey % 3 = 0 THEN '1. Scope' || chr(10) || 'All teams are covered.' || chr(10) || 'Status: active' || chr(10) ELSE '## Empty' || chr(10) || chr(10) END
   || '### Closing' || chr(10) || 'Reviews are ' || CASE WHEN c_acctbal < 0 THEN 'mandatory' ELSE 'optional' END || '! Ask' || chr(10) || 'the owner.' || chr(10) AS raw
 FROM customer"""
+
+
+def policy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc, path, raw: the sentences above as one document per policy, a heading per section, a bullet per sentence.
+
+    A policy has its share of the orders, 1 in 211, in one document of some megabytes at most per million orders.
+    """
+    d = sentences(spark, sf_dir).withColumn("doc", F.regexp_extract("policy_id", r"(\d+)", 1).cast("long"))
+    bullets = F.array_sort(F.collect_list(F.struct("ord", F.concat(F.lit("- "), F.col("sentence")).alias("line"))))
+    part = d.groupBy("doc", "section_id").agg(F.array_join(F.transform(bullets, lambda x: x["line"]), "\n").alias("lines"))
+    part = part.select("doc", F.struct("section_id", F.concat(F.lit("## Section "), F.col("section_id"), F.lit("\n"), F.col("lines")).alias("text")).alias("s"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["text"]), "\n\n")
+    k = F.col("doc").cast("string")
+    day = F.date_format(F.date_add(F.lit("2022-01-01").cast("date"), (F.col("doc") * 37 % 1600).cast("int")), "yyyy-MM-dd")
+    raw = F.concat(F.lit("# Policy "), k, F.lit("\n**Owner:** Risk\n**Last Reviewed:** "), day, F.lit("\n\n"), F.col("body"), F.lit("\n"))
+    return part.groupBy("doc").agg(body.alias("body")).select("doc", F.concat(F.lit("/policies/"), k, F.lit(".md")).alias("path"), raw.alias("raw"))

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from dutylens.operators import candidates, corpus, detect, embed, evaluate, extract, ingest, normalize, staleness, verify
 from dutylens.sources import documents as sources
+from dutylens.sources.scratch import written
 
 FINDING = ["finding_id", "finding_type", "source_obligation_id", "target_obligation_id", "severity", "confidence", "deterministic_score", "llm_verified", "explanation", "evidence"]
 
@@ -36,7 +37,7 @@ def obligations_of(sentences: DataFrame) -> DataFrame:
 def analyze_table(documents: DataFrame, today: date | None = None, provider: verify.Provider | None = None, threshold: float = candidates.THRESHOLD, top_k: int | None = candidates.TOP_K) -> Result:
     """documents: doc, path, raw and optionally error. Rows with an error become warnings; the rest is analysed.
 
-    Tables are lazy except for the capping rounds; obligations are persisted, as four stages read them.
+    Obligations, pairs and findings are written to the shared folder, as several stages read each; the rest is lazy.
     """
     began = time.perf_counter()
     d = documents if "error" in documents.columns else documents.withColumn("error", F.lit(None).cast("string"))
@@ -44,9 +45,11 @@ def analyze_table(documents: DataFrame, today: date | None = None, provider: ver
     sections = ingest.sections(pol)
     sentences = ingest.sentences(sections)
     ord_ = F.struct("doc", "section_index", "sentence_index")  # the place of a sentence in the input
-    obligations = corpus.corpus_frequency(obligations_of(sentences.withColumn("ord", ord_)).persist()).persist()
+    obligations = written(obligations_of(sentences.withColumn("ord", ord_)), "obligations")
+    obligations = written(corpus.corpus_frequency(obligations), "counted")
     pairs = candidates.candidates(obligations, threshold, top_k)
-    found = detect.findings(pairs, obligations)
+    pairs = pairs if top_k else written(pairs, "pairs")
+    found = written(detect.findings(pairs, obligations), "findings")
     keys = pol.select("policy_id", "title", "review_date")
     stale = staleness.stale_policies(keys, today or date.today()).unionByName(staleness.stale_references(obligations))
     empty = found.schema["evidence"].dataType.simpleString()
