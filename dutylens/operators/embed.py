@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dutylens.functions.text import none_if_empty, strip
+from dutylens.sources.workers import use_workers
 
 DIMENSION = 384
 BATCH = 32
@@ -31,31 +32,36 @@ def tokens(text: Column) -> Column:
 def features(text: Column) -> Column:
     """Tokens and pairs of neighbours."""
     t = tokens(text)
-    pairs = F.zip_with(F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit("::"), b))
-    return F.concat(t, pairs)
+    return _once(t, lambda t: F.concat(t, F.zip_with(F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit("::"), b))))
+
+
+def _once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c), with c computed once however often f uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
 def hashed(feature: Column, dimension: int = DIMENSION) -> Column:
     """struct(place, sign) of one feature, from its SHA-256: 8 bytes for the place, the 9th for the sign."""
-    h = F.sha2(feature, 256)
-    place = F.pmod(F.conv(F.substring(h, 1, 16), 16, 10).cast("decimal(20,0)"), F.lit(dimension)).cast("int")
-    return F.struct(place.alias("place"), F.when(F.conv(F.substring(h, 17, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1).alias("sign"))
+    def parts(h: Column) -> Column:
+        place = F.pmod(F.conv(F.substring(h, 1, 16), 16, 10).cast("decimal(20,0)"), F.lit(dimension)).cast("int")
+        return F.struct(place.alias("place"), F.when(F.conv(F.substring(h, 17, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1).alias("sign"))
+
+    return _once(F.sha2(feature, 256), parts)
 
 
 def hash_vector(text: Column, dimension: int = DIMENSION) -> Column:
     """struct(idx, val, sq): places in order, summed signs, squared length."""
     total = lambda fs, k: F.aggregate(fs, F.lit(0), lambda a, x: a + F.when(x["place"] == k, x["sign"]).otherwise(0))
-    wrap = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))  # noqa: E731  computes c once
 
     def built(fs: Column) -> Column:
         idx = F.array_sort(F.array_distinct(F.transform(fs, lambda x: x["place"])))
         entries = F.filter(F.transform(idx, lambda k: F.struct(k.alias("k"), total(fs, k).alias("v"))), lambda e: e["v"] != 0)
-        return wrap(entries, lambda e: F.struct(
+        return _once(entries, lambda e: F.struct(
             F.transform(e, lambda x: x["k"]).alias("idx"), F.transform(e, lambda x: x["v"]).alias("val"),
             F.aggregate(e, F.lit(0).cast("long"), lambda a, x: a + x["v"] * x["v"]).alias("sq"),
         ))
 
-    return wrap(F.transform(features(text), lambda f: hashed(f, dimension)), built)
+    return _once(F.transform(features(text), lambda f: hashed(f, dimension)), built)
 
 
 def dense(v: Column, dimension: int = DIMENSION) -> Column:
@@ -66,16 +72,16 @@ def dense(v: Column, dimension: int = DIMENSION) -> Column:
 
 
 def embed(obligations: DataFrame, encoder: Callable[[Sequence[str]], Sequence[Sequence[float]]] | None = None) -> DataFrame:
-    """obligations with embedding_text and vector. Each distinct text is encoded once and joined back.
+    """obligations with embedding_text and vector.
 
-    encoder: maps a batch of texts to vectors; it runs in Arrow batches on the executors, and where it fails the
+    Hashing is a column of the row itself, as a shuffle to hash each distinct text once costs more than to hash.
+    encoder: each distinct text is encoded once and joined back. It maps a batch of texts to vectors; it runs in Arrow batches on the executors, and where it fails the
     hashing takes over for that batch (column `backend` says which one made a vector).
     """
     d = obligations.withColumn("embedding_text", embedding_text())
-    texts = d.select("embedding_text").distinct()
     if encoder is None:
-        made = texts.withColumn("vector", hash_vector(F.col("embedding_text"))).withColumn("backend", F.lit("hashing"))
-        return d.join(made, "embedding_text")
+        return d.withColumn("vector", hash_vector(F.col("embedding_text"))).withColumn("backend", F.lit("hashing"))
+    texts = d.select("embedding_text").distinct()
 
     def run(batches):
         for b in batches:
@@ -87,6 +93,7 @@ def embed(obligations: DataFrame, encoder: Callable[[Sequence[str]], Sequence[Se
                     found = [None] * len(part)
                 yield pd.DataFrame({"embedding_text": part, "given": found})
 
+    use_workers(d.sparkSession)
     given = texts.mapInPandas(run, "embedding_text string, given array<double>")
     made = given.withColumn("backend", F.when(F.col("given").isNull(), "hashing").otherwise("encoder"))
     length = F.sqrt(F.aggregate("given", F.lit(0.0), lambda a, x: a + x * x))

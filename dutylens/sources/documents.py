@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from dutylens.functions import lexicon as L
 from dutylens.operators.ingest import suffix
+from dutylens.sources.workers import use_workers
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -79,6 +80,7 @@ def read_documents(spark: SparkSession, documents: object) -> DataFrame:
     files = spark.read.format("binaryFile").load(good).select("path", "content")
     is_text = suffix(F.col("path")).isin(".txt", ".md")
     text = files.where(is_text).select("path", F.col("content").cast("string").alias("raw"), F.lit(None).cast("string").alias("error"))
+    use_workers(spark)
     other = files.where(~is_text).mapInPandas(_binary, "path string, raw string, error string")
     key = lambda c: F.regexp_replace(F.url_decode(F.regexp_replace(F.regexp_replace(c, r"\+", "%2B"), r"%(?![0-9A-Fa-f]{2})", "%25")), "^file:/+", "/")
     read = text.unionByName(other).withColumnRenamed("error", "failed").withColumn("key", key(F.col("path"))).drop("path")

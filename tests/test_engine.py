@@ -3,10 +3,12 @@
 import hashlib
 import math
 import random
+import sys
 import zipfile
 from datetime import date
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from dutylens.functions.vectors import cosine
@@ -182,6 +184,9 @@ def test_staleness(spark):
     assert sorted((r["source_obligation_id"], r["subject_of"]) for r in staleness.stale_references(o).collect()) == [("o1", "md5"), ("o2", "DES"), ("o2", "SHA-1")]
 
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import tests
+
+
 class Model:
     model = "test"
 
@@ -237,3 +242,49 @@ def test_documents(spark, tmp_path):
     r = pipeline.analyze(spark, [str(tmp_path / "a b.md"), str(tmp_path / "gone.txt")], today=date(2026, 1, 1))
     s = r.statistics.first()
     assert (s["documents_received"], s["policies_processed"], s["obligations_extracted"]) == (2, 1, 1) and r.warnings.count() == 1
+
+
+def test_replies_are_kept(spark, tmp_path):
+    class Counting:
+        calls = 0
+
+        def generate(self, prompt):
+            self.calls += 1
+            return "reply to " + prompt
+
+    inner = Counting()
+    path = str(tmp_path / "replies.jsonl")
+    first = verify.CachedProvider(inner, path)
+    assert [first.generate(x) for x in "aba"] == ["reply to a", "reply to b", "reply to a"] and inner.calls == 2
+    assert verify.CachedProvider(inner, path).generate("b") == "reply to b" and inner.calls == 2
+
+
+@pytest.mark.parametrize("top_k", [None, 2])
+def test_whole_analysis(spark, top_k):
+    rules = ["Employees must rotate database keys every 30 days.", "Employees must not rotate database keys.", "Contractors should use SHA-1."]
+    raw = "# Policy {}\n**Last Reviewed:** 2020-01-01\n\n## Rules\n" + "\n".join("- " + r for r in rules) + "\n"
+    rows = [(i, f"/p{i}.md", raw.format(i), None) for i in range(5)] + [(5, "/p5.pdf", None, "can't be read")]
+    r = pipeline.analyze_table(spark.createDataFrame(rows, "doc long, path string, raw string, error string"), today=date(2026, 1, 1), top_k=top_k)
+    s = r.statistics.first()
+    assert (s["documents_received"], s["policies_processed"], s["documents_failed"], s["obligations_extracted"]) == (6, 5, 1, 15) and r.warnings.count() == 1
+    kinds = s["by_finding_type"]
+    assert kinds["STALE_POLICY"] == 5 and kinds["STALE_REFERENCE"] == 5
+    if top_k is None:  # each of 5 with each of 5, the own policy included; the same text stands in 5 policies, so none is redundant
+        assert kinds["CONTRADICTION"] == 25 and "REDUNDANCY" not in kinds
+    else:
+        rows = sorted(candidates.candidates(r.obligations, top_k=None).collect(), key=lambda p: (p["src_ord"], p["tgt_ord"]))
+        rows.sort(key=lambda p: (p["modality_mismatch"], p["negation_mismatch"], p["cosine"], p["n_same"], p["id_low"], p["id_high"]), reverse=True)
+        degree, want = {}, set()
+        for p in rows:  # a pass in order of priority
+            a, b = p["src_ord"], p["tgt_ord"]
+            if max(degree.get(a, 0), degree.get(b, 0)) < top_k:
+                want.add((a, b))
+                degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+        assert {(p["src_ord"], p["tgt_ord"]) for p in r.candidates.collect()} == want and len(want) < len(rows)
+
+
+def test_scratch_folder(spark):
+    from dutylens.sources.scratch import written
+
+    d = spark.range(3).select("id", F.struct("id").alias("s"), F.lit(None).cast("string").alias("n"))
+    assert written(d, "t").orderBy("id").collect() == d.orderBy("id").collect()
