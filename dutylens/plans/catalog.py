@@ -210,7 +210,14 @@ def ingest_sections(spark, sf):
     return ingest.sections(ingest.policies(corpora.documents(spark, sf))).select("doc", "section_index", "section_id", "title", "text")
 
 
-@query()
+@query(rf"""WITH {SECTIONS_SQL},
+sl AS (SELECT doc, section_index, i, x[i] AS line FROM (SELECT doc, section_index, x, unnest(generate_series(1, len(x))) AS i FROM (SELECT *, string_split(text, chr(10)) AS x FROM s))),
+sb AS (SELECT doc, section_index, i, regexp_matches(line, '^[-*+](\s+|$)') AS bullet, trim(regexp_replace(line, '^[-*+](\s+|$)', '')) AS body FROM sl),
+su AS (SELECT *, (bullet OR coalesce(regexp_matches(lag(body) OVER o, '[.!?]$'), true))::INT AS starts FROM sb WINDOW o AS (PARTITION BY doc, section_index ORDER BY i)),
+sg AS (SELECT doc, section_index, unit, string_agg(body, ' ' ORDER BY i) AS body FROM (SELECT *, sum(starts) OVER (PARTITION BY doc, section_index ORDER BY i) AS unit FROM su) GROUP BY ALL),
+sp AS (SELECT doc, section_index, unit, string_split(regexp_replace(trim(regexp_replace(body, '\s+', ' ', 'g')), '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS p FROM sg),
+se AS (SELECT doc, section_index, unit, j, p[j] AS sentence FROM (SELECT *, unnest(generate_series(1, len(p))) AS j FROM sp) WHERE p[j] <> '')
+SELECT doc, section_index, (row_number() OVER (PARTITION BY doc, section_index ORDER BY unit, j) - 1)::INT AS sentence_index, sentence FROM se""")
 def ingest_policy_sentences(spark, sf):
     return ingest.sentences(ingest.sections(ingest.policies(corpora.documents(spark, sf)))).select("doc", "section_index", "sentence_index", "sentence")
 
@@ -256,11 +263,11 @@ def embed_hash_vectors(spark, sf):
     return obligations(spark, sf).select("ord", "embedding_text", F.col("vector.sq").alias("sq"), F.size("vector.idx").alias("places"), mark.alias("mark"))
 
 
-@query("""SELECT a, b, round(c, 5) AS cosine FROM (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS c FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id) WHERE c >= 0.8""")
+@query("""SELECT a, b, round(c, 5) AS cosine FROM (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS c FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id) WHERE c >= 0.3""")
 def cosine_pairs(spark, sf):
     e = table(spark, sf, "embeddings")
     side = lambda s: e.select("label", F.col("vec_id").alias(s), F.col("embedding").alias(f"v{s}"))
-    return side("a").join(side("b"), "label").where("a < b").withColumn("c", cosine(F.col("va"), F.col("vb"))).where("c >= 0.8").select("a", "b", F.round("c", 5).alias("cosine"))
+    return side("a").join(side("b"), "label").where("a < b").withColumn("c", cosine(F.col("va"), F.col("vb"))).where("c >= 0.3").select("a", "b", F.round("c", 5).alias("cosine"))
 
 
 # ---------------------------------------------------------------- candidates and findings
@@ -407,7 +414,9 @@ def best_pair_argmax(spark, sf):
     return evaluate.best_pair(pairs.select("src_ord", "tgt_ord", "cosine", F.least("s.policy_id", "t.policy_id").alias("policy_a"), F.greatest("s.policy_id", "t.policy_id").alias("policy_b")), ["policy_a", "policy_b"]).select("policy_a", "policy_b", "src_ord", "tgt_ord")
 
 
-@query()
+@query(f"""WITH {PAIRS_SQL} SELECT CASE WHEN NOT same_action THEN 'action' WHEN NOT same_object THEN 'object' WHEN NOT {compat("subject")} THEN 'subject' WHEN NOT {compat("scope")} THEN 'scope'
+  WHEN NOT (len(s.technology) = 0 OR len(g.technology) = 0 OR list_has_any(s.technology, g.technology)) THEN 'technology' WHEN modality_mismatch THEN 'modality' WHEN negation_mismatch THEN 'negation'
+  WHEN NOT same_frequency THEN 'frequency' WHEN cosine < 0.95 THEN 'similarity' ELSE 'none' END AS first_failed, count(*) AS n FROM cand GROUP BY 1""")
 def redundancy_gates(spark, sf):
     """Which condition of a redundancy fails first, over all candidate pairs."""
     o = obligations(spark, sf)
