@@ -25,6 +25,12 @@ def over(a: Column, n: int) -> Column:
     return F.floor(a / n).cast("long")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer splits than cores, such as of one small file, over all cores; larger ones stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ord, policy_id, section_id, sentence."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
@@ -34,7 +40,7 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
         pick(CADENCE, over(k, 3)), F.when(k % 13 == 0, " if risk is high").otherwise(""), F.when(k % 17 == 0, " unless an approval exists").otherwise(""), F.lit("."),
     )
     passive = F.concat(F.lit("Ledger-c"), c.cast("string"), F.lit(" export is prohibited for contractors."))
-    d = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    d = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus"))
     return d.select(k.alias("ord"), F.concat(F.lit("policy_"), (k % 211).cast("string")).alias("policy_id"), F.concat(F.lit("section_"), (k % 3).cast("string")).alias("section_id"), F.when(k % 19 == 0, passive).otherwise(text).alias("sentence"))
 
 
