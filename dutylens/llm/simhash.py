@@ -333,16 +333,20 @@ def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
     return dealt.mapInArrow(meet, "u bigint, v bigint")
 
 
+def name_components(rows: DataFrame, key: str, edges: DataFrame | None, name: str, radius: int = 3) -> DataFrame:
+    """rows (doc_id, key) with component_id, the smallest doc_id of the keys that edges (by default those of `links`) join."""
+    nodes = written(rows.groupBy(key).agg(F.min("doc_id").alias("low")), f"{name}-nodes")
+    joined = components(links(nodes, radius) if edges is None else edges, f"{name}-links")
+    joined = joined.join(nodes.withColumnRenamed(key, "node") if key != "node" else nodes, "node")
+    lowest = joined.groupBy("root").agg(F.min("low").alias("component_id"))
+    linked = joined.select("node", "root").join(lowest, "root").select(F.col("node").alias(key), "component_id")
+    named = nodes.join(linked, key, "left").select(key, F.coalesce("component_id", "low").alias("component_id"))
+    return rows.join(named, key).select("doc_id", key, "component_id")
+
+
 def link_documents(docs: DataFrame, radius: int = 3) -> DataFrame:
     """Per document: doc_id, fp, component_id (the smallest doc_id reachable over links, its own included)."""
-    fps = written(fingerprints(docs), "simhash-fp")
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
-    joined = components(links(nodes, radius), "simhash-links")
-    joined = joined.join(nodes.withColumnRenamed("fp", "node"), "node")
-    lowest = joined.groupBy("root").agg(F.min("low").alias("component_id"))
-    linked = joined.select("node", "root").join(lowest, "root").select(F.col("node").alias("fp"), "component_id")
-    named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return name_components(written(fingerprints(docs), "simhash-fp"), "fp", None, "simhash", radius)
 
 
 def hex_fingerprint(fp: str = "fp") -> "F.Column":
@@ -354,7 +358,11 @@ def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
 
     Documents without an id can't be named by one; all of them stay.
     """
-    found = written(link_documents(docs, radius), "simhash-components")
+    return keep_lowest(docs, written(link_documents(docs, radius), "simhash-components"))
+
+
+def keep_lowest(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is the component_id that found has for it, once each, and those without an id."""
     kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     id_col = next(f"`{c}`" for c in docs.columns if c.lower() == "doc_id")
     first = written(kept, "simhash-kept")

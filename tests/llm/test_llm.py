@@ -441,3 +441,43 @@ def test_pipeline_stages(spark, docs):
     three = stages["mixing"](spark, two, "")
     assert three.columns == d.columns and {r["doc_id"] for r in three.collect()} <= {r["doc_id"] for r in two.collect()}
     assert stages["bpe"](spark, three, "").count() == three.count()
+
+
+def grams5(text):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("block", [512, 8])
+def test_pipeline_near_copies(spark, monkeypatch, block):
+    """The stage links texts by the Jaccard similarity of their 5-word shingles, over chains and in groups of several blocks."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from dutylens.llm import near_text
+
+    monkeypatch.setattr(near_text, "BLOCK", block)
+    rng = random.Random(8)
+    rows = []
+    for g in range(12):
+        words = [f"g{g}w{rng.randint(0, 400)}" for _ in range(rng.choice([30, 90, 300]))]
+        for k in range(rng.choice([2, 5, 40])):
+            rows.append((len(rows), " ".join(words).upper() if k == 3 else " ".join(words), "s"))
+            words = list(words)
+            for _ in range(rng.randint(0, max(1, len(words) // 60))):
+                words[rng.randrange(len(words))] = f"new{rng.random()}"
+    rows += [(900, None, "s"), (901, "", "s"), (902, "one two", "s"), (903, "ONE  two", "s"), (904, "one three", "s"), (None, rows[0][1], "s"), (905, "a b c d e", "s"), (906, "a b c d e", "s")]
+    rng.shuffle(rows)
+    sets = [grams5(t) for _, t, _ in rows]
+    part = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                part = [part[b] if p == part[a] else p for p in part]
+    low = {}
+    for (i, _, _), p in zip(rows, part):
+        if i is not None:
+            low[p] = min(low.get(p, i), i)
+    got = corpus_pipeline.without_near_duplicates(spark, table(spark, rows), "")
+    assert got.columns == table(spark, rows[:1]).columns
+    assert sorted(r["doc_id"] for r in got.collect() if r["doc_id"] is not None) == sorted(low.values())
+    assert got.where("doc_id is null").count() == 1
