@@ -4,7 +4,8 @@ One pattern finds candidates; each is validated (Luhn sum, octets up to 255, exi
 counts) and, if valid, replaced by a keyed permutation within its own format. Equal values get equal pseudonyms in
 every document, different values of a kind different ones, and a holder of the key can invert them.
 
-* card: the first digit stays, the inner digits are permuted, the check digit is computed anew;
+* card: of a run of digit groups, the groups that form a valid number (unbroken or in a card's usual layout before
+  others, then from the left the longest); the first digit stays, the inner digits are permuted, the check digit is computed anew;
 * IPv4: the 32 bits as two halves; * phone: the digits after the country code; * SSN: its digits;
 * IBAN: country stays, the account's digits and letters are permuted, the check digits are computed anew;
 * date: the day within its century is permuted on Z_a x Z_b with a*b days (92*397, or 75*487 with a leap
@@ -37,7 +38,9 @@ ISO_DATE = r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-])"
 DOT_DATE = r"(?<![\w.])\d{2}\.\d{2}\.\d{4}(?!\w)"
 SLASH_DATE = r"(?<![\w/])\d{2}/\d{2}/\d{4}(?![\w/])"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
-CARD = r"(?<![\w.])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d)"
+#: Digit groups joined by single blanks and hyphens, up to where something else than a card starts.
+GROUPS = r"\d{1,19}+(?:-\d{1,19}+)*+(?!\w|[.-]\d)"
+CARD = r"(?<![\w.])(?=\d(?:[ -]?\d){12})" + GROUPS + "(?: (?!" + "|".join((ISO_DATE, SLASH_DATE, SSN, PHONE)) + ")" + GROUPS + ")*+"
 SECRET = r"(?<=[\"'])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?=[\"'])"
 ANY = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, IPV4, ISO_DATE, DOT_DATE, SLASH_DATE, SSN, PHONE, IBAN, CARD))
 
@@ -120,7 +123,36 @@ def _card(m: Column, key: str) -> Column:
         body = F.concat(F.substring(d, 1, 1), inner)
         return _let(body, lambda b: F.concat(b, F.pmod(F.lit(10) - luhn_sum(F.concat(b, F.lit("0"))) % 10, F.lit(10)).cast("string")))
 
-    return _let(_digits(m), lambda d: F.when(luhn_sum(d) % 10 == 0, _refill(m, made(d), "[0-9]")).otherwise(m))
+    return _let(_digits(m), lambda d: F.when(_is_card(d), _refill(m, made(d), "[0-9]")).otherwise(m))
+
+
+def _is_card(digits: Column) -> Column:
+    return F.when(F.length(digits).between(13, 19), luhn_sum(digits) % 10 == 0).otherwise(False)
+
+
+#: Digits in the groups of cards as they are usually written.
+LAYOUTS = r"^(\d{13,19}|\d{4}([ -])\d{4}\2\d{4}\2\d{4}(\2\d{3})?|\d{4}([ -])\d{6}\4\d{4,5})[ -]?$"
+
+
+def _card_pieces(run: Column) -> Column:
+    """A run of digit groups cut into cards and single groups, each with the separator after it."""
+
+    def cut(groups: Column) -> Column:
+        joined = lambda i, k: F.array_join(F.slice(groups, i, k), "")
+        lengths = lambda i, most: F.sequence(F.lit(1), F.least(F.size(groups) - i + 1, F.lit(most)))
+        usual = lambda i: F.coalesce(F.array_max(F.filter(lengths(i, 5), lambda k: joined(i, k).rlike(LAYOUTS) & _is_card(_digits(joined(i, k))))), F.lit(0))
+
+        def walk(usuals: Column) -> Column:
+            def step(x: Column, i: Column) -> Column:
+                free = F.filter(lengths(i, 19), lambda k: ~F.exists(F.slice(usuals, i + 1, k - 1), lambda u: u > 0) & _is_card(_digits(joined(i, k))))
+                best = F.coalesce(F.nullif(F.get(usuals, i - 1), F.lit(0)), F.array_max(free), F.lit(1))
+                return F.when(i < x["next"], x).otherwise(_let(best, lambda k: F.struct((i + k).alias("next"), F.concat(x["out"], F.array(joined(i, k))).alias("out"))))
+
+            return F.aggregate(F.sequence(F.lit(1), F.size(groups)), F.struct(F.lit(1).alias("next"), F.array().cast("array<string>").alias("out")), step, lambda x: x["out"])
+
+        return _let(F.transform(F.sequence(F.lit(1), F.size(groups)), usual), walk)
+
+    return _let(F.regexp_extract_all(run, F.lit("[0-9]+[ -]?"), F.lit(0)), cut)
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -200,6 +232,13 @@ def pseudonym(m: Column, key: str) -> Column:
     )
 
 
+def pseudonyms(m: Column, key: str) -> Column:
+    """array of struct(old, new): the pieces of one candidate, which is one value but for a run of digit groups."""
+    run = m.rlike(r"^[0-9][0-9 -]*$") & (F.length(_digits(m)) >= 13) & ~m.rlike("^[0-9]{32,}$")
+    both = lambda old, new: F.struct(old.alias("old"), new.alias("new"))
+    return F.when(run, F.transform(_card_pieces(m), lambda c: both(c, _card(c, key)))).otherwise(F.array(both(m, pseudonym(m, key))))
+
+
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str | None = None) -> DataFrame:
     """docs with the texts' personal data replaced; found: name of a column to add, the number of values replaced."""
     name = next((c for c in docs.columns if c.lower() == text), None)
@@ -208,10 +247,10 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str | Non
     t = F.col(f"`{name}`").cast("string")
 
     def made(x: Column) -> Column:
-        new = F.transform(x["m"], lambda m: pseudonym(m, key))
+        new = F.transform(x["m"], lambda m: pseudonyms(m, key))
         return _let(new, lambda n: F.struct(
-            F.concat(F.array_join(F.zip_with(F.slice(x["p"], F.lit(1), F.size(n)), n, lambda a, b: F.concat(a, b)), ""), F.element_at(x["p"], -1)).alias("text"),
-            F.size(F.filter(F.zip_with(x["m"], n, lambda a, b: a != b), lambda d: d)).cast("long").alias("n"),
+            F.concat(F.array_join(F.zip_with(F.slice(x["p"], F.lit(1), F.size(n)), n, lambda a, b: F.concat(a, F.array_join(F.transform(b, lambda v: v["new"]), ""))), ""), F.element_at(x["p"], -1)).alias("text"),
+            F.size(F.filter(F.flatten(n), lambda v: v["old"] != v["new"])).cast("long").alias("n"),
         ))
 
     parts = F.struct(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)).alias("m"), F.split(t, ANY, -1).alias("p"))

@@ -320,6 +320,26 @@ def test_pii(spark):
     assert other[0] != got[0]["text"]
 
 
+def test_cards_beside_numbers(spark):
+    one, two, four = "4111111111111111", "5500000000000004", "4111 1111 1111 1111"
+    beside = [f"{one} 123", f"{one} 12 items", f"room 12 {one}", f"room 1234 {four}", f"{four} 1234 x", f"7 {one} 8 {two} 9", f"{one} {two}", f"{one} 2021-02-03", f"{one} 12-3a", f"5-{one}", f"{one} 12/05/2020", f"{one} 12.5", f"{one} 123-45-6789"]
+    plain = ["12345678-1234-1234-1234-123456789abc", "4" * 40, "4111111111111112 3", "1 2 3", "99999999999999999999 1"]
+    long = "11 " * 20_000 + one
+    d = spark.createDataFrame(list(enumerate([*beside, *plain, long])), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonymise(d, "key", found="n").collect()}
+    alone = {c: r["text"] for c, r in zip((one, two, four), pii.pseudonymise(spark.createDataFrame([(c,) for c in (one, two, four)], "text string"), "key").collect())}
+    for i, t in enumerate(beside):
+        want = t
+        for c, new in alone.items():
+            want = want.replace(c, new)
+        if i not in (7, 10, 12):
+            assert got[i]["text"] == want and got[i]["n"] == sum(c in t for c in alone), (t, got[i])
+        else:
+            assert got[i]["text"].startswith(alone[one] + " ") and got[i]["n"] == 2 and got[i]["text"].split()[1] != t.split()[1]
+    assert all(got[len(beside) + i]["text"] == t for i, t in enumerate(plain))
+    assert one not in got[len(beside) + len(plain)]["text"]
+
+
 def test_permutation_is_one_to_one(spark):
     from pyspark.sql import functions as F
 
