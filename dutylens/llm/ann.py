@@ -1,37 +1,45 @@
 """Approximate nearest neighbours by learned partitions.
 
 A neighbour graph of a bounded sample is cut into balanced parts by recursive spectral bisection with swaps at the
-cut. A small classifier (one hidden layer) learns to tell the part from the vector. Every vector is indexed in its
-most probable part; a query goes to its several most probable parts, whose vectors are compared exactly. How many
-parts is chosen on the sample: as few as find `aim` of the sample's own neighbours.
+cut. A small classifier (one hidden layer) learns from each sampled vector how its neighbours lie over the parts. Every
+vector is indexed in its most probable part; a query goes to its several most probable parts, whose vectors are compared
+exactly. How many parts a query visits is chosen on an eighth of the sample that the fit does not see: as few as find
+`aim` of the neighbours that these vectors have in the sample.
 
-A part that holds very many vectors is dealt out in blocks. Within a block equal vectors are compared once and only as
-many of their ids as can be in a result are kept, which loses nothing: they tie, and ties go to smaller ids.
+There are about sqrt(vectors) / 4 parts, so they grow with the table at every size (a part gets 8 sampled vectors at least,
+so a table of under 16 is one part). One classifier tells up to FAN_OUT parts apart; where more are wanted, each part is
+cut again by a graph and a classifier of its own, fitted in the tasks.
+
+Equal vectors are one vector with its k + 1 smallest ids, and equal queries are one query, which loses nothing: they
+tie, and ties go to smaller ids. In a part, blocks of vectors meet blocks of queries, so that no task holds a whole part
+or all that asks for it. Every vector that ties with the last one found is scored anew.
 
 Cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id or
-of another dimension than the most common one in the sample; a row is known by its id, so that rows of one id are one
-candidate's copies; fewer candidates than k give as many rows; an empty table gives an empty result; further columns
-are ignored.
+of another dimension than the most common one (of equally common ones the smallest); a row is known by its id, so that rows
+of one id are one candidate with its best score; fewer candidates than k give as many rows; an empty table gives an empty
+result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dutylens.llm.common import use_workers, with_columns_apart, written
 
-#: Vectors on which the partitions and the classifier are fitted.
+#: Vectors on which the partitions and a classifier are fitted; of a part that is cut again, so many of its own.
 SAMPLE = 8192
-BLOCK = 16_384
-QUERIES = 1024
+#: Most parts that one classifier tells apart.
+FAN_OUT = 64
+#: Numbers in a block of vectors, queries in a block, and rows that are scored at once.
+BLOCK, QUERIES, AT_ONCE = 1 << 20, 4096, 1 << 14
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -87,11 +95,11 @@ def balanced_parts(graph: np.ndarray, n_parts: int, seed: int = 0) -> np.ndarray
 
 
 class Router:
-    """part probabilities of unit vectors: one hidden layer, fitted by Adam on soft part labels."""
+    """Part probabilities of unit vectors: one hidden layer, fitted by Adam on the parts of each vector's neighbours."""
 
-    def __init__(self, x: np.ndarray, part: np.ndarray, n_parts: int, hidden: int = 96, epochs: int = 12, seed: int = 0) -> None:
+    def __init__(self, x: np.ndarray, target: np.ndarray, hidden: int = 96, epochs: int = 16, seed: int = 0) -> None:
         rng = np.random.default_rng(seed)
-        d = x.shape[1]
+        d, n_parts = x.shape[1], target.shape[1]
         p = [rng.standard_normal((d, hidden)) * np.sqrt(2 / d), np.zeros(hidden), rng.standard_normal((hidden, n_parts)) * np.sqrt(1 / hidden), np.zeros(n_parts)]
         x = x * np.sqrt(d)
         m, v, t = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
@@ -100,9 +108,7 @@ class Router:
                 h = np.maximum(x[at] @ p[0] + p[1], 0)
                 z = h @ p[2] + p[3]
                 z = np.exp(z - z.max(axis=1, keepdims=True))
-                z /= z.sum(axis=1, keepdims=True)
-                z[np.arange(len(at)), part[at]] -= 1
-                z /= len(at)
+                z = (z / z.sum(axis=1, keepdims=True) - target[at]) / len(at)
                 back = (z @ p[2].T) * (h > 0)
                 t += 1
                 for i, g in enumerate((x[at].T @ back, back.sum(0), h.T @ z, z.sum(0))):
@@ -118,33 +124,30 @@ class Router:
 
 
 class Index:
-    """Partitions learned from a sample; a few hundred kilobytes, sent with the tasks."""
+    """Partitions learned from a sample; about a hundred kilobytes, sent with the tasks."""
 
-    def __init__(self, sample: np.ndarray, k: int, total: int, aim: float) -> None:
+    def __init__(self, sample: np.ndarray, k: int, n_parts: int, aim: float) -> None:
         x = unit(sample)
-        self.dim = x.shape[1]
-        # parts of some thousand vectors for small tables; the sample has to have some dozens for each part
-        wanted = max(1, min(total // 1500, len(x) // 48, 128))
-        self.n_parts = 1 << int(np.log2(wanted))
-        self.probes = 1
-        if self.n_parts > 1:
-            graph = neighbour_graph(x, min(10, len(x) - 1))
-            self.router = Router(x, balanced_parts(graph, self.n_parts), self.n_parts)
-            own = self.router.rank(x, 1)[:, 0]
-            test = np.arange(0, len(x), max(1, len(x) // 1024))
-            near = neighbour_graph(x, min(k, len(x) - 1))[test]
-            at = self.router.rank(x[test], self.n_parts)
-            place = np.argsort(at, axis=1)
-            found = place[np.arange(len(test))[:, None], own[near]]
-            while self.probes < self.n_parts and (found < self.probes).mean() < aim:
-                self.probes += 1
+        self.n_parts, self.probes = 1 << int(np.log2(max(1, min(n_parts, len(x) // 8)))), 1
+        if self.n_parts == 1:
+            return
+        test = np.arange(0, len(x), 8)
+        fit = np.delete(np.arange(len(x)), test)
+        graph = neighbour_graph(x[fit], min(10, len(fit) - 1))
+        part = balanced_parts(graph, self.n_parts)
+        target = np.zeros((len(fit), self.n_parts))
+        np.add.at(target, (np.arange(len(fit)), part), 1.0)
+        np.add.at(target, (np.repeat(np.arange(len(fit)), graph.shape[1]), part[graph].ravel()), 1.0)
+        self.router = Router(x[fit], target / target.sum(axis=1, keepdims=True))
+        own = self.router.rank(x, 1)[:, 0]
+        near = neighbour_graph(x, min(k, len(x) - 1))[test]
+        place = np.argsort(self.router.rank(x[test], self.n_parts), axis=1)
+        found = place[np.arange(len(test))[:, None], own[near]]
+        while self.probes < self.n_parts and (found < self.probes).mean() < aim:
+            self.probes += 1
 
     def parts(self, x: np.ndarray, most: int) -> np.ndarray:
-        return self.router.rank(x, most) if self.n_parts > 1 else np.zeros((len(x), 1), np.int64)
-
-
-def matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+        return self.router.rank(unit(x), most) if self.n_parts > 1 else np.zeros((len(x), 1), np.int64)
 
 
 def exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -153,92 +156,166 @@ def exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=-1) / (np.sqrt((a * a).sum(axis=-1)) * np.sqrt((b * b).sum(axis=-1)))
 
 
-def search_block(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vector, cosine): the k nearest of each query in one block, none of its own id."""
-    order = np.argsort(vid, kind="stable")
-    vid, v = vid[order], np.ascontiguousarray(v[order])
-    _, first, group = np.unique(v.view(np.dtype((np.void, v.dtype.itemsize * v.shape[1]))).ravel(), return_index=True, return_inverse=True)
-    by = np.lexsort((vid, group))  # the ids of equal vectors, smallest first
-    start = np.searchsorted(group[by], np.arange(len(first)))
-    size = np.diff(np.r_[start, len(by)])
-    distinct, length = v[first], unit(v[first])
-    m = min(len(first), k + 4)
+def search_block(q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, id, cosine): the k nearest ids of each query in one block, nearest first, ties to smaller ids.
+
+    The approximate cosines of one product only choose: what comes within rounding of the last chosen is scored too.
+    An id may have several vectors; so many more are looked at, and its best one counts.
+    """
+    length = unit(v)
+    m = min(len(v), k * int(np.unique(vid, return_counts=True)[1].max()))
     outs = []
-    for s in range(0, len(q), QUERIES):
-        qs, ids = q[s : s + QUERIES], qid[s : s + QUERIES]
+    for s in range(0, len(q), 256):
+        qs = q[s : s + 256]
         like = unit(qs) @ length.T
-        top = np.argpartition(-like, m - 1, axis=1)[:, :m]
-        score = exact_cosine(qs[:, None, :], distinct[top])
-        # up to k + 1 ids of each of the nearest distinct vectors
-        n = np.minimum(size[top], k + 1).ravel()
-        rows = np.repeat(np.repeat(np.arange(len(qs)), m), n)
-        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        found = vid[by[np.repeat(start[top].ravel(), n) + inner]]
-        value = np.repeat(score.ravel(), n)
-        other = found != ids[rows]
-        rows, found, value = rows[other], found[other], value[other]
-        best = np.lexsort((found, -value, rows))
-        rows, found, value = rows[best], found[best], value[best]
-        nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        keep = nth < k
-        outs.append((ids[rows[keep]], found[keep], value[keep]))
+        last = np.partition(like, len(v) - m, axis=1)[:, len(v) - m]
+        rows, cols = np.nonzero(like >= last[:, None] - 1e-9)
+        score = np.concatenate([exact_cosine(qs[rows[i : i + AT_ONCE]], v[cols[i : i + AT_ONCE]]) for i in range(0, len(rows), AT_ONCE)])
+        found = vid[cols]
+        best = np.lexsort((-score, found, rows))
+        best = best[np.r_[True, (np.diff(rows[best]) != 0) | (np.diff(found[best]) != 0)]]
+        best = best[np.lexsort((found[best], -score[best], rows[best]))]
+        rows, found, score = rows[best], found[best], score[best]
+        keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        outs.append((s + rows[keep], found[keep], score[keep]))
     return tuple(np.concatenate(x) for x in zip(*outs))
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    v = F.col("embedding").cast("array<double>")
-    d = with_columns_apart(vectors, ["vec_id", "embedding"]).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
+    """(vec_id, v, a, b): v keeps float or double as it is; (a, b) names equal vectors by 128 bits of hash."""
+    d = with_columns_apart(vectors, ["vec_id", "embedding"])
+    v = F.col("embedding") if d.schema["embedding"].dataType.simpleString() in ("array<float>", "array<double>") else F.col("embedding").cast("array<double>")
+    d = d.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
     fine = F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False))) & F.exists("v", lambda x: x != 0)
-    return d.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.coalesce(fine, F.lit(False)))
+    d = d.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.coalesce(fine, F.lit(False)))
+    dims = d.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+    return d.where(F.size("v") == (dims["d"] if dims else 0)).withColumn("a", F.xxhash64("v")).withColumn("b", F.xxhash64("v", F.lit(1)))
+
+
+def matrix(vectors) -> np.ndarray:
+    return np.stack(list(vectors)).astype(float)
+
+
+def luck(salt: int) -> Column:
+    """A number from 0 to 1 that the vector's name decides."""
+    return F.shiftrightunsigned(F.xxhash64("a", "b", F.lit(salt)), 1) / F.lit(float(1 << 63))
+
+
+def placed(rows: DataFrame, model: DataFrame | Index, sizes: dict[int, int], dim: int) -> DataFrame:
+    """Rows (part, query, vec_id, a, b, v) with the parts of the next level: n_parts * part + the part that a model says.
+
+    A vector goes to one part, a query to several. With a table of models (part, model), each part has its own and is
+    dealt out in blocks; a part without a model has one part below it.
+    """
+    schema = rows.schema
+
+    def go(part: np.ndarray, query: np.ndarray, x: np.ndarray, index: Index, fan_out: int) -> tuple[np.ndarray, np.ndarray]:
+        parts = index.parts(x, index.probes)
+        asks = np.flatnonzero(query)
+        at = np.r_[np.flatnonzero(~query), np.repeat(asks, parts.shape[1])]
+        return at, part[at] * fan_out + np.r_[parts[~query, 0], parts[asks].ravel()]
+
+    if isinstance(model, Index):
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for s in range(0, b.num_rows, AT_ONCE):
+                    t = b.slice(s, AT_ONCE)
+                    x = t.column(5).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+                    at, part = go(t.column(0).to_numpy(zero_copy_only=False), t.column(1).to_numpy(zero_copy_only=False), x, model, FAN_OUT)
+                    yield pa.RecordBatch.from_arrays([pa.array(part), *(c.take(pa.array(at)) for c in t.columns[1:])], names=t.schema.names)
+
+        return rows.mapInArrow(run, schema)
+
+    n = of_part(sizes, lambda s: max(1, -(-s * dim // BLOCK)))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("a", "b", F.lit(5)), n).cast("int"))
+    models = model.withColumn("block", F.explode(F.sequence(F.lit(0), n - 1)))
+
+    def each(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return left[schema.names]
+        index = pickle.loads(right["model"].iloc[0]) if len(right) else Index(np.ones((1, dim)), 1, 1, 1.0)
+        at, part = go(left["part"].to_numpy(), left["query"].to_numpy(bool), matrix(left["v"]), index, FAN_OUT)
+        return left.iloc[at].assign(part=part)[schema.names]
+
+    return dealt.groupBy("part", "block").cogroup(models.groupBy("part", "block")).applyInPandas(each, schema)
+
+
+def fitted(k: int, n_parts: int, aim: float):
+    """One part's sample -> its model."""
+
+    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        index = Index(np.unique(matrix(part["v"]), axis=0), k, n_parts, aim)
+        return pd.DataFrame({"part": [key[0]], "n_parts": [index.n_parts], "probes": [index.probes], "model": [pickle.dumps(index)]})
+
+    return fit
+
+
+def of_part(sizes: dict[int, int], f) -> Column:
+    """f(size) of the row's part, 1 where it has none. One number for each part."""
+    table = F.create_map(*[F.lit(x) for p, s in sizes.items() for x in (int(p), int(f(s)))]) if sizes else F.create_map(F.lit(-1), F.lit(1))
+    return F.coalesce(F.try_element_at(table, F.col("part").cast("int")), F.lit(1))
+
 
+def nearest(vectors: DataFrame, k: int = 5, every: int = 50, aim: float = 0.96, sample: int = SAMPLE, n_parts: int | None = None, told: dict | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found of each row whose vec_id is divisible by `every`.
 
-def nearest(vectors: DataFrame, k: int = 5, every: int = 50, aim: float = 0.97, sample: int = SAMPLE) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each row whose vec_id is divisible by `every`."""
+    n_parts: how many parts instead of about sqrt(vectors) / 4. told gets the numbers of parts and probes of each level.
+    """
     spark = vectors.sparkSession
     use_workers(spark)
-    v = written(usable(vectors), "ann-vectors")
-    total = v.count()
-    share = min(1.0, sample / max(1, total))
-    picked = v.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("vec_id", "v").limit(2 * sample).collect()
-    dims = Counter(len(r["v"]) for r in picked)
-    empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    if not dims:
-        return empty
-    dim = min(dims, key=lambda d: (-dims[d], d))
-    rows = sorted((r["vec_id"], r["v"]) for r in picked if len(r["v"]) == dim)
-    index = Index(np.array([r[1] for r in rows]), k, total, aim)
-    probes = index.probes
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = unit(matrix(b.column(1), dim))
-            parts = index.parts(x, probes)
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            asks = np.flatnonzero(ids % every == 0)
-            at = np.r_[np.arange(len(x)), np.repeat(asks, parts.shape[1])]
-            part = np.r_[parts[:, 0], parts[asks].ravel()]
-            query = np.r_[np.zeros(len(x), bool), np.ones(len(asks) * parts.shape[1], bool)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(query), *(c.take(pa.array(at)) for c in b.columns)], names=["part", "query", "vec_id", "v"])
-
-    rows = v.where(F.size("v") == dim).mapInArrow(place, "part int, query boolean, vec_id bigint, v array<double>")
-    rows = written(rows, "ann-parts")
-    # a part with very many vectors is dealt out in blocks, and its queries go to each of them: n_parts numbers
-    sizes = {r["part"]: r["n"] for r in rows.where("not query").groupBy("part").agg(F.count("*").alias("n")).collect()}
-    blocks = F.element_at(F.array(*[F.lit(int(-(-sizes.get(p, 1) // BLOCK))) for p in range(index.n_parts)]), F.col("part") + 1)
-    own = F.array(F.pmod(F.xxhash64("vec_id"), blocks).cast("int"))
-    rows = rows.withColumn("block", F.explode(F.when(F.col("query"), F.sequence(F.lit(0), blocks - 1)).otherwise(own)))
-    sides = [rows.where(c).select("part", "block", "vec_id", "v") for c in ("query", "not query")]
+    told = {} if told is None else told
+    v = written(usable(vectors).dropDuplicates(["vec_id", "a", "b"]), "ann-vectors")
+    first = v.select("v").first()
+    if first is None:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    dim = len(first["v"])
+    asks = v.where(F.pmod("vec_id", F.lit(every)) == 0)
+    same = Window.partitionBy("a", "b").orderBy("vec_id")
+    rows = v.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1)
+    cols = lambda d, query: d.select(F.lit(0).cast("long").alias("part"), F.lit(query).alias("query"), "vec_id", "a", "b", "v")
+    rows = written(cols(rows, False).unionByName(cols(asks.dropDuplicates(["a", "b"]), True)), "ann-rows")
+    total = rows.where("not query").count()
+    wanted = n_parts or 1 << max(2, round(np.log2(np.sqrt(total) / 4 + 1e-9)))
+    levels = max(1, -(-int(np.log2(wanted)) // int(np.log2(FAN_OUT))))
+    sizes = {0: total}
+    for level in range(levels):
+        fan_out = 1 << -(-int(np.log2(wanted)) // (levels - level))
+        wanted //= fan_out
+        # each part's sample: the vectors whose hash is smallest
+        some = rows.where(~F.col("query") & (luck(level) * of_part(sizes, lambda s: s) < 2.0 * sample)).withColumn("luck", luck(level)).select("part", "luck", "v")
+        step = aim ** (1 / levels)
+        if level == 0:
+            x = [r["v"] for r in some.orderBy("luck", "v").limit(sample).collect()]
+            model = Index(matrix(np.unique(np.array(x, float), axis=0)), k, fan_out, step)
+            told["parts"], told["probes"] = [model.n_parts], [model.probes]
+        else:
+            chosen = some.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy("luck", "v"))).where(F.col("nth") <= sample)
+
+            model = written(chosen.groupBy("part").applyInPandas(fitted(k, fan_out, step), "part bigint, n_parts int, probes int, model binary"), "ann-models")
+            of = model.agg(F.sum("n_parts").alias("n"), F.avg("probes").alias("p")).first()
+            told["parts"].append(of["n"])
+            told["probes"].append(of["p"])
+        rows = written(placed(rows, model, sizes, dim), "ann-parts")
+        counts = {q: dict(rows.where(F.col("query") == q).groupBy("part").agg(F.count("*").alias("n")).collect()) for q in (False, True)}  # one row for each part
+        sizes = counts[False]
+    n_vectors = of_part(sizes, lambda s: max(1, -(-s * dim // BLOCK)))
+    n_queries = of_part(counts[True], lambda s: max(1, -(-s // QUERIES)))
+    own, all_of = lambda n: F.array(F.pmod(F.xxhash64("a", "b", F.lit(7)), n).cast("int")), lambda n: F.sequence(F.lit(0), n - 1)
+    dealt = rows.withColumn("i", F.explode(F.when(F.col("query"), all_of(n_vectors)).otherwise(own(n_vectors))))
+    dealt = dealt.withColumn("j", F.explode(F.when(F.col("query"), own(n_queries)).otherwise(all_of(n_queries))))
+    sides = [dealt.where(c) for c in ("query", "not query")]
 
     def meet(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        left = left.drop_duplicates("vec_id")
-        q, v = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
-        a, b, s = search_block(left["vec_id"].to_numpy(), q, right["vec_id"].to_numpy(), v, k)
-        return pd.DataFrame({"query_id": a, "vec_id": b, "score": s})
-
-    found = sides[0].groupBy("part", "block").cogroup(sides[1].groupBy("part", "block")).applyInPandas(meet, "query_id bigint, vec_id bigint, score double")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            return pd.DataFrame({"a": [], "b": [], "vec_id": [], "score": []})
+        at, found, score = search_block(matrix(left["v"]), right["vec_id"].to_numpy(), matrix(right["v"]), k + 1)
+        return pd.DataFrame({"a": left["a"].to_numpy()[at], "b": left["b"].to_numpy()[at], "vec_id": found, "score": score})
+
+    # k + 1 for each query vector, as one may be the query's own id
+    found = sides[0].select("part", "i", "j", "a", "b", "v").groupBy("part", "i", "j").cogroup(sides[1].select("part", "i", "j", "vec_id", "v").groupBy("part", "i", "j")).applyInPandas(meet, "a bigint, b bigint, vec_id bigint, score double")
+    found = found.groupBy("a", "b", "vec_id").agg(F.max("score").alias("score"))
+    order = [F.col("score").desc(), "vec_id"]
+    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("a", "b").orderBy(*order))).where(F.col("rank") <= k + 1)
+    out = asks.select(F.col("vec_id").alias("query_id"), "a", "b").join(found, ["a", "b"]).where("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

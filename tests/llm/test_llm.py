@@ -3,6 +3,7 @@
 import hashlib
 import importlib.util
 import math
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -266,26 +267,73 @@ def test_shards_are_even(spark):
 # ------------------------------------------------------------------ op 7
 
 
-def test_ann(spark):
-    rng = np.random.default_rng(0)
-    centres = rng.standard_normal((40, 16))
-    x = centres[rng.integers(0, 40, 6000)] + 0.4 * rng.standard_normal((6000, 16))
-    x[1000:3000] = x[1000]  # one vector in a third of the rows
-    rows = [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))] + [(6050, None), (6100, [0.0] * 16), (6150, [float("nan")] * 16), (6200, [None] * 16), (None, [1.0] * 16), (6250, [1.0, 2.0])]
+def ann_results(found):
     got = defaultdict(list)
-    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("query_id", "rank").collect():
+    for r in found.orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
-    f = x.astype(np.float32).astype(float)
-    hit = 0
-    for i in range(0, 6000, 50):
-        s = ann.exact_cosine(f[i][None, :], f)
-        best = [j for j in np.lexsort((np.arange(6000), -s)) if j != i][:5]
-        hit += len({j for j, _ in got[i]} & set(best))
-        assert all(math.isclose(v, s[j], abs_tol=1e-12) for j, v in got[i])
-        if 1000 <= i < 3000:
-            assert [j for j, _ in got[i]] == best
-    assert set(got) == set(range(0, 6000, 50)) and hit / (120 * 5) >= 0.9
-    few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    return got
+
+
+def ann_recall(got, ids, x, k=5):
+    hit = total = 0
+    for i in np.flatnonzero(ids % 50 == 0):
+        s = ann.exact_cosine(x[i][None, :], x)
+        best = [j for j in np.lexsort((ids, -s)) if ids[j] != ids[i]][:k]
+        hit += len({j for j, _ in got[ids[i]]} & set(ids[best]))
+        total += len(best)
+        place = {v: n for n, v in enumerate(ids)}
+        assert all(math.isclose(v, s[place[j]], abs_tol=1e-12) for j, v in got[ids[i]])
+        assert got[ids[i]] == sorted(got[ids[i]], key=lambda r: (-r[1], r[0])) and len(got[ids[i]]) == len(best)
+    return hit / total
+
+
+def clustered(n, d=16, centres=40):
+    rng = np.random.default_rng(0)
+    return (rng.standard_normal((centres, d))[rng.integers(0, centres, n)] + 0.4 * rng.standard_normal((n, d))).astype(np.float32)
+
+
+@pytest.mark.parametrize("levels", [1, 2])
+def test_ann(spark, monkeypatch, levels):
+    """One vector in a third of the rows, odd rows, several parts; with two levels, each part is cut again by a fit of its own."""
+    if levels == 2:
+        monkeypatch.setattr(ann, "FAN_OUT", 4)
+        monkeypatch.setattr(ann, "BLOCK", 1024)
+        monkeypatch.setattr(ann, "QUERIES", 8)
+    x = clustered(6000)
+    x[1000:3000] = x[1000]
+    rows = [(i, v.tolist(), "x", 1) for i, v in enumerate(x)]
+    rows += [(i, e, None, None) for i, e in ((6050, None), (6100, [0.0] * 16), (6150, [float("nan")] * 16), (6200, [None] * 16), (None, [1.0] * 16), (6250, [1.0, 2.0]))]
+    told = {}
+    got = ann_results(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>, part string, a int"), n_parts=16, told=told))
+    f = x.astype(float)
+    assert ann_recall(got, np.arange(6000), f) >= 0.9 and set(got) == set(range(0, 6000, 50))
+    assert told["parts"] == ([16] if levels == 1 else [4, 16]) and told["probes"][0] < told["parts"][0]
+    for i in range(1000, 3000, 50):
+        assert [j for j, _ in got[i]] == [j for j in range(1000, 1010) if j != i][:5]
+
+
+def test_ann_of_the_given_vectors(spark):
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data here")
+    d = spark.read.parquet(path)
+    rows, told = d.collect(), {}
+    got = ann_results(ann.nearest(d, told=told))
+    assert told["parts"][0] > 1
+    assert ann_recall(got, np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)) >= 0.9
+
+
+def test_ann_ties(spark):
+    """Multiples of one vector tie wherever they are; ids that stand for several vectors are one candidate each."""
+    v = [3.0, 1.0, 2.0, 5.0]
+    rows = [(100 - i, [c * 2.0 ** (i % 60 - 30) for c in v]) for i in range(100)]
+    got = ann_results(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    assert {q: [j for j, _ in r] for q, r in got.items()} == {50: [1, 2, 3, 4, 5], 100: [1, 2, 3, 4, 5]}
+    rows = [(i % 7 + 1, [math.cos(i), math.sin(i)]) for i in range(70)] + [(50, [1.0, 0.0])] * 3
+    got = ann_results(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))[50]
+    best = sorted((max(math.cos(i) for i in range(70) if i % 7 == j), -j - 1) for j in range(7))[::-1][:5]
+    assert [j for j, _ in got] == [-j for _, j in best] and np.allclose([s for _, s in got], [s for s, _ in best])
+    few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(few).collect()] == [(0, 1, 1)]
     assert ann.nearest(few.limit(0)).count() == 0
 
