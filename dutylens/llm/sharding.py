@@ -1,15 +1,18 @@
 """Sharding by sampled splitters.
 
-A size-weighted sample of keys gives quantile boundaries, records are range-partitioned by them, and a range that
-turns out overfull is subdivided by a finer sample of its own. The key is (hash of the text, hash of the id): the
-ranges are even whatever the ids look like, equal texts are neighbours, and a text so frequent that it fills several
-ranges is cut by the second part. Ranges are much finer than shards; running sums over the ranges (a few numbers each)
-and within them give every record its exact place, from which its shard (near equal bytes) and slot follow.
+A size-weighted sample of keys gives quantile boundaries, records are range-partitioned by them, and ranges that turn
+out overfull are subdivided by a finer sample of their own, all of them in one pass, until none is. The key is (hash of
+the text, hash of the id, hash of the row's place): the ranges are even whatever the ids look like, and equal texts are
+neighbours. Ranges are much finer than shards; running sums over the ranges (a few numbers each) and within them give
+every record its exact place in the order of keys, from which its shard (near equal bytes) and slot follow. The sample
+only decides what a task holds: the place of a record is the same for every sample and layout of the table, as rows that
+only their place tells apart are equal in all.
 
-Equal texts share a shard unless they are together larger than a range (about 1/64 of a shard).
+Equal texts share a shard unless they have together more bytes or rows than a range's share (1/64 of a shard), which is
+found by an exact count; such a text is cut within.
 
 Cases: a null text has no bytes, size 1 and the CRC of no bytes; null ids and rows repeated whole get places of their own;
-an empty table gives an empty result; further columns are ignored.
+a record larger than a range is a range of its own; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,57 +22,51 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dutylens.llm.common import use_workers, with_columns_apart, written
 
-#: Expected size of a sample, and rows at which a range of any table is subdivided.
+#: Expected size of the first sample, and rows of a range in a table of very many.
 SAMPLE = 16_384
 RANGE_ROWS = 1_000_000
-ROUNDS = 4
+LOW = -(2**63)
 
 
-def _bytes(hi: int, lo: int) -> bytes:
-    """A key in an order that compares like the signed pair."""
-    return struct.pack(">QQ", (hi + 2**63) % 2**64, (lo + 2**63) % 2**64)
+def _bytes(key: tuple[int, ...]) -> bytes:
+    """A key in an order that compares like the signed numbers."""
+    return struct.pack(">QQQ", *((x + 2**63) % 2**64 for x in key))
 
 
-def _sample(rows: DataFrame, total_bytes: int, total_rows: int, size: int, seed: int) -> list[tuple[int, int, float]]:
-    """(hi, lo, weight): each record with a chance in proportion to its share of bytes and of rows; at most about 2 * size."""
-    share = F.col("size") / F.lit(float(total_bytes)) + F.lit(1.0 / total_rows)
-    chance = F.least(F.lit(1.0), share * size / 2)
-    luck = F.pmod(F.xxhash64("hi", "lo", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    picked = rows.where(luck < chance).select("hi", "lo", F.greatest(share, F.lit(2.0 / size)).alias("w"))
-    return [(r["hi"], r["lo"], r["w"]) for r in picked.collect()]
+def _sample(rows: DataFrame, chance: Column, seed: int) -> list:
+    """(part, hi, lo, tie, weight): each record with its chance; the weight says what a picked record stands for."""
+    luck = F.shiftrightunsigned(F.xxhash64("hi", "lo", "tie", F.lit(seed)), 1) / F.lit(float(1 << 63))
+    return rows.withColumn("chance", chance).where(luck < F.col("chance")).select("part", "hi", "lo", "tie", F.greatest(F.lit(1.0), F.col("chance")).alias("w")).collect()
 
 
-def _quantiles(sample: list[tuple[int, int, float]], n: int) -> list[tuple[int, int]]:
-    """n - 1 boundaries (first key of the next range). A text's group is cut only where it spans several ranges."""
-    sample = sorted(sample)
-    if not sample:
+def _quantiles(sample: list, n: int, large: set[int]) -> list[tuple[int, int, int]]:
+    """n - 1 boundaries (first key of the next range). Only a large text is cut within."""
+    keys = sorted((r["hi"], r["lo"], r["tie"], r["w"]) for r in sample)
+    if not keys:
         return []
-    upto = np.cumsum([w for _, _, w in sample])
+    upto = np.cumsum([k[3] for k in keys])
     at = np.unique(np.searchsorted(upto, upto[-1] * np.arange(1, n) / n))
-    cuts = [sample[i][:2] for i in at if i < len(sample)]
-    often = {h for (h, _), (k, _) in zip(cuts, cuts[1:]) if h == k}
-    low = -(2**63)
-    return sorted({(h, low) for h, _ in cuts} | {(h, k) for h, k in cuts if h in often})
+    cuts = [keys[i][:3] for i in at if i < len(keys)]
+    return [(h, a, t) if h in large else (h, LOW, LOW) for h, a, t in cuts]
 
 
-def _placed(rows: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
-    keys = np.array([_bytes(*c) for c in cuts], "S16") if cuts else np.empty(0, "S16")
+def _placed(rows: DataFrame, cuts: list[tuple[int, int, int]]) -> DataFrame:
+    keys = np.array([_bytes(c) for c in cuts], "S24") if cuts else np.empty(0, "S24")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hi, lo = (b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) + np.uint64(2**63) for i in (1, 2))
-            own = np.stack([hi, lo], axis=1).astype(">u8").tobytes()
-            at = np.searchsorted(keys, np.frombuffer(own, "S16"), side="right")
+            own = np.stack([b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) + np.uint64(2**63) for i in (1, 2, 3)], axis=1).astype(">u8")
+            at = np.searchsorted(keys, np.frombuffer(own.tobytes(), "S24"), side="right")
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at.astype(np.int32))], names=[*b.schema.names, "part"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "hi", "lo", "size", "text_crc32").mapInArrow(run, f"doc_id {kind}, hi bigint, lo bigint, size bigint, text_crc32 bigint, part int")
+    return rows.select("doc_id", "hi", "lo", "tie", "size", "text_crc32").mapInArrow(run, f"doc_id {kind}, hi bigint, lo bigint, tie bigint, size bigint, text_crc32 bigint, part int")
 
 
 def shard(docs: DataFrame, n_shards: int = 8) -> DataFrame:
@@ -79,44 +76,46 @@ def shard(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     d = with_columns_apart(docs, ["doc_id", "text"])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = d.select(
-        "doc_id", F.xxhash64(text).alias("hi"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.monotonically_increasing_id().alias("row"),
+        "doc_id", F.xxhash64(text).alias("hi"), F.xxhash64("doc_id").alias("lo"), F.xxhash64(F.monotonically_increasing_id()).alias("tie"),
+        (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
     )
-    # the row number only tells rows that are equal in all else apart, so that which gets which doesn't matter
-    rows = rows.select("doc_id", "hi", F.xxhash64("doc_id", "row").alias("lo"), "size", "text_crc32")
     rows = written(rows, "shard-keys")
     sums = rows.agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
-    n, total = sums["n"], sums["size"] or 1
+    n, total = max(1, sums["n"]), sums["size"] or 1
     n_ranges = max(64 * n_shards, n // RANGE_ROWS)
+    of_text = rows.groupBy("hi").agg(F.sum("size").alias("s"), F.count("*").alias("n"))
+    large = {r["hi"] for r in of_text.where((F.col("s") * n_ranges > total) | (F.col("n") * n_ranges > n)).collect()}  # at most 2 * n_ranges
     size = max(SAMPLE, 8 * n_ranges)
-    cuts = _quantiles(_sample(rows, total, max(n, 1), size, 0), n_ranges)
-    for step in range(1, ROUNDS + 1):
-        parts = _placed(rows, cuts)
-        full = parts.groupBy("part").agg(F.sum("size").alias("s"), F.count("*").alias("n")).where((F.col("s") > 4.0 * total / n_ranges) | (F.col("n") > 4.0 * max(n, 1) / n_ranges + 1000))
-        over = {r["part"]: (r["s"], r["n"]) for r in full.collect()}
+    share = F.col("size") / F.lit(float(total)) + F.lit(1.0 / n)
+    cuts = sorted(set(_quantiles(_sample(rows.withColumn("part", F.lit(0)), share * size / 2, 0), n_ranges, large)))
+    seed = 0
+    while True:
+        parts, seed = _placed(rows, cuts), seed + 1
+        # a record counts as a range at most: it can't be subdivided
+        full = parts.groupBy("part").agg(F.sum(F.least(F.col("size"), F.lit(-(-total // n_ranges)))).alias("s"), F.count("*").alias("n"))
+        full = full.select("part", (F.col("s") * n_ranges / F.lit(float(total))).alias("s"), (F.col("n") * n_ranges / F.lit(float(n))).alias("n")).where((F.col("s") > 4) | (F.col("n") > 4))
+        over = {r["part"]: int(np.ceil(max(r["s"], r["n"]))) for r in full.collect()}  # at most n_ranges / 2
         if not over:
             break
-        before = len(cuts)
-        for part, (s, k) in sorted(over.items()):  # there are at most n_ranges / 2 of them
-            pieces = int(np.ceil(max(s * n_ranges / total, k * n_ranges / max(n, 1))))
-            inside = parts.where(F.col("part") == part)
-            cuts = cuts + _quantiles(_sample(inside, s, k, 64 * pieces, step), pieces)
-        cuts = sorted(set(cuts))
-        if len(cuts) == before:
-            break  # single records larger than a range
+        finer = F.broadcast(spark.createDataFrame(list(over.items()), "part int, pieces int"))
+        found: dict[int, list] = {p: [] for p in over}
+        for r in _sample(parts.join(finer, "part"), share * n_ranges * 32, seed):
+            found[r["part"]].append(r)
+        more = sorted({*cuts, *(c for p, rs in found.items() for c in _quantiles(rs, over[p], large))})
+        if len(more) == len(cuts):
+            break  # nothing to cut between
+        cuts = more
     parts = written(_placed(rows, cuts), "shard-ranges")
     totals = {r["part"]: (r["s"], r["n"]) for r in parts.groupBy("part").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()}
     starts, size_before, rows_before = [], 0, 0
     for p in sorted(totals):
         starts.append((p, size_before, rows_before))
         size_before, rows_before = size_before + totals[p][0], rows_before + totals[p][1]
-    low = -(2**63)
-    cut_texts = {h for h, k in cuts if k != low}
     begun = spark.createDataFrame(starts, "part int, size_before bigint, rows_before bigint")
-    cut = spark.createDataFrame([(h,) for h in sorted(cut_texts)], "hi bigint").withColumn("cut", F.lit(True))
-    order = Window.partitionBy("part").orderBy("hi", "lo")
+    cut = spark.createDataFrame([(h,) for h in sorted(large)], "hi bigint").withColumn("cut", F.lit(True))
+    order = Window.partitionBy("part").orderBy("hi", "lo", "tie")
     group = Window.partitionBy("part", "hi")
-    # both tables have at most one row for each range
+    # both tables have a few rows for each range at most
     out = parts.withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("nth", F.row_number().over(order))
     out = out.join(F.broadcast(begun), "part").join(F.broadcast(cut), "hi", "left")
     first, last = F.min(F.col("upto") - F.col("size")).over(group), F.max("upto").over(group)

@@ -264,6 +264,43 @@ def test_shards_are_even(spark):
     assert all(len(s) == 1 for t, s in where.items() if t != "same text " * 20)
 
 
+def shards_of(rows, n_shards):
+    """The rows' places by sorting them all: doc_id, size, crc, shard, slot."""
+    import xxhash
+    import zlib
+
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    hi = lambda t: signed(xxhash.xxh64_intdigest(t.encode(), 42))
+    lo = lambda i: 42 if i is None else signed(xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), 42))
+    rows = sorted((hi(t or ""), lo(i), i, t or "") for i, t, _ in rows)
+    sizes = [len(t.encode()) + 1 for *_, t in rows]
+    total, limit, groups = sum(sizes), 64 * n_shards, defaultdict(list)
+    for k, r in enumerate(rows):
+        groups[r[0]].append(k)
+    before, out, used = np.cumsum([0, *sizes]), [], Counter()
+    for k, (h, _, i, t) in enumerate(rows):
+        own = groups[h]
+        size, count = sum(sizes[j] for j in own), len(own)
+        cut = size * limit > total or count * limit > len(rows)
+        middle = before[k] + sizes[k] / 2 if cut else (before[own[0]] + before[own[-1] + 1]) / 2
+        at = min(n_shards - 1, int(middle * n_shards / total))
+        out.append((i, sizes[k], zlib.crc32(t.encode()), at, used[at]))
+        used[at] += 1
+    return out
+
+
+def test_shards_by_sorting(spark, docs, monkeypatch):
+    """Every place, for several layouts of the table, with ranges that start out overfull and with one huge record."""
+    monkeypatch.setattr(sharding, "SAMPLE", 64)
+    rng = random.Random(4)
+    rows = [(i % 700 if i % 50 else None, " ".join(["w"] * rng.randint(0, 60)) + str(i % 900), "s") for i in range(1500)] + [(5, "same again", "s")] * 700
+    for given in (odd_rows(), rows):
+        want = Counter(shards_of(given, 8))
+        for parts in (1, 7):
+            got = sharding.shard(table(spark, given).repartition(parts), 8).collect()
+            assert Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in got) == want
+
+
 # ------------------------------------------------------------------ op 7
 
 
