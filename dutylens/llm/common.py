@@ -48,6 +48,14 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or one like it that no column of df has."""
+    there = {c.lower() for c in df.columns}
+    while name.lower() in there:
+        name += "_"
+    return name
+
+
 def with_columns_apart(df: DataFrame, names: list[str]) -> DataFrame:
     """Only the named columns, so that nothing else in a caller's table can clash with ours; a missing one is null."""
     there = {c.lower(): c for c in df.columns}

@@ -6,11 +6,15 @@ every document, different values of a kind different ones, and a holder of the k
 
 * card: of a run of digit groups, the groups that form a valid number (unbroken or in a card's usual layout before
   others, then from the left the longest); the first digit stays, the inner digits are permuted, the check digit is computed anew;
-* IPv4: the 32 bits as two halves; * phone: the digits after the country code; * SSN: its digits;
+* IPv4: the 32 bits as two halves; * phone: the digits after the country code;
+* SSN: its digits, permuted again until it is one that can be given out;
 * IBAN: country stays, the account's digits and letters are permuted, the check digits are computed anew;
 * date: the day within its century is permuted on Z_a x Z_b with a*b days (92*397, or 75*487 with a leap
-  century), so that dates stay dates; * e-mail: letters and digits of the local part; * quoted hexadecimal secrets of 32 or more
-  digits, as in `token = "..."`.
+  century), so that dates stay dates; a date with slashes is month first if it can be, and one that can't is permuted again until
+  it can't either, so that the two layouts don't meet;
+* e-mail: letters and digits of the local part; * quoted hexadecimal secrets of 32 or more digits, as in `token = "..."`.
+
+"Again until" goes up to WALK times; more than half of all values are right at each time, so that it ends long before.
 
 Strings are permuted by an alternating Feistel network over two halves: each round adds digits of a SHA-256 of key,
 round and other half to the characters of one half, each within its own class (digits, small, capital letters).
@@ -24,7 +28,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dutylens.llm.common import free_name
+
 ROUNDS = 8
+WALK = 64
 DIGITS = "0123456789"
 SMALL = "abcdefghijklmnopqrstuvwxyz"
 LARGE = SMALL.upper()
@@ -169,9 +176,15 @@ def _phone(m: Column, key: str) -> Column:
     return F.when((n >= 7) & (n <= 15), F.concat(head, _let(rest, lambda r: _refill(r, permute(_digits(r), key, "phone", [DIGITS]), "[0-9]")))).otherwise(m)
 
 
+def _again(value: Column, moved, right) -> Column:
+    """moved(value), and moved again until right(value): a permutation of the right values, if moved is one of more."""
+    step = lambda x, i: F.when((i > 1) & right(x), x).otherwise(moved(x))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), value, step)
+
+
 def _ssn(m: Column, key: str) -> Column:
-    valid = ~m.rlike("^(000|666|9)") & ~m.rlike("-00-") & ~m.rlike("0000$")
-    return F.when(valid, _refill(m, permute(_digits(m), key, "ssn", [DIGITS]), "[0-9]")).otherwise(m)
+    valid = lambda d: ~d.rlike("^(000|666|9)|^.{3}00|0000$")
+    return _let(_digits(m), lambda d: F.when(valid(d), _refill(m, _again(d, lambda x: permute(x, key, "ssn", [DIGITS]), valid), "[0-9]")).otherwise(m))
 
 
 def _iban_rest(body: Column, country: Column) -> Column:
@@ -190,20 +203,23 @@ def _iban(m: Column, key: str) -> Column:
     return _let(F.regexp_replace(m, " ", ""), made)
 
 
-def _date(m: Column, key: str, layout: str) -> Column:
-    """layout: yyyy-MM-dd and the like; the years 1000 to 9999."""
-    day = F.try_to_timestamp(m, F.lit(layout)).cast("date")
+def _other_day(d: Column, key: str) -> Column:
+    """The day of the same century that stands for d."""
+    century = F.floor(F.year(d) / 100) * 100
+    first = F.make_date(century.cast("int"), F.lit(1), F.lit(1))
+    leap = F.pmod(century, F.lit(400)) == 0
+    na, nb = F.when(leap, 75).otherwise(92).cast("long"), F.when(leap, 487).otherwise(397).cast("long")
+    n = F.datediff(d, first)
+    moved = _numbers(F.floor(n / nb), F.pmod(n.cast("long"), nb), na, nb, key, "date")
+    return F.date_add(first, _let(moved, lambda x: (x["a"] * nb + x["b"]).cast("int")))
 
-    def made(d: Column) -> Column:
-        century = F.floor(F.year(d) / 100) * 100
-        first = F.make_date(century.cast("int"), F.lit(1), F.lit(1))
-        leap = F.pmod(century, F.lit(400)) == 0
-        na, nb = F.when(leap, 75).otherwise(92).cast("long"), F.when(leap, 487).otherwise(397).cast("long")
-        n = F.datediff(d, first)
-        moved = _numbers(F.floor(n / nb), F.pmod(n.cast("long"), nb), na, nb, key, "date")
-        return F.date_format(F.date_add(first, _let(moved, lambda x: (x["a"] * nb + x["b"]).cast("int"))), layout)
 
-    return _let(day, lambda d: F.when(d.isNotNull() & (F.year(d) >= 1000), made(d)).otherwise(m))
+def _date(m: Column, key: str, layout: str, late: bool = False) -> Column:
+    """layout: yyyy-MM-dd and the like; the years 1000 to 9999. late: only days after the 12th, and only for such."""
+    day = F.try_to_timestamp(m, F.lit(layout)).cast("date")
+    moved = (lambda d: _again(d, lambda x: _other_day(x, key), lambda x: F.dayofmonth(x) > 12)) if late else (lambda d: _other_day(d, key))
+    valid = lambda d: d.isNotNull() & (F.year(d) >= 1000) & ((F.dayofmonth(d) > 12) | F.lit(not late))
+    return _let(day, lambda d: F.when(valid(d), F.date_format(moved(d), layout)).otherwise(m))
 
 
 def _email(m: Column, key: str) -> Column:
@@ -224,7 +240,7 @@ def pseudonym(m: Column, key: str) -> Column:
         .when(m.rlike(whole(IPV4)), _ip(m, key))
         .when(m.rlike(whole(ISO_DATE)), _date(m, key, "yyyy-MM-dd"))
         .when(m.rlike(whole(DOT_DATE)), _date(m, key, "dd.MM.yyyy"))
-        .when(m.rlike(whole(SLASH_DATE)), F.coalesce(F.nullif(_date(m, key, "MM/dd/yyyy"), m), _date(m, key, "dd/MM/yyyy")))
+        .when(m.rlike(whole(SLASH_DATE)), F.when(F.substring(m, 1, 2) > "12", _date(m, key, "dd/MM/yyyy", late=True)).otherwise(_date(m, key, "MM/dd/yyyy")))
         .when(m.rlike(whole(SSN)), _ssn(m, key))
         .when(m.rlike(whole(PHONE)), _phone(m, key))
         .when(m.rlike("^[A-Z]{2}"), _iban(m, key))
@@ -256,6 +272,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str | Non
     parts = F.struct(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)).alias("m"), F.split(t, ANY, -1).alias("p"))
     hit = t.rlike("[0-9]") & t.rlike(ANY) | t.contains("@") & t.rlike(EMAIL)
     done = F.when(hit, _let(parts, made)).otherwise(F.struct(t.alias("text"), F.lit(0).cast("long").alias("n")))
-    out = docs.select(*[F.col(f"`{c}`") for c in docs.columns], done.alias("__done"))
-    cols = [F.col("__done.text").alias(c) if c == name else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*cols, *([F.col("__done.n").alias(found)] if found else []))
+    own = free_name(docs, "done")
+    out = docs.select(*[F.col(f"`{c}`") for c in docs.columns], done.alias(own))
+    cols = [F.col(f"{own}.text").alias(c) if c == name else F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*cols, *([F.col(f"{own}.n").alias(found)] if found else []))

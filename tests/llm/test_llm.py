@@ -7,7 +7,7 @@ import os
 import random
 import re
 from collections import Counter, defaultdict
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
@@ -405,6 +405,136 @@ def test_pii(spark):
     assert other[0] != got[0]["text"]
 
 
+class Undo:
+    """What stood before a pseudonym, by its kind, written anew in Python."""
+
+    def __init__(self, key):
+        self.key = key
+
+    def digest(self, *parts):
+        return hashlib.sha256("|".join([self.key, *map(str, parts)]).encode()).hexdigest()
+
+    def string(self, s, kind, alphabets):
+        a, b = s[: len(s) // 2], s[len(s) // 2 :]
+        for i in range(pii.ROUNDS, 0, -1):
+            d = self.digest(kind, i, len(b), a)
+            old = ""
+            for j, c in enumerate(b, 1):
+                by = int(d[(j - 1) * 2 % 60 :][:4], 16) + j
+                own = next((x for x in alphabets if c in x), None)
+                old += own[(own.index(c) - by) % len(own)] if own else c
+            a, b = old, a
+        return a + b
+
+    def pair(self, a, b, na, nb, kind):
+        for i in range(pii.ROUNDS, 0, -1):
+            if i % 2 == 0:
+                a = (a - int(self.digest(kind, i, b)[:15], 16)) % na
+            else:
+                b = (b - int(self.digest(kind, i, a)[:15], 16)) % nb
+        return a, b
+
+    def fill(self, shape, values, pattern):
+        values = iter(values)
+        return "".join(next(values) if re.match(pattern, c) else c for c in shape)
+
+    def card(self, m):
+        d = re.sub(r"\D", "", m)
+        body = d[0] + self.string(d[1:-1], "card", [pii.DIGITS])
+        return self.fill(m, next(body + c for c in pii.DIGITS if luhn(body + c)), r"\d")
+
+    def ip(self, m):
+        o = [int(x) for x in m.split(".")]
+        a, b = self.pair(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, "ip")
+        return f"{a >> 8}.{a & 255}.{b >> 8}.{b & 255}"
+
+    def phone(self, m):
+        head = (re.match(r"(\+\d{1,3}(?=[ .(-])|\+\d)", m) or [""])[0]
+        return head + self.fill(m[len(head) :], self.string(re.sub(r"\D", "", m[len(head) :]), "phone", [pii.DIGITS]), r"\d")
+
+    def ssn(self, m):
+        d = self.string(re.sub(r"\D", "", m), "ssn", [pii.DIGITS])
+        while re.match(r"000|666|9|...00", d) or d.endswith("0000"):
+            d = self.string(d, "ssn", [pii.DIGITS])
+        return self.fill(m, d, r"\d")
+
+    def iban(self, m):
+        c = m.replace(" ", "")
+        body = self.string(c[4:], "iban", [pii.DIGITS, pii.LARGE])
+        rest = 98 - int("".join(str(int(x, 36)) for x in body + c[:2] + "00")) % 97
+        return self.fill(m, c[:2] + f"{rest:02d}" + body, "[0-9A-Z]")
+
+    def day(self, d):
+        first = date(d.year // 100 * 100, 1, 1)
+        na, nb = (75, 487) if first.year % 400 == 0 else (92, 397)
+        a, b = self.pair((d - first).days // nb, (d - first).days % nb, na, nb, "date")
+        return first + timedelta(days=a * nb + b)
+
+    def date(self, m):
+        if "-" in m:
+            return self.day(date.fromisoformat(m)).isoformat()
+        if "." in m:
+            return self.day(datetime.strptime(m, "%d.%m.%Y").date()).strftime("%d.%m.%Y")
+        if int(m[:2]) <= 12:
+            return self.day(datetime.strptime(m, "%m/%d/%Y").date()).strftime("%m/%d/%Y")
+        d = self.day(datetime.strptime(m, "%d/%m/%Y").date())
+        while d.day <= 12:
+            d = self.day(d)
+        return d.strftime("%d/%m/%Y")
+
+    def email(self, m):
+        return self.string(m.split("@")[0], "email", [pii.DIGITS, pii.SMALL, pii.LARGE]) + "@" + m.split("@")[1]
+
+    def secret(self, m):
+        return self.string(m, "secret", [pii.DIGITS, pii.HEX, pii.HEX.upper()])
+
+
+def test_pseudonyms_are_undone(spark):
+    """Of every kind: one pseudonym for each value, valid again, and undone by who has the key."""
+    rng = random.Random(8)
+    digits = lambda n: "".join(rng.choice(pii.DIGITS) for _ in range(n))
+    card = lambda n: next(c for c in (f"4{digits(n - 2)}{k}" for k in [*pii.DIGITS] * 100) if luhn(c))
+
+    def iban(body):
+        rest = 98 - int("".join(str(int(x, 36)) for x in body + "DE00")) % 97
+        return f"DE{rest:02d}{body}"
+
+    days = [date(1999, 1, 1) + timedelta(days=k) for k in range(366)]
+    ssns = {f"{rng.randint(1, 899):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}" for _ in range(1500)}
+    values = {
+        "card": [card(n) for n in (13, 15, 16, 19) for _ in range(40)],
+        "ip": [".".join(str(rng.randint(0, 255)) for _ in range(4)) for _ in range(150)],
+        "phone": [f"+{rng.choice([1, 49, 380])} ({digits(3)}) {digits(3)}-{digits(4)}" for _ in range(150)] + [f"{digits(3)}-{digits(3)}-{digits(4)}" for _ in range(50)],
+        "ssn": [s for s in ssns if not s.startswith("666")],
+        "iban": [iban(digits(rng.choice([12, 18]))) for _ in range(60)] + [iban("ABCD" + digits(14)) for _ in range(20)],
+        "date": [d.isoformat() for d in days] + [d.strftime("%d.%m.%Y") for d in days[:60]] + sorted({d.strftime(x) for d in days for x in ("%m/%d/%Y", "%d/%m/%Y")}),
+        "email": [f"{rng.choice(['Ann', 'bob', 'c.D'])}{digits(5)}@mail.org" for _ in range(100)],
+        "secret": [hashlib.sha1(digits(9).encode()).hexdigest() for _ in range(60)] + [hashlib.md5(digits(9).encode()).hexdigest().upper() for _ in range(30)],
+    }
+    undo = Undo("key")
+    shape = lambda s: re.sub("[0-9]", "0", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", s)))
+    rows = [(kind, v, f'"{v}"' if kind == "secret" else v) for kind, vs in values.items() for v in dict.fromkeys(vs)]
+    out = pii.pseudonymise(spark.createDataFrame(rows, "kind string, value string, text string"), "key", found="n").collect()
+    new = defaultdict(set)
+    for r in out:
+        got = r["text"].strip('"')
+        assert getattr(undo, r["kind"])(got) == r["value"], (r, getattr(undo, r["kind"])(got))
+        assert shape(got) == shape(r["value"]) or r["kind"] == "ip"
+        new[r["kind"]].add(got)
+    assert all(len(new[k]) == len(set(vs)) for k, vs in values.items())
+    assert not any(re.match("000|666|9", s) or "-00-" in s or s.endswith("0000") for s in new["ssn"]) and all(luhn(c) for c in new["card"])
+
+
+def test_pii_odd_tables(spark):
+    """Repeated rows, a very long text, and columns that have our names."""
+    rows = [(1, "a@b.org 10.0.0.1", "x", None), (1, "a@b.org 10.0.0.1", "x", None), (2, "mail a@b.org " + "word 10.0.0.1, " * 40_000, None, 2), (3, None, None, None), (4, "", "y", 4)]
+    d = spark.createDataFrame(rows, "doc_id long, Text string, done string, done_ int").withColumnRenamed("done_", "__done")
+    got = pii.pseudonymise(d, "key").collect()
+    assert pii.pseudonymise(d, "key").columns == d.columns and [(r["doc_id"], r["done"], r["__done"]) for r in got] == [(i, a, b) for i, _, a, b in rows]
+    assert got[0]["Text"] == got[1]["Text"] != rows[0][1] and got[2]["Text"].count(got[0]["Text"].split()[1] + ",") == 40_000 and "10.0.0.1" not in got[2]["Text"]
+    assert pii.pseudonymise(d.drop("Text"), "key").columns == ["doc_id", "done", "__done"]
+
+
 def test_cards_beside_numbers(spark):
     one, two, four = "4111111111111111", "5500000000000004", "4111 1111 1111 1111"
     beside = [f"{one} 123", f"{one} 12 items", f"room 12 {one}", f"room 1234 {four}", f"{four} 1234 x", f"7 {one} 8 {two} 9", f"{one} {two}", f"{one} 2021-02-03", f"{one} 12-3a", f"5-{one}", f"{one} 12/05/2020", f"{one} 12.5", f"{one} 123-45-6789"]
