@@ -1,15 +1,24 @@
-"""Python workers import this package from the folder it stands in, also where it is not installed."""
+"""Python workers import this package from the folder it stands in, or from the driver's copy where that is not mounted."""
 
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
 
 def use_workers(spark: SparkSession) -> None:
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    had = env.get("PYTHONPATH", "")
-    if root not in had.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, had) if x)
+    """Let Python workers import this package where it is not installed."""
+    sc = spark.sparkContext
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    root = os.path.dirname(package)
+    had = sc.environment.get("PYTHONPATH", "")
+    if root in had.split(os.pathsep):
+        return
+    sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, had) if x)
+    if not sc.master.startswith("local["):
+        # Spark sends the archive to the executors; the driver's own folder may not be there
+        copy = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="dutylens-"), "dutylens"), "zip", root, os.path.basename(package))
+        sc.addPyFile(copy)
