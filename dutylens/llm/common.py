@@ -1,47 +1,17 @@
-"""Helpers that the corpus operators share: scratch tables, worker paths, word counts, connected components."""
+"""Helpers that the corpus operators share: word counts, columns apart, connected components."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A word: a run of anything but blank, tab, line feed, vertical tab, form feed and carriage return.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, only where that is unset, one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="dutylens-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
+from dutylens.sources.scratch import new_folder, written
+from dutylens.sources.workers import use_workers
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["WORD", "components", "free_name", "n_words", "new_folder", "use_workers", "with_columns_apart", "written"]
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read again: its lineage ends there, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def use_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package where it is not installed: they get its folder on their path."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    had = env.get("PYTHONPATH", "")
-    if root not in had.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, had) if x)
+#: A word: a run of anything but blank, tab, line feed, vertical tab, form feed and carriage return.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def n_words(text: Column) -> Column:
@@ -62,7 +32,7 @@ def with_columns_apart(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[(F.col(f"`{there[n.lower()]}`") if n.lower() in there else F.lit(None).cast("string")).alias(n) for n in names])
 
 
-def components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) of every node in `edges` (u, v): root is the smallest node that is reachable.
 
     Alternating large and small stars (Kiveris et al. 2014). Each round is written to the shared folder; only two
@@ -71,7 +41,7 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 60)
     """
     e = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     before = None
-    for _ in range(max_rounds):
+    while True:
         # large star: every larger neighbour of a node moves to the smallest node around
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
@@ -86,6 +56,4 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 60)
         if now == before or roots["n"] == 0:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
