@@ -37,12 +37,15 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A replica of all pages, audited against one with planted damage: first characters and whole payloads."""
-    pages = table(spark, sf_dir, "pages")
+    """All pages stored as WARC files, audited against a second replica, stored with damage: changed, blanked and cut payloads, lost and added records."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     n_files = max(1, -(-pages.count() // 1000))
-    html = F.coalesce(F.col("html"), F.lit(""))
-    damaged = F.when(F.col("page_id") % 97 == 11, F.concat(F.lit("X"), F.substring(html, F.lit(2), F.length(html)))).when(F.col("page_id") % 389 == 7, F.repeat(F.lit("0"), F.octet_length(html))).otherwise(html)
-    return warc_fixity.audit(warc_fixity.archive(pages, n_files), warc_fixity.archive(pages, n_files, damaged))
+    html, hit = F.coalesce(F.col("html"), F.lit("")), lambda n, k: F.coalesce(F.col("page_id") % n == k, F.lit(False))
+    stored = F.when(hit(97, 11), F.concat(F.lit("X"), F.substring(html, F.lit(2), F.length(html)))).when(hit(389, 7), F.repeat(F.lit("0"), F.octet_length(html)))
+    stored = stored.when(hit(193, 5), F.substring(html, F.lit(1), F.floor(F.length(html) / 2).cast("int"))).otherwise(html)
+    damaged = pages.where(~hit(211, 3)).withColumn("stored", stored).unionByName(pages.where(hit(307, 2)).select((-1 - F.col("page_id")).alias("page_id"), "url", "html", html.alias("stored")))
+    replicas = [warc_fixity.write_warc(pages, n_files), warc_fixity.write_warc(damaged, n_files, "stored")]
+    return warc_fixity.audit(*[warc_fixity.read_warc(spark, r) for r in replicas])
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,17 +97,22 @@ FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source JOIN k ON d.source IS NO
 
 
 OP4_SQL = r"""
-WITH p AS (
-  SELECT page_id, url, coalesce(html, '') AS html, ('0x' || substr(md5(concat_ws('|', coalesce(CAST(page_id AS VARCHAR), ''), coalesce(url, ''))), 1, 8))::BIGINT
-    % (SELECT greatest(1, ceil(count(*) / 1000.0))::BIGINT FROM pages) AS file
-  FROM pages),
-d AS (SELECT *, CASE WHEN page_id % 97 = 11 THEN 'X' || substr(html, 2) WHEN page_id % 389 = 7 THEN repeat('0', strlen(html)) ELSE html END AS other FROM p),
-r AS (SELECT file::INT AS file, page_id, url,
-    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10)
-      || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' AS head, chr(13) || chr(10) || chr(13) || chr(10) AS gap, html, other FROM d),
-h AS (SELECT file, page_id, url, strlen(head || strlen(html) || gap || html || gap) AS length, sha256(head || strlen(html) || gap || html || gap) AS expected, sha256(head || strlen(other) || gap || other || gap) AS found FROM r),
-o AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id NULLS FIRST, url NULLS FIRST, expected ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM h)
-SELECT file, page_id, url, "offset", length::BIGINT AS length, 'altered' AS fault, expected, found FROM o WHERE expected <> found
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+s AS (SELECT 'a' AS side, page_id, url, html, html AS stored FROM p
+  UNION ALL SELECT 'b', page_id, url, html, CASE WHEN page_id % 97 = 11 THEN 'X' || substr(html, 2) WHEN page_id % 389 = 7 THEN repeat('0', strlen(html)) WHEN page_id % 193 = 5 THEN substr(html, 1, length(html) // 2) ELSE html END
+    FROM p WHERE coalesce(page_id % 211 <> 3, true)
+  UNION ALL SELECT 'b', -1 - page_id, url, html, html FROM p WHERE page_id % 307 = 2),
+f AS (SELECT side, page_id, url, 'file=' || ('0x' || substr(md5(concat_ws('|', coalesce(CAST(page_id AS VARCHAR), ''), coalesce(url, ''))), 1, 8))::BIGINT % (SELECT greatest(1, ceil(count(*) / 1000.0))::BIGINT FROM pages) AS file,
+    'WARC/1.1' || n || 'WARC-Type: response' || n || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || n || 'WARC-Target-URI: ' || coalesce(url, '') || n || 'Content-Length: ' || strlen(html) || n || n || stored || n || n AS record
+  FROM s, (SELECT chr(13) || chr(10) AS n)),
+o AS (SELECT side, file, page_id, coalesce(url, '') AS url, strlen(record)::BIGINT AS length, sha256(record) AS sha,
+    coalesce(sum(strlen(record)) OVER (PARTITION BY side, file ORDER BY page_id NULLS FIRST, url NULLS FIRST, record ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at FROM f),
+g AS (SELECT side, file, page_id, url, sha, count(*) AS n, min(at) AS at, min(length) AS length FROM o GROUP BY ALL),
+m AS (SELECT x.*, x.n - coalesce(y.n, 0) AS more FROM g x LEFT JOIN g y ON x.side <> y.side AND x.file = y.file AND x.page_id IS NOT DISTINCT FROM y.page_id AND x.url = y.url AND x.sha = y.sha),
+k AS (SELECT *, row_number() OVER (PARTITION BY side, file, page_id, url ORDER BY at, sha) AS nth FROM m WHERE more > 0)
+SELECT coalesce(a.file, b.file) AS file, coalesce(a.page_id, b.page_id) AS page_id, coalesce(a.url, b.url) AS url, coalesce(a.at, b.at) AS "offset", coalesce(a.length, b.length) AS length, coalesce(a.more, b.more)::BIGINT AS copies,
+  CASE WHEN b.sha IS NULL THEN 'missing' WHEN a.sha IS NULL THEN 'extra' ELSE 'altered' END AS fault, a.sha AS expected, b.sha AS found
+FROM (SELECT * FROM k WHERE side = 'a') a FULL JOIN (SELECT * FROM k WHERE side = 'b') b ON a.file = b.file AND a.page_id IS NOT DISTINCT FROM b.page_id AND a.url = b.url AND a.nth = b.nth
 """
 
 OP10_SQL = r"""
