@@ -6,14 +6,23 @@ several blocks is put together by a prefix scan over three numbers per block: se
 one, tokens after the last one. The scan is two-level (groups of blocks, then groups), so that a file of any length
 is no single task.
 
+Files are read and written in ranges of bytes, which Spark's readers don't offer, so pyarrow does it, on the store that
+Hadoop resolves the folder to (a path without a scheme is on Hadoop's default file system). A store that pyarrow doesn't know
+raises ValueError before anything is written, and `count_tokens` raises RuntimeError if the scan doesn't find as many documents in a
+file as were written to it.
+
 Cases: a document without tokens has count 0; tokens after the last end id are an unfinished document and reported
-with ended = false; an empty file has no documents; a file whose length is no multiple of the width raises ValueError.
-`write_token_files` writes null texts as documents without tokens, and repeated rows as often as they come.
+with ended = false; an empty file has no documents; a file whose length is no multiple of the width raises ValueError;
+a folder that is not there, FileNotFoundError. `write_token_files` writes null texts as documents without tokens, repeated rows as often as they
+come, and very long texts whole, across as many blocks as they take; an empty table makes no files and an empty result; further
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +39,22 @@ BLOCK_TOKENS = 1 << 19
 GROUP = 1024
 
 
+def resolved(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme by which Hadoop knows it; ValueError if pyarrow doesn't know that store."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    open_store(uri)
+    return uri
+
+
 def open_store(uri: str) -> tuple[fs.FileSystem, str]:
-    """Any store that pyarrow knows, or a local path."""
-    if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri
+    """pyarrow's view of a resolved folder."""
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
+    try:
+        return fs.FileSystem.from_uri(quote(re.sub("^s3[an]:", "s3:", uri), safe=":/@"))
+    except (pa.ArrowException, OSError, NotImplementedError) as e:
+        raise ValueError(f"token files need a store that pyarrow can open: {uri}") from e
 
 
 def byte_coder(path: str):
@@ -61,7 +79,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, dtype:
     use_workers(spark)
     d = with_columns_apart(docs, ["doc_id", "text"])
     kind = d.schema["doc_id"].dataType.simpleString()
-    folder = folder or new_folder(spark, "token-files")
+    folder = resolved(spark, folder or new_folder(spark, "token-files"))
+    store, root = open_store(folder)
+    store.create_dir(root, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, (store, root), task = byte_coder(tokenizer_path), open_store(folder), TaskContext.get()
@@ -96,14 +116,19 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, dtype:
 def token_files(folder: str) -> list[tuple[str, int]]:
     """(name, bytes) of each token file of a folder. The driver lists them; a list of files, not of documents."""
     store, root = open_store(folder)
-    found = store.get_file_info(fs.FileSelector(root, recursive=False, allow_not_found=True))
+    found = store.get_file_info(fs.FileSelector(root, recursive=False))
     return sorted((f.base_name, f.size) for f in found if f.is_file and not f.base_name.startswith("."))
 
 
 def scan_tokens(spark: SparkSession, folder: str, end_id: int, dtype: str = "<u2", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(file, nth, start, n_tokens, ended) of every document in the token files of a folder."""
+    return stitched(scan_blocks(spark, folder, end_id, dtype, block_tokens))
+
+
+def scan_blocks(spark: SparkSession, folder: str, end_id: int, dtype: str = "<u2", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Per block: tokens (n), separators (ends), tokens before the first (head), after the last (tail) and between them (inner)."""
     use_workers(spark)
-    width = np.dtype(dtype).itemsize
+    width, folder = np.dtype(dtype).itemsize, resolved(spark, folder)
     files = token_files(folder)
     if odd := [f for f, size in files if size % width]:
         raise ValueError(f"not a whole number of {width}-byte tokens: {odd[:3]}")
@@ -128,7 +153,11 @@ def scan_tokens(spark: SparkSession, folder: str, end_id: int, dtype: str = "<u2
                     names=["file", "block", "n", "ends", "head", "tail", "inner"],
                 )
 
-    found = written(blocks.mapInArrow(search, "file string, block bigint, n bigint, ends bigint, head bigint, tail bigint, inner array<int>"), "token-blocks")
+    return written(blocks.mapInArrow(search, "file string, block bigint, n bigint, ends bigint, head bigint, tail bigint, inner array<int>"), "token-blocks")
+
+
+def stitched(found: DataFrame) -> DataFrame:
+    """The documents of scanned blocks."""
     # prefix scan of (separators so far, open tokens): within groups of blocks, over groups, and back
     sums = found.select("file", "block", "n", "ends", "tail", F.floor(F.col("block") / GROUP).alias("group"))
     order = Window.partitionBy("file", "group").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -163,5 +192,9 @@ def _carried(rows: DataFrame, window) -> DataFrame:
 def count_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, dtype: str = "<u2", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Write docs as flat token files, then count what a scan of the files finds: doc_id, file, nth, n_tokens."""
     manifest, folder = write_token_files(docs, tokenizer_path, end_id, dtype)
-    found = scan_tokens(docs.sparkSession, folder, end_id, dtype, block_tokens)
-    return manifest.join(found, ["file", "nth"]).select("doc_id", "file", "nth", "n_tokens")
+    blocks = scan_blocks(docs.sparkSession, folder, end_id, dtype, block_tokens)
+    wrote, scanned = manifest.groupBy("file").agg(F.count("*").alias("wrote")), blocks.groupBy("file").agg(F.sum("ends").alias("scanned"))
+    lost = wrote.join(scanned, "file", "full").where(~F.col("wrote").eqNullSafe(F.col("scanned"))).first()
+    if lost:
+        raise RuntimeError(f"token file {lost['file']}: {lost['wrote']} documents were written, {lost['scanned']} are there")
+    return manifest.join(stitched(blocks), ["file", "nth"]).select("doc_id", "file", "nth", "n_tokens")
