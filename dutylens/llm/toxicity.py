@@ -6,9 +6,10 @@ labelled training documents show to be typical of toxic texts. Trees and calibra
 driver, on a bounded sample of labelled rows (`max_rows`, default 8000); what reaches the driver is one row of
 numbers per sampled document. Every whole text is then scored on the executors.
 
-Cases: null and empty texts get the score of a text without words; a null doc_id is never held out; of several labels
-of a document the highest counts and null labels don't; without labels of both kinds the score is the share of toxic
-labels, 0 without any; copies are learned from once and scored alike; an empty table gives an empty result.
+Cases: null and empty texts get the score of a text without words, and very long ones are scored whole; a null doc_id is never
+held out; of several labels of a document, or of documents of equal text, the highest counts, and null labels don't; without labels of
+both kinds the score is the share of toxic labels, 0 without any; copies are learned from once and scored alike; an empty table gives
+an empty result; further columns are ignored by `toxicity` and kept by `keep_clean`, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dutylens.llm.common import use_workers, with_columns_apart, written
+from dutylens.llm.common import free_name, use_workers, with_columns_apart, written
 
 #: Insults in four languages.
 INSULTS = "idiot moron stupid loser scum trash worthless pathetic disgusting clown dumb imbecile cretin jerk bastard dumm dummkopf trottel arschloch abschaum idiote imbécile crétin connard salaud stupide estúpido imbécil idiota basura cabrón asqueroso".split()
@@ -49,7 +50,7 @@ FEATURES = (
 def terms_of(text: str) -> set[str]:
     """Words of a text, as "=word", and their beginnings, as "^begin"."""
     words = set(WORDS.findall(text.lower()))
-    return {"=" + w for w in words if len(w) < 40} | {"^" + w[:k] for w in words for k in STEMS if len(w) > k}
+    return {"=" + w for w in words} | {"^" + w[:k] for w in words for k in STEMS if len(w) > k}
 
 
 class Tokens:
@@ -59,6 +60,7 @@ class Tokens:
         self.words = {w: 3.0 for w in INSULTS} | {t[1:]: s for t, s in lexicon.items() if t[0] == "="}
         self.stems = {t[1:]: s for t, s in lexicon.items() if t[0] == "^"}
         self.known, self.rows = {}, np.zeros((1024, 12), np.float32)
+        self.sizes = {len(w) for w in self.words}
         self.second = set(SECOND)
 
     def row(self, token: str) -> tuple:
@@ -74,7 +76,7 @@ class Tokens:
             plain = core.lower().translate(LEET)
             tries = {re.sub(r"[^\w]|_", "", plain), re.sub(r"[^\w]|[\d_]", "", core.lower()), LONG.sub(r"\1", re.sub(r"[^\w]|_", "", plain))}
             coded_hit = max([self.words.get(t, 0.0) for t in tries])
-            if not coded_hit and "*" in core and len(core) < 30:
+            if not coded_hit and "*" in core and len(core) in self.sizes:
                 shape = re.compile("".join("." if c == "*" else re.escape(c) for c in core.lower()))
                 coded_hit = max([s for w, s in self.words.items() if len(w) == len(core) and shape.fullmatch(w)], default=0.0)
         letters = sum(c.isalpha() for c in token)
@@ -113,8 +115,8 @@ class Tokens:
             near = int((gap <= NEAR).sum())
         letters, chars = max(1.0, float(r[:, 6].sum())), max(1.0, float(len(text or "")))
         out[:] = (
-            math.log1p(n), min(20, hit.sum()), 100 * hit.sum() / n, min(60.0, (r[:, 1] + r[:, 4]).sum()), min(40, stem.sum()), 100 * stem.sum() / n, 100 * r[:, 2].sum() / n,
-            100 * len(any_hit) / n, min(20, coded.sum()), 100 * r[:, 3].sum() / n, 100 * len(second) / n, min(20, near), near / max(1, len(any_hit)),
+            math.log1p(n), hit.sum(), 100 * hit.sum() / n, (r[:, 1] + r[:, 4]).sum(), stem.sum(), 100 * stem.sum() / n, 100 * r[:, 2].sum() / n,
+            100 * len(any_hit) / n, coded.sum(), 100 * r[:, 3].sum() / n, 100 * len(second) / n, near, near / max(1, len(any_hit)),
             r[:, 5].sum() / n, r[:, 7].sum() / letters, r[:, 8].sum() / chars, r[:, 9].sum() / n, (r[:, 8].sum() - r[:, 9].sum()) / n, r[:, 11].sum() / chars,
             len(np.unique(at)) / n, letters / n,
         )
@@ -249,12 +251,15 @@ def _term_counts(sample: DataFrame, toxic: int, only: set[str] | None) -> DataFr
 
 
 def learn_lexicon(sample: DataFrame) -> dict[str, float]:
-    """Terms that are typical of the toxic documents of the sample, with their log odds; TERMS at most."""
+    """Terms that are typical of the toxic documents of the sample, with their log odds; the TERMS that say most.
+
+    Terms of at least `least` toxic documents reach the driver, about 1 in 80 of the sample's: a bounded number of a bounded sample.
+    """
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(n) < 2:
         return {}
     least = max(4, int(0.012 * n[1]))
-    toxic = {r["term"]: r["n"] for r in _term_counts(sample, 1, None).where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(50_000).collect()}
+    toxic = {r["term"]: r["n"] for r in _term_counts(sample, 1, None).where(F.col("n") >= least).collect()}
     clean = {r["term"]: r["n"] for r in _term_counts(sample, 0, set(toxic)).collect()}
     odds = {t: math.log((k + 0.5) / (n[1] + 1)) - math.log((clean.get(t, 0) + 0.5) / (n[0] + 1)) for t, k in toxic.items()}
     chosen: dict[str, float] = {}
@@ -287,7 +292,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> Model:
     marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_rows / max(1, n))) + 1)
     d = with_columns_apart(docs, ["doc_id", "text"])
     # bounded by max_rows above, so the labels may be broadcast; the texts don't move
-    sample = d.join(F.broadcast(marks), "doc_id").select("toxic", F.xxhash64("text").alias("key"), "text").dropDuplicates(["key"])
+    sample = d.join(F.broadcast(marks), "doc_id").groupBy(F.xxhash64("text").alias("key")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text"))
     sample = written(sample, "toxicity-sample")
     lexicon = learn_lexicon(sample)
     rows = sorted(((r["key"], r["toxic"], r["x"]) for r in _features(sample, lexicon).collect()), key=lambda r: r[0])
@@ -295,13 +300,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> Model:
     return Model(lexicon, x, np.array([r[1] for r in rows], float))
 
 
-def score_documents(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
-    """Per document: doc_id, score; with keep, all columns of docs and `__score`."""
+def score_documents(docs: DataFrame, model: Model, keep: str | None = None) -> DataFrame:
+    """Per document: doc_id, score; with keep, all columns of docs and the score under that name."""
     use_workers(docs.sparkSession)
     there = {c.lower(): c for c in docs.columns}
+    if keep and "text" not in there:
+        docs = docs.withColumn("text", F.lit(None).cast("string"))
     d = docs.select(*[F.col(f"`{c}`") for c in docs.columns]) if keep else with_columns_apart(docs, ["doc_id", "text"])
-    at = d.columns.index(there.get("text", "text"))
-    out = T.StructType([*d.schema.fields, T.StructField("__score", T.DoubleType())]) if keep else None
+    at = d.columns.index(there.get("text", "text") if keep else "text")
+    out = T.StructType([*d.schema.fields, T.StructField(keep, T.DoubleType())]) if keep else None
     kind = d.schema[d.columns[0]].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +319,7 @@ def score_documents(docs: DataFrame, model: Model, keep: bool = False) -> DataFr
                 x = np.array([tokens.features(t) for t in part.column(at).to_pylist()]).reshape(-1, len(FEATURES))
                 score = pa.array(model.score(x), pa.float64())
                 if keep:
-                    yield pa.RecordBatch.from_arrays([*part.columns, score], names=[*part.schema.names, "__score"])
+                    yield pa.RecordBatch.from_arrays([*part.columns, score], names=[*part.schema.names, keep])
                 else:
                     yield pa.RecordBatch.from_arrays([part.column(0), score], names=["doc_id", "score"])
 
@@ -327,4 +334,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_row
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_rows: int = 8000) -> DataFrame:
     """The rows of docs, with their columns, that score below the threshold."""
-    return score_documents(docs, fit(docs, labels, max_rows), keep=True).where(F.col("__score") < threshold).drop("__score")
+    score = free_name(docs, "score")
+    return score_documents(docs, fit(docs, labels, max_rows), keep=score).where(F.col(score) < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
