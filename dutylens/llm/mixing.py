@@ -19,10 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dutylens.llm.common import n_words, with_columns_apart, written
+from dutylens.llm.common import free_name, n_words, with_columns_apart, written
 
 #: Bits of the 60-bit hash by which each level of the histogram refines.
 LEVELS = (12, 16, 32)
+#: Sources whose rules are broadcast, some hundred bytes each; tasks to which the rows of a source are dealt beyond.
+FEW, SALTS = 100_000, 32
 
 
 def document_hash(doc_id: Column, text: Column) -> Column:
@@ -88,9 +90,21 @@ def plan_mix(keyed: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float
     return plan
 
 
-def _times() -> Column:
-    over = (F.col("h") < F.col("threshold")) | ((F.col("h") == F.col("threshold")) & F.col("closed"))
-    return F.col("passes") + over.cast("int")
+def _with_rule(rows: DataFrame, key: str, rule: DataFrame) -> DataFrame:
+    """rows with the rule (a struct) of their source. Rules of up to FEW sources are broadcast.
+
+    For more, the rows of a source are dealt to SALTS tasks that all have its rule, so that a source with a third of the rows is no one task's work.
+    """
+    if rule.count() <= FEW:
+        return rows.join(F.broadcast(rule.withColumnRenamed("skey", key)), key)
+    salt = free_name(rows, "salt")
+    dealt = rule.withColumnRenamed("skey", key).withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn(salt, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")).join(dealt.hint("merge"), [key, salt]).drop(salt)
+
+
+def _times(h: Column, rule: str) -> Column:
+    of = lambda c: F.col(f"{rule}.{c}")
+    return of("passes") + ((h < of("threshold")) | ((h == of("threshold")) & of("closed"))).cast("int")
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.0, max_passes: int = 3) -> DataFrame:
@@ -98,22 +112,22 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.0,
     d = with_columns_apart(docs, ["doc_id", "text", "source"])
     keyed = d.select("doc_id", "source", source_key(F.col("source")).alias("skey"), n_words(F.col("text")).alias("size"), document_hash(F.col("doc_id"), F.col("text")).alias("h"))
     keyed = written(keyed, "mix-keys")
-    plan = plan_mix(keyed.select("skey", "source", "size", "h"), weights, share, max_passes).drop("source")
-    return keyed.join(plan, "skey").withColumn("times", _times()).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"), F.col("times").cast("int").alias("passes"))
+    plan = plan_mix(keyed.select("skey", "source", "size", "h"), weights, share, max_passes)
+    rule = plan.select("skey", F.struct("source_size", "target", "passes", "threshold", "closed").alias("rule"))
+    out = _with_rule(keyed, "skey", rule).withColumn("times", _times(F.col("h"), "rule"))
+    return out.select("doc_id", "size", "rule.source_size", "rule.target", (F.col("size") * F.col("times")).cast("long").alias("taken"), F.col("times").cast("int").alias("passes"))
 
 
 def mix_rows(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.0, max_passes: int = 3) -> DataFrame:
     """The mix itself: the rows of docs with their own columns, each as often as it is taken (0 to max_passes)."""
     d = with_columns_apart(docs, ["doc_id", "text", "source"])
     keyed = written(d.select("source", source_key(F.col("source")).alias("skey"), n_words(F.col("text")).alias("size"), document_hash(F.col("doc_id"), F.col("text")).alias("h")), "mix-keys")
-    plan = plan_mix(keyed, weights, share, max_passes).select(F.col("skey").alias("__skey"), "threshold", "closed", "passes")
-    rule = plan.select("__skey", F.struct(*plan.columns[1:]).alias("__rule"))
+    plan = plan_mix(keyed, weights, share, max_passes)
+    key, name, copy = (free_name(docs, n) for n in ("skey", "rule", "copy"))
+    rule = plan.select("skey", F.struct("threshold", "closed", "passes").alias(name))
     there = {c.lower(): f"`{c}`" for c in docs.columns}
     col = lambda n: F.col(there[n]) if n in there else F.lit(None).cast("string")
-    h = document_hash(col("doc_id"), col("text"))
-    joined = docs.withColumn("__skey", source_key(col("source"))).join(rule, "__skey")
-    over = (h < F.col("__rule.threshold")) | ((h == F.col("__rule.threshold")) & F.col("__rule.closed"))
-    times = F.col("__rule.passes") + over.cast("int")
+    joined = _with_rule(docs.withColumn(key, source_key(col("source"))), key, rule)
     # empty documents weigh nothing and have no share to fill: they stay once
-    times = F.when(n_words(col("text")) == 0, F.lit(1)).otherwise(times)
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    times = F.when(n_words(col("text")) == 0, F.lit(1)).otherwise(_times(document_hash(col("doc_id"), col("text")), name))
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
