@@ -11,8 +11,9 @@ Rows with one fingerprint are one node. Fingerprints meet in groups of one parti
 out in pairs of blocks, and a block gives the links of a spanning forest of its matches rather than all pairs.
 
 Cases: null and empty texts have fingerprint zero, which links like any other; null ids take no part in the smallest
-id (a component of null ids only has none); ties and repeated rows share a node; an empty table gives an empty
-result; further columns are ignored by `link_documents`.
+id (a component of null ids only has none); ties and repeated rows share a node; very long texts are hashed whole; an empty table
+gives an empty result; further columns are ignored by `link_documents` and kept by `keep_one`, whatever their names. A document is
+known by its id: of several rows of an id that stays, `keep_one` keeps the one with the smallest text.
 """
 
 from __future__ import annotations
@@ -24,14 +25,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from dutylens.llm.common import components, use_workers, with_columns_apart, written
+from dutylens.llm.common import components, free_name, use_workers, with_columns_apart, written
 
 BITS = 64
 #: Fingerprints that steer the partitions and thresholds.
 SAMPLE = 8192
 #: Most fingerprints of one partition value that are compared in one block.
 BLOCK = 2048
+#: A key that one row in so many has is hot.
+HOT = 1000
 #: What a probe costs, in compared pairs.
 PROBE_COST = 40.0
 
@@ -279,8 +283,9 @@ def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
     spark = nodes.sparkSession
     use_workers(spark)
     total = nodes.count()
-    share = min(1.0, SAMPLE / max(1, total))
-    picked = nodes.where(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000) + 1).limit(4 * SAMPLE)
+    # the fingerprints whose hash is smallest; the threshold lets through about twice as many
+    luck = F.shiftrightunsigned(F.xxhash64("fp", F.lit(7)), 1)
+    picked = nodes.where(luck / F.lit(float(1 << 63)) * total < 2.0 * SAMPLE).orderBy(luck, "fp").limit(SAMPLE)
     sample = np.array(sorted(r[0] for r in picked.select("fp").collect()), np.int64).view(np.uint64)
     plan = make_plan(sample, total, radius)
 
@@ -335,13 +340,16 @@ def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
 
 def name_components(rows: DataFrame, key: str, edges: DataFrame | None, name: str, radius: int = 3) -> DataFrame:
     """rows (doc_id, key) with component_id, the smallest doc_id of the keys that edges (by default those of `links`) join."""
-    nodes = written(rows.groupBy(key).agg(F.min("doc_id").alias("low")), f"{name}-nodes")
+    nodes = written(rows.groupBy(key).agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), f"{name}-nodes")
     joined = components(links(nodes, radius) if edges is None else edges, f"{name}-links")
     joined = joined.join(nodes.withColumnRenamed(key, "node") if key != "node" else nodes, "node")
     lowest = joined.groupBy("root").agg(F.min("low").alias("component_id"))
     linked = joined.select("node", "root").join(lowest, "root").select(F.col("node").alias(key), "component_id")
-    named = nodes.join(linked, key, "left").select(key, F.coalesce("component_id", "low").alias("component_id"))
-    return rows.join(named, key).select("doc_id", key, "component_id")
+    named = written(nodes.join(linked, key, "left").select(key, "n", F.coalesce("component_id", "low").alias("component_id")), f"{name}-named")
+    # keys of more than 1 row in HOT, fewer than HOT keys, are broadcast; the rows of the others are joined by key
+    hot = F.broadcast(named.where(F.col("n") * HOT > rows.count()).drop("n"))
+    found = rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(named.drop("n").hint("merge"), key))
+    return found.select("doc_id", key, "component_id")
 
 
 def link_documents(docs: DataFrame, radius: int = 3) -> DataFrame:
@@ -363,11 +371,16 @@ def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
 
 def keep_lowest(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is the component_id that found has for it, once each, and those without an id."""
+    name = next((c for c in docs.columns if c.lower() == "doc_id"), None)
+    if name is None:
+        return docs
+    doc_id = F.col(f"`{name}`")
     kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    id_col = next(f"`{c}`" for c in docs.columns if c.lower() == "doc_id")
-    first = written(kept, "simhash-kept")
+    first, own = written(kept, "simhash-kept"), free_name(docs, "kept")
     # the ids that stay grow with the table, so this is a sort-merge join at every size and never a broadcast
-    out = docs.join(first.select(F.col("doc_id").alias("__kept")).hint("merge"), F.col(id_col) == F.col("__kept"), "left_semi")
+    out = docs.join(first.select(F.col("doc_id").alias(own)).hint("merge"), doc_id == F.col(own), "left_semi")
     if first.where("n > 1").limit(1).count():  # an id that stands for several rows
-        out = out.dropDuplicates([id_col.strip("`")])
-    return out.unionByName(docs.where(F.col(id_col).isNull()))
+        text = next((F.col(f"`{c}`") for c in docs.columns if c.lower() == "text"), F.lit(None))
+        nth = F.row_number().over(Window.partitionBy(doc_id).orderBy(text, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
+        out = out.withColumn(own, nth).where(F.col(own) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.unionByName(docs.where(doc_id.isNull()))
