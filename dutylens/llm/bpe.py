@@ -222,7 +222,7 @@ def encode_documents(docs: DataFrame, path: str, with_text: bool = False) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(path)
-        for b in batches:
+        for b in (batch.slice(s, 500) for batch in batches for s in range(0, batch.num_rows, 500)):
             texts = b.column(1).to_pylist()
             for i, j in in_pieces(texts):
                 n, ids, decoded, full, plain = [], [], [], [], []
