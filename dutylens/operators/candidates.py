@@ -20,17 +20,17 @@ CARRIED = ["ord", "policy_id", "section_id", "obligation_id", "sentence", "subje
 
 def anchored(obligations: DataFrame, include_same_policy: bool = True) -> DataFrame:
     """(src_ord, tgt_ord), src before tgt, of pairs with an anchor in common, each once."""
-    ends = obligations.select("ord", "policy_id", "section_id", "sentence", F.coalesce(F.concat(F.lit("t"), "topic"), F.lit("")).alias("topic"), "action", "object", "technology")
+    place = ("policy_id", "section_id", "sentence")
+    ends = obligations.select(
+        "ord", F.xxhash64("policy_id").alias("policy"), F.xxhash64(*place).alias("h"), F.xxhash64(F.lit(1), *place).alias("h2"),  # 128 bits say that two are the same sentence
+        F.coalesce(F.concat(F.lit("t"), "topic"), F.lit("")).alias("topic"), "action", "object", "technology",
+    )
 
     def joined(key: str) -> DataFrame:
         side = lambda s: ends.withColumn("anchor", F.explode("technology") if key == "technology" else F.col(key)).where("anchor is not null").select(
-            "topic", "anchor", *[F.col(c).alias(f"{s}_{c}") for c in ("ord", "policy_id", "section_id", "sentence")])
-        pairs = side("src").join(side("tgt"), ["topic", "anchor"]).where("src_ord < tgt_ord")
-        same = (F.col("src_policy_id") == F.col("tgt_policy_id"))
-        pairs = pairs.where(~(same & (F.col("src_section_id") == F.col("tgt_section_id")) & (F.col("src_sentence") == F.col("tgt_sentence"))))
-        if not include_same_policy:
-            pairs = pairs.where(~same)
-        return pairs.select("src_ord", "tgt_ord")
+            "topic", "anchor", *[F.col(c).alias(f"{s}_{c}") for c in ("ord", "policy", "h", "h2")])
+        pairs = side("src").join(side("tgt"), ["topic", "anchor"]).where("src_ord < tgt_ord and not (src_h = tgt_h and src_h2 = tgt_h2)")
+        return (pairs if include_same_policy else pairs.where("src_policy <> tgt_policy")).select("src_ord", "tgt_ord")
 
     return joined("action").unionByName(joined("object")).unionByName(joined("technology")).distinct()
 

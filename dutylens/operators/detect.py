@@ -71,12 +71,8 @@ def severity() -> Column:
 
 
 def explanation() -> Column:
-    return (
-        F.when(F.col("finding_type") == "CONTRADICTION", F.lit("The obligations apply to the same normalized target but impose opposing required/prohibited behavior."))
-        .when(F.col("finding_type") == "FREQUENCY_MISMATCH", F.format_string("The obligations require the same normalized action on the same target at different frequencies: '%s' versus '%s'.", s("frequency"), t("frequency")))
-        .when(F.col("finding_type") == "MODALITY_INCONSISTENCY", F.lit("The obligations describe the same normalized target but assign different requirement strengths."))
-        .otherwise(F.lit("The obligations express the same normalized requirement with high semantic similarity."))
-    )
+    values = {"FREQUENCY_MISMATCH": (s("frequency"), t("frequency"))}
+    return case((F.col("finding_type") == name, F.format_string(L.EXPLANATIONS[name], *values.get(name, ()))) for name in BASE)
 
 
 def _unit(c: Column) -> Column:

@@ -6,6 +6,7 @@ to one division and one root. `dense` turns it into the unit vector.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dutylens.functions.text import none_if_empty, strip
+from dutylens.sources.scratch import written
 from dutylens.sources.workers import use_workers
 
 DIMENSION = 384
@@ -71,12 +73,68 @@ def dense(v: Column, dimension: int = DIMENSION) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.when(v["sq"] == 0, F.lit(0.0)).otherwise(F.coalesce(F.try_element_at(entries, i), F.lit(0)) / length).cast("float"))
 
 
-def embed(obligations: DataFrame, encoder: Callable[[Sequence[str]], Sequence[Sequence[float]]] | None = None) -> DataFrame:
-    """obligations with embedding_text and vector.
+Encoder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
+
+
+def devices() -> list[str]:
+    """Where a model may be loaded, the best first."""
+    try:
+        import torch
+
+        return ["cuda", "cpu"] if torch.cuda.is_available() else ["cpu"]
+    except ImportError:
+        return ["cpu"]
+
+
+class ModelEncoder:
+    """An encoder whose model is loaded by load(device) when it is first needed, once per process, on the first device that takes it.
+
+    If none does, the process doesn't try again: every batch fails at once, and hashing takes over.
+    """
+
+    _lock = threading.Lock()
+    _loaded: dict[str, Encoder | None] = {}
+    _device: dict[str, str] = {}
+
+    def __init__(self, name: str, load: Callable[[str], Encoder]) -> None:
+        self.name, self.load = name, load
+
+    def model(self) -> Encoder | None:
+        with ModelEncoder._lock:
+            if self.name not in ModelEncoder._loaded:
+                ModelEncoder._loaded[self.name] = None
+                for device in devices():
+                    try:
+                        ModelEncoder._loaded[self.name], ModelEncoder._device[self.name] = self.load(device), device
+                        break
+                    except Exception:  # noqa: BLE001  the next device may do
+                        continue
+            return ModelEncoder._loaded[self.name]
+
+    def device(self) -> str:
+        """The device of this process, or not-loaded."""
+        return ModelEncoder._device.get(self.name, "not-loaded")
+
+    def forget(self) -> None:
+        """Let this process try again."""
+        with ModelEncoder._lock:
+            ModelEncoder._loaded.pop(self.name, None)
+            ModelEncoder._device.pop(self.name, None)
+
+    def __call__(self, texts: Sequence[str]) -> Sequence[Sequence[float]]:
+        model = self.model()
+        if model is None:
+            raise RuntimeError(f"model {self.name} can't be loaded")
+        return model(texts)
+
+
+def embed(obligations: DataFrame, encoder: Encoder | None = None) -> DataFrame:
+    """obligations with embedding_text, backend, and vector (hashing) or embedding and embedding_error (an encoder).
 
     Hashing is a column of the row itself, as a shuffle to hash each distinct text once costs more than to hash.
-    encoder: each distinct text is encoded once and joined back. It maps a batch of texts to vectors; it runs in Arrow batches on the executors, and where it fails the
-    hashing takes over for that batch (column `backend` says which one made a vector).
+    encoder: each distinct text is encoded once, written, and joined back. It maps a batch of texts to vectors; it runs in Arrow batches on
+    the executors, and where it fails the hashing takes over for that batch, in the encoder's dimension (column `backend` says which one
+    made a vector, embedding_error why).
     """
     d = obligations.withColumn("embedding_text", embedding_text())
     if encoder is None:
@@ -86,16 +144,20 @@ def embed(obligations: DataFrame, encoder: Callable[[Sequence[str]], Sequence[Se
     def run(batches):
         for b in batches:
             for s in range(0, len(b), BATCH):
-                part = b["embedding_text"].iloc[s : s + BATCH].tolist()
+                part, error = b["embedding_text"].iloc[s : s + BATCH].tolist(), None
                 try:
                     found = [list(map(float, x)) for x in encoder(part)]
-                except Exception:  # noqa: BLE001  a batch that can't be encoded is hashed
-                    found = [None] * len(part)
-                yield pd.DataFrame({"embedding_text": part, "given": found})
+                    if len(found) != len(part):
+                        raise ValueError(f"{len(found)} vectors for {len(part)} texts")
+                except Exception as e:  # noqa: BLE001  a batch that can't be encoded is hashed
+                    found, error = [None] * len(part), str(e).strip() or type(e).__name__
+                yield pd.DataFrame({"embedding_text": part, "given": found, "embedding_error": [error] * len(part)})
 
     use_workers(d.sparkSession)
-    given = texts.mapInPandas(run, "embedding_text string, given array<double>")
+    given = written(texts.mapInPandas(run, "embedding_text string, given array<double>, embedding_error string"), "encoded")
+    size = given.agg(F.max(F.size("given")).alias("n")).first()["n"] or 0
     made = given.withColumn("backend", F.when(F.col("given").isNull(), "hashing").otherwise("encoder"))
     length = F.sqrt(F.aggregate("given", F.lit(0.0), lambda a, x: a + x * x))
-    made = made.withColumn("embedding", F.when(F.col("given").isNull(), dense(hash_vector(F.col("embedding_text")))).otherwise(F.transform("given", lambda x: F.when(length > 0, x / length).otherwise(0.0).cast("float"))))
+    dimension = size if size > 0 else DIMENSION
+    made = made.withColumn("embedding", F.when(F.col("given").isNull(), dense(hash_vector(F.col("embedding_text"), dimension), dimension)).otherwise(F.transform("given", lambda x: F.when(length > 0, x / length).otherwise(0.0).cast("float"))))
     return d.join(made.drop("given"), "embedding_text")

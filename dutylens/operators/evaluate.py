@@ -117,15 +117,31 @@ def text_overlap(labels: DataFrame, sentences: DataFrame) -> DataFrame:
 
 
 def contained(labels: DataFrame, sentences: DataFrame) -> DataFrame:
-    """(label text, sentence) where one contains the other; joined on the longest word of the shorter, so no cross product."""
+    """(label text, sentence) where one contains the other, both squeezed and in small letters.
+
+    A text of three words and more lies in another only if its inner words stand there whole, so its longest one is joined with all words of
+    the longer texts. A shorter text may begin and end within words: its first letters, up to 4, are joined with all pieces of that length.
+    Equi-joins that miss nothing, and no cross product.
+    """
     norm = lambda c: F.lower(squeeze(F.col(c)))
-    words = lambda c: F.split(c, " ")
-    longest = lambda c: F.element_at(F.array_sort(F.transform(words(c), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
-    a = labels.select(norm("text").alias("label")).distinct().withColumn("key", longest(F.col("label")))
-    b = sentences.select(norm("sentence").alias("sentence")).distinct().withColumn("key", longest(F.col("sentence")))
-    inside = a.join(b.select("sentence", F.explode(F.array_distinct(words(F.col("sentence")))).alias("key")), "key").where(F.contains("sentence", "label"))
-    around = b.join(a.select("label", F.explode(F.array_distinct(words(F.col("label")))).alias("key")), "key").where(F.contains("label", "sentence"))
-    return inside.select("label", "sentence").unionByName(around.select("label", "sentence")).distinct()
+    a, b = labels.select(norm("text").alias("label")).distinct(), sentences.select(norm("sentence").alias("sentence")).distinct()
+    longest = lambda ws: F.array_max(F.transform(ws, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+
+    def within(short: DataFrame, x: str, long: DataFrame, y: str) -> DataFrame:
+        words = F.split(F.col(x), " ")
+        short = short.where(F.length(x) > 0).withColumn("inner", F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))))
+        by_word = short.where(F.size("inner") > 0).withColumn("piece", longest(F.col("inner"))).join(long.withColumn("piece", F.explode(F.array_distinct(F.split(F.col(y), " ")))), "piece")
+        few = short.where(F.size("inner") == 0).withColumn("piece", F.substring(x, 1, 4))
+        out = by_word.select(x, y).where(F.contains(y, x))
+        sizes = [r["n"] for r in few.select(F.length("piece").alias("n")).distinct().collect()]  # 4 at most
+        if sizes:
+            letters = F.filter(F.split(F.col(y), ""), lambda c: c != "")
+            pieces = lambda cs, n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(cs) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(cs, i, n), ""))
+            every = F.array_distinct(F.flatten(F.array(*[pieces(F.col("letters"), n) for n in sorted(sizes)])))
+            out = out.unionByName(few.join(long.withColumn("letters", letters).withColumn("piece", F.explode(every)), "piece").select(x, y).where(F.contains(y, x)))
+        return out
+
+    return within(a, "label", b, "sentence").select("label", "sentence").unionByName(within(b, "sentence", a, "label").select("label", "sentence")).distinct()
 
 
 def values_of(d: DataFrame, columns: list[str]) -> DataFrame:

@@ -9,15 +9,19 @@ from dutylens.functions import lexicon as L
 from dutylens.functions.text import EDGE, case, first_found, found, fragment, none_if_empty, squeeze, stable_id, strip
 
 
-def modality_rule(s: Column) -> Column:
-    """Index of the first modality rule of the list that matches anywhere; null without one."""
-    return case((s.rlike(L.J + L.phrase(words)), F.lit(i)) for i, (words, *_) in enumerate(L.MODALITY))
+def plain(s: Column) -> Column:
+    """Small letters, also those that a pattern takes for a plain letter: what a pattern finds in s, a search of a word finds here."""
+    return F.lower(F.translate(s, "\u017f\u212a\u0130\u0131", "skii"))
+
+
+def modality_rule(s: Column, low: Column) -> Column:
+    """Index of the first modality rule of the list that matches anywhere; null without one. low: plain(s)."""
+    return case((low.contains(words.split()[0]) & s.rlike(L.J + L.phrase(words)), F.lit(i)) for i, (words, *_) in enumerate(L.MODALITY))
 
 
 def _by_rule(s: Column, rule: Column, shape: str) -> Column:
-    """Group 1 of `shape` with the phrase of the rule in place of {}."""
-    patterns = F.array(*[F.lit(shape.replace("{}", L.phrase(words))) for words, *_ in L.MODALITY])
-    return F.when(rule.isNotNull(), F.call_function("regexp_extract", s, F.element_at(patterns, rule + 1), F.lit(1)))
+    """Group 1 of `shape` with the phrase of the rule in place of {}; a branch for each rule, so that no pattern is compiled for a row."""
+    return case((rule == i, F.regexp_extract(s, shape.replace("{}", L.phrase(words)), 1)) for i, (words, *_) in enumerate(L.MODALITY))
 
 
 def cut_qualifiers(text: Column) -> Column:
@@ -43,7 +47,8 @@ def confidence(subject: Column, action: Column, obj: Column, strength: Column) -
 def extract(sentences: DataFrame) -> DataFrame:
     """policy_id, section_id, sentence (and whatever else comes along) -> obligations; other sentences fall out."""
     s = F.col("sentence")
-    d = sentences.withColumn("passive", s.rlike(L.J + L.passive())).withColumn("rule", modality_rule(s)).where("passive or rule is not null")
+    d = sentences.withColumn("low", plain(s))
+    d = d.withColumn("passive", F.col("low").contains("prohibited") & s.rlike(L.J + L.passive())).withColumn("rule", modality_rule(s, F.col("low"))).where("passive or rule is not null")
     entry = lambda i, kind: F.element_at(F.array(*[F.lit(r[i]) for r in L.MODALITY]), F.col("rule") + 1).cast(kind)
     d = d.withColumns({
         "before": _by_rule(s, F.col("rule"), "(?siuU)^(.*?){}"),
@@ -70,4 +75,4 @@ def extract(sentences: DataFrame) -> DataFrame:
     })
     d = d.withColumn("confidence", confidence(F.col("subject"), F.col("action"), F.col("object"), F.col("strength")))
     d = d.withColumn("obligation_id", stable_id("obligation", F.concat_ws(":", "policy_id", "section_id", "sentence")))
-    return d.drop("passive", "rule", "before", "after", "actor", "matter", "rest")
+    return d.drop("low", "passive", "rule", "before", "after", "actor", "matter", "rest")

@@ -20,7 +20,7 @@ def stale_policies(policies: DataFrame, today: date, days: int = L.STALE_DAYS) -
         stable_id("finding", F.concat_ws(":", F.lit("STALE_POLICY"), "policy_id", F.col("review_date").cast("string"))).alias("finding_id"),
         F.lit("STALE_POLICY").alias("finding_type"), "policy_id", F.lit(None).cast("string").alias("source_obligation_id"), F.lit("MEDIUM").alias("severity"),
         F.lit(1.0).alias("confidence"), F.lit(1.0).alias("deterministic_score"), F.col("review_date").cast("string").alias("subject_of"), "age_days", months.alias("months_overdue"),
-        F.format_string("Policy '%s' was last scheduled for review on %s (%d months ago), which exceeds the 18-month staleness threshold.", "title", F.col("review_date").cast("string"), months).alias("explanation"),
+        F.format_string(L.EXPLANATIONS["STALE_POLICY"], "title", F.col("review_date").cast("string"), months).alias("explanation"),
     )
 
 
@@ -36,5 +36,5 @@ def stale_references(obligations: DataFrame) -> DataFrame:
         F.lit("STALE_REFERENCE").alias("finding_type"), "policy_id", F.col("obligation_id").alias("source_obligation_id"), F.lit("HIGH").alias("severity"),
         F.lit(1.0).alias("confidence"), F.lit(1.0).alias("deterministic_score"), F.col("term").alias("subject_of"),
         F.lit(None).cast("int").alias("age_days"), F.lit(None).cast("int").alias("months_overdue"),
-        F.format_string("Obligation references deprecated technology '%s', which is no longer considered secure or supported.", "term").alias("explanation"),
+        F.format_string(L.EXPLANATIONS["STALE_REFERENCE"], "term").alias("explanation"),
     )

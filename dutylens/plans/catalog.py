@@ -10,6 +10,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from dutylens.functions import lexicon as L
 from dutylens.functions.text import stable_id
@@ -186,6 +187,24 @@ def ingest_sentences(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(ingest.split_sentences(F.col("text"))).alias("sentence_index", "sentence"))
 
 
+@query(r"""SELECT doc_id, (i - 1)::INT AS paragraph, p[i] AS text FROM (SELECT doc_id, p, unnest(generate_series(1, len(p))) AS i FROM (
+  SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS p FROM documents))""")
+def ingest_paragraphs(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(ingest.paragraphs(F.col("text"))).alias("paragraph", "text"))
+
+
+@query(r"""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN d WHEN 1 THEN d WHEN 2 THEN date_trunc('week', d)::DATE WHEN 3 THEN d END::VARCHAR AS day FROM (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders)""")
+def ingest_dates(spark, sf):
+    """The day of every order in the ISO forms, and in forms that are none."""
+    day, k = F.col("o_orderdate").cast("date"), F.col("o_orderkey") % 6
+    year, week = F.extract(F.lit("YEAROFWEEK"), day).cast("string"), F.lpad(F.weekofyear(day).cast("string"), 2, "0")
+    text = (
+        F.when(k == 0, day.cast("string")).when(k == 1, F.date_format(day, "yyyyMMdd")).when(k == 2, F.concat(year, F.lit("-W"), week)).when(k == 3, F.concat(year, F.lit("W"), week, (F.weekday(day) + 1).cast("string")))
+        .when(k == 4, F.date_format(day, "dd.MM.yyyy")).otherwise(F.concat(F.date_format(day, "yyyy"), F.lit("-02-30")))
+    )
+    return table(spark, sf, "orders").select("o_orderkey", ingest.iso_date(text).cast("string").alias("day"))
+
+
 LINES_SQL = rf"""raw AS ({corpora.DOCUMENTS_SQL}),
 clean AS (SELECT doc, path, trim(regexp_replace(regexp_replace(replace(raw, chr(13), ''), '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS text FROM raw),
 pol AS (SELECT *, 'policy_' || substr(sha256(path || ':' || text), 1, 16) AS policy_id FROM clean)"""
@@ -289,11 +308,40 @@ def candidates_flags(spark, sf):
 def candidates_priority(spark, sf):
     """The hundred most urgent pairs."""
     best = candidates.candidates(obligations(spark, sf), top_k=None).orderBy(*candidates.priority()).limit(100)
-    from pyspark.sql.window import Window
-
     return best.withColumn("place", F.row_number().over(Window.orderBy(*candidates.priority())).cast("long")).select("src_ord", "tgt_ord", "place")
 
 
+@query(f"WITH {PAIRS_SQL} SELECT {PAIR} FROM cand WHERE s.policy_id <> g.policy_id")
+def candidates_across_policies(spark, sf):
+    return plain(candidates.candidates(obligations(spark, sf), top_k=None, include_same_policy=False))
+
+
+@query(f"WITH {PAIRS_SQL} SELECT src_ord, tgt_ord, row_number() OVER (ORDER BY cosine DESC, least(s.obligation_id, g.obligation_id), greatest(s.obligation_id, g.obligation_id), src_ord, tgt_ord) AS place FROM cand QUALIFY place <= 100")
+def candidates_order(spark, sf):
+    """The first hundred pairs of the output order."""
+    best = candidates.ordered(candidates.candidates(obligations(spark, sf), top_k=None)).limit(100)
+    return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("cosine"), "id_low", "id_high", "src_ord", "tgt_ord")).cast("long")).select("src_ord", "tgt_ord", "place")
+
+
+@query("""WITH RECURSIVE p AS (SELECT x.s_suppkey AS src_ord, y.s_suppkey AS tgt_ord, least(x.s_name, y.s_name) AS id_low, greatest(x.s_name, y.s_name) AS id_high, (x.s_suppkey + y.s_suppkey) % 7 = 0 AS modality_mismatch,
+    x.s_suppkey * y.s_suppkey % 5 = 0 AS negation_mismatch, ((x.s_suppkey * 31 + y.s_suppkey * 17) % 10)::INT AS tenths, ((x.s_suppkey + 2 * y.s_suppkey) % 6)::INT AS n_same
+  FROM supplier x JOIN supplier y ON x.s_nationkey = y.s_nationkey AND x.s_suppkey < y.s_suppkey),
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY modality_mismatch DESC, negation_mismatch DESC, tenths DESC, n_same DESC, id_low DESC, id_high DESC, src_ord, tgt_ord) AS i FROM p),
+walk AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS ends, NULL::BIGINT AS a, NULL::BIGINT AS b
+  UNION ALL SELECT o.i, CASE WHEN ok THEN list_concat(ends, [src_ord, tgt_ord]) ELSE ends END, CASE WHEN ok THEN src_ord END, CASE WHEN ok THEN tgt_ord END
+  FROM (SELECT o.*, walk.ends, len(list_filter(ends, lambda e: e = src_ord)) < 2 AND len(list_filter(ends, lambda e: e = tgt_ord)) < 2 AS ok FROM walk JOIN o ON o.i = walk.i + 1) o)
+SELECT a AS src_ord, b AS tgt_ord FROM walk WHERE a IS NOT NULL""")
+def capped_pairs(spark, sf):
+    """The cap of two pairs for each supplier, over all pairs of a nation; the SQL goes through them one by one."""
+    side = lambda s: table(spark, sf, "supplier").select("s_nationkey", F.col("s_suppkey").alias(s), F.col("s_name").alias(f"{s}_name"))
+    a, b = F.col("src_ord"), F.col("tgt_ord")
+    pairs = side("src_ord").join(side("tgt_ord"), "s_nationkey").where(a < b).select(
+        "src_ord", "tgt_ord", F.least("src_ord_name", "tgt_ord_name").alias("id_low"), F.greatest("src_ord_name", "tgt_ord_name").alias("id_high"), ((a * 31 + b * 17) % 10 / 10).alias("cosine"),
+        ((a + b) % 7 == 0).alias("modality_mismatch"), (a * b % 5 == 0).alias("negation_mismatch"), ((a + 2 * b) % 6).cast("int").alias("n_same"),
+    )
+    return candidates.capped(pairs, 2).select("src_ord", "tgt_ord")
+
+
 @query()
 def candidates_topk(spark, sf):
     """At most 20 pairs for each obligation; tests hold it against a pass in order."""
@@ -330,6 +378,23 @@ def find_frequency_mismatch(spark, sf):
     return found(spark, sf).where("finding_type = 'FREQUENCY_MISMATCH'").select("finding_id", *[F.col(f"evidence.{c}").alias(c) for c in ("source_policy_id", "target_policy_id", "source_frequency", "target_frequency", "cosine_similarity")])
 
 
+SIDES = [(side, alias, c) for c in detect.EVIDENCE for side, alias in (("source", "s"), ("target", "g"))]
+EXPLAINED_SQL = "CASE finding_type " + " ".join(f"WHEN {q(k)} THEN {q(v)}" if "%s" not in v else f"WHEN {q(k)} THEN replace(replace({q(v.replace('%s', '<a>', 1).replace('%s', '<b>', 1))}, '<a>', s.frequency), '<b>', g.frequency)" for k, v in L.EXPLANATIONS.items() if k in detect.BASE) + " END"
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT finding_id, " + ", ".join(f"array_to_string({a}.{c}, ',') AS {side}_{c}" if c == "technology" else f"{a}.{c} AS {side}_{c}" for side, a, c in SIDES) + f", round(cosine, 4) AS cosine_similarity, {EXPLAINED_SQL} AS explanation FROM f")
+def findings_evidence(spark, sf):
+    """All 23 fields of the evidence, and the explanation, of every finding."""
+    cols = [F.col(f"evidence.{side}_{c}") for side, _, c in SIDES]
+    return found(spark, sf).select("finding_id", *[(F.array_join(x, ",") if c == "technology" else x).alias(f"{side}_{c}") for x, (side, _, c) in zip(cols, SIDES)], F.col("evidence.cosine_similarity").alias("cosine_similarity"), "explanation")
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT finding_id, row_number() OVER (ORDER BY deterministic_score DESC, finding_type, finding_id) AS rank FROM f")
+def findings_order(spark, sf):
+    """The place of every finding in the output."""
+    return pipeline.finding_order(found(spark, sf).withColumn("stage", F.lit(0))).select("finding_id", F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"WITH {FINDINGS_SQL} SELECT CASE WHEN deterministic_score >= 0.95 THEN 'bypass' WHEN deterministic_score < 0.50 THEN 'drop' ELSE 'verify' END AS route, finding_type, count(*) AS n FROM f GROUP BY ALL")
 def verify_routing(spark, sf):
     return found(spark, sf).groupBy(verify.route(F.col("deterministic_score")).alias("route"), "finding_type").agg(F.count("*").alias("n"))
@@ -425,6 +490,95 @@ def redundancy_gates(spark, sf):
     return evaluate.redundancy_gates(ends).groupBy("first_failed").agg(F.count("*").alias("n"))
 
 
+# Labels about the pairs of sentences of one customer, as rows of a label file: kind, files, a description in words.
+LABELS_SQL = f"""o2 AS (SELECT o_orderkey AS k, o_custkey AS c, 'policy_' || (o_orderkey % 211) || '.md' AS file FROM orders),
+lp AS (SELECT CASE WHEN (x.k + y.k) % 2 = 0 THEN 'DIRECT_CONFLICT' ELSE 'REDUNDANCY' END AS kind, x.file AS fa, y.file AS fb, ({corpora.listed(corpora.VERBS)})[x.c % 4 + 1] || '-c' || x.c AS what FROM o2 x JOIN o2 y ON x.c = y.c AND x.k < y.k WHERE (x.k + y.k) % 3 <> 0 AND x.file <> y.file),
+ls AS (SELECT file, ({corpora.listed(corpora.TECH)})[(c // 50) % 5 + 1] AS term FROM o2 WHERE c % 50 = 0 AND k % 2 = 0),
+labels2 AS (SELECT kind, least(fa, fb) AS file_a, greatest(fa, fb) AS file_b, what FROM lp UNION ALL SELECT 'STALE_REFERENCE', file, '', lower(term) FROM ls)"""
+
+
+def label_rows(spark, sf) -> DataFrame:
+    """finding_subtype, policy_a, policy_b, policy, description."""
+    c, k = F.col("o_custkey"), F.col("o_orderkey")
+    o = table(spark, sf, "orders").select(c.alias("c"), k.alias("k"), F.concat(F.lit("policy_"), (k % 211).cast("string"), F.lit(".md")).alias("file"))
+    side = lambda s: o.select("c", F.col("k").alias(f"k{s}"), F.col("file").alias(f"f{s}"))
+    what = F.concat(corpora.pick(corpora.VERBS, F.col("c")), F.lit("-c"), F.col("c").cast("string"))
+    pairs = side("a").join(side("b"), "c").where("ka < kb and (ka + kb) % 3 <> 0 and fa <> fb")
+    null = F.lit(None).cast("string")
+    pairs = pairs.select(F.when((F.col("ka") + F.col("kb")) % 2 == 0, "DIRECT_CONFLICT").otherwise("REDUNDANCY").alias("finding_subtype"), F.col("fa").alias("policy_a"), F.col("fb").alias("policy_b"), null.alias("policy"),
+                         F.concat(F.lit("Policies on one matter differ on "), F.upper(what), F.lit(".")).alias("description"))
+    single = o.where("c % 50 = 0 and k % 2 = 0").select(F.lit("STALE_REFERENCE").alias("finding_subtype"), null.alias("policy_a"), null.alias("policy_b"), F.col("file").alias("policy"), F.concat(F.lit("The policy mentions  "), corpora.pick(corpora.TECH, corpora.over(F.col("c"), 50))).alias("description"))
+    return pairs.unionByName(single)
+
+
+def predicted(spark, sf) -> DataFrame:
+    """The keys of the findings of the first two kinds and of the stale references, as of obligations()."""
+    o = written(corpus.corpus_frequency(obligations(spark, sf)), "counted")
+    files = o.select("policy_id", F.concat("policy_id", F.lit(".md")).alias("file")).distinct()
+    pairs = evaluate.predicted_keys(detect.findings(candidates.candidates(o, top_k=None), o), files)
+    return pairs.unionByName(evaluate.predicted_stale_keys(staleness.stale_references(o), files))
+
+
+PREDICTED_SQL = f"""{FINDINGS_SQL}, pk AS (SELECT CASE finding_type WHEN 'CONTRADICTION' THEN 'DIRECT_CONFLICT' WHEN 'FREQUENCY_MISMATCH' THEN 'PARTIAL_CONFLICT' WHEN 'REDUNDANCY' THEN 'REDUNDANCY' END AS kind,
+  least(s.policy_id, g.policy_id) || '.md' AS file_a, greatest(s.policy_id, g.policy_id) || '.md' AS file_b, lower(coalesce(s.action, '')) AS what FROM f WHERE finding_type <> 'MODALITY_INCONSISTENCY' AND s.policy_id <> g.policy_id
+  UNION ALL SELECT 'STALE_REFERENCE', policy_id || '.md', '', lower(term) FROM (SELECT DISTINCT policy_id, obligation_id, term FROM (SELECT policy_id, obligation_id, unnest(technology) AS term FROM n) WHERE lower(term) IN ({', '.join(q(t.lower()) for t in L.DEPRECATED)})))"""
+AGAINST_SQL = f"""{PREDICTED_SQL}, {LABELS_SQL}, np AS (SELECT kind, file_a, file_b, what, count(*) AS p FROM pk GROUP BY ALL), nl AS (SELECT kind, file_a, file_b, what, count(*) AS l FROM labels2 GROUP BY ALL),
+mm AS (SELECT kind, file_a, file_b, what, coalesce(p, 0) AS p, coalesce(l, 0) AS l FROM np FULL JOIN nl USING (kind, file_a, file_b, what))"""
+
+
+@query(f"WITH {LABELS_SQL} SELECT * FROM labels2")
+def eval_label_keys(spark, sf):
+    return evaluate.label_keys(label_rows(spark, sf))
+
+
+@query(f"WITH {PREDICTED_SQL} SELECT * FROM pk")
+def eval_predicted_keys(spark, sf):
+    return predicted(spark, sf)
+
+
+@query(f"WITH {AGAINST_SQL}, s AS (SELECT kind, sum(least(p, l))::BIGINT AS tp, sum(greatest(p - l, 0))::BIGINT AS fp, sum(greatest(l - p, 0))::BIGINT AS fn FROM mm GROUP BY kind) SELECT kind, tp, fp, fn, coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0) AS precision, coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0) AS f1 FROM s")
+def eval_against_labels(spark, sf):
+    """Findings matched with labels, by kind."""
+    return evaluate.scores(evaluate.matched(predicted(spark, sf), evaluate.label_keys(label_rows(spark, sf))), "kind")
+
+
+@query(f"WITH {AGAINST_SQL} SELECT 'missed' AS list, kind, file_a, file_b, what, l - p AS n FROM mm WHERE l > p UNION ALL SELECT 'spurious', kind, file_a, file_b, what, p - l FROM mm WHERE p > l")
+def eval_confusion(spark, sf):
+    """Labels without a finding, and findings without a label."""
+    m = written(evaluate.matched(predicted(spark, sf), evaluate.label_keys(label_rows(spark, sf))), "matched")
+    part = lambda d, name, n: d.select(F.lit(name).alias("list"), *evaluate.KEY, F.col(n).alias("n"))
+    return part(evaluate.missed(m), "missed", "fn").unionByName(part(evaluate.spurious(m), "spurious", "fp"))
+
+
+@query(f"WITH {PAIRS_SQL}, {LABELS_SQL}, w AS (SELECT DISTINCT file_a, file_b FROM labels2 WHERE kind = 'REDUNDANCY'), h AS (SELECT src_ord, tgt_ord, least(s.policy_id, g.policy_id) || '.md' AS file_a, greatest(s.policy_id, g.policy_id) || '.md' AS file_b FROM cand WHERE cosine >= 0.90) SELECT src_ord, tgt_ord, file_a, file_b, (file_a, file_b) IN (SELECT (file_a, file_b) FROM w) AS labelled FROM h")
+def eval_redundancy_pairs(spark, sf):
+    """Pairs of 0.90 and more, and whether a label has their files."""
+    o = obligations(spark, sf)
+    pairs = candidates.with_ends(candidates.candidates(o, top_k=None).select("src_ord", "tgt_ord", "cosine"), o, ["policy_id"])
+    low, high = evaluate.unordered(F.col("s.policy_id"), F.col("t.policy_id"))
+    pairs = pairs.select("src_ord", "tgt_ord", "cosine", F.concat(low, F.lit(".md")).alias("file_a"), F.concat(high, F.lit(".md")).alias("file_b"))
+    return evaluate.labelled_redundancies(pairs, evaluate.label_keys(label_rows(spark, sf))).select("src_ord", "tgt_ord", "file_a", "file_b", "labelled")
+
+
+@query(r"""WITH a AS (SELECT DISTINCT lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS label FROM benchmark), b AS (SELECT DISTINCT lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS sentence FROM documents)
+SELECT md5(label) AS label, md5(sentence) AS sentence FROM a JOIN b ON (contains(sentence, label) AND label <> '') OR (contains(label, sentence) AND sentence <> '')""")
+def label_containment(spark, sf):
+    """Passages that lie in whole texts, and whole texts that lie in passages."""
+    return evaluate.contained(table(spark, sf, "benchmark"), table(spark, sf, "documents").select(F.col("text").alias("sentence"))).select(F.md5("label").alias("label"), F.md5("sentence").alias("sentence"))
+
+
+@query(f"WITH o AS ({corpora.SENTENCES_SQL}), k AS (SELECT 'policy_' || s_suppkey % 230 AS policy_id, count(*) AS labels FROM supplier GROUP BY 1) SELECT policy_id, coalesce(x.n, 0) AS sentences, coalesce(labels, 0) AS labels FROM (SELECT policy_id, count(*) AS n FROM o GROUP BY 1) x FULL JOIN k USING (policy_id)")
+def sentences_per_file(spark, sf):
+    labels = table(spark, sf, "supplier").select(F.concat(F.lit("policy_"), (F.col("s_suppkey") % 230).cast("string")).alias("policy_id"))
+    return evaluate.per_file(corpora.sentences(spark, sf), labels, "policy_id")
+
+
+@query(f"WITH o AS ({corpora.SENTENCES_SQL}), k AS (SELECT DISTINCT 'policy_' || s_suppkey % 211 AS policy_id, ({corpora.listed([v.upper() for v in corpora.VERBS])})[s_nationkey % 4 + 1] AS keyword FROM supplier) SELECT ord, policy_id, keyword FROM o JOIN k USING (policy_id) WHERE contains(lower(sentence), lower(keyword))")
+def keyword_sentences(spark, sf):
+    words = table(spark, sf, "supplier").select(F.concat(F.lit("policy_"), (F.col("s_suppkey") % 211).cast("string")).alias("policy_id"), corpora.pick([v.upper() for v in corpora.VERBS], F.col("s_nationkey")).alias("keyword")).distinct()
+    return evaluate.sentences_with(corpora.sentences(spark, sf), words, "policy_id").select("ord", "policy_id", "keyword")
+
+
 # ---------------------------------------------------------------- the whole analysis
 
 

@@ -44,15 +44,15 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(k.alias("ord"), F.concat(F.lit("policy_"), (k % 211).cast("string")).alias("policy_id"), F.concat(F.lit("section_"), (k % 3).cast("string")).alias("section_id"), F.when(k % 19 == 0, passive).otherwise(text).alias("sentence"))
 
 
-def _list(values: list[str]) -> str:
+def listed(values: list[str]) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
 SENTENCES_SQL = f"""SELECT o_orderkey AS ord, 'policy_' || (o_orderkey % 211) AS policy_id, 'section_' || (o_orderkey % 3) AS section_id,
   CASE WHEN o_orderkey % 19 = 0 THEN 'Ledger-c' || o_custkey || ' export is prohibited for contractors.' ELSE
-  ({_list(SUBJECTS)})[o_orderkey % 4 + 1] || ' ' || ({_list(MODALS)})[(o_orderkey // 4) % 6 + 1] || ' ' || ({_list(VERBS)})[o_custkey % 4 + 1] || '-c' || o_custkey || ' ledger ' || o_custkey || ' ' || ({_list(NOUNS)})[(o_orderkey // 24) % 2 + 1]
-  || CASE WHEN o_custkey % 50 = 0 THEN ' using ' || ({_list(TECH)})[(o_custkey // 50) % 5 + 1] ELSE '' END || CASE WHEN o_orderstatus = 'O' THEN ' on production systems' ELSE '' END
-  || ({_list(CADENCE)})[(o_orderkey // 3) % 4 + 1] || CASE WHEN o_orderkey % 13 = 0 THEN ' if risk is high' ELSE '' END || CASE WHEN o_orderkey % 17 = 0 THEN ' unless an approval exists' ELSE '' END || '.' END AS sentence
+  ({listed(SUBJECTS)})[o_orderkey % 4 + 1] || ' ' || ({listed(MODALS)})[(o_orderkey // 4) % 6 + 1] || ' ' || ({listed(VERBS)})[o_custkey % 4 + 1] || '-c' || o_custkey || ' ledger ' || o_custkey || ' ' || ({listed(NOUNS)})[(o_orderkey // 24) % 2 + 1]
+  || CASE WHEN o_custkey % 50 = 0 THEN ' using ' || ({listed(TECH)})[(o_custkey // 50) % 5 + 1] ELSE '' END || CASE WHEN o_orderstatus = 'O' THEN ' on production systems' ELSE '' END
+  || ({listed(CADENCE)})[(o_orderkey // 3) % 4 + 1] || CASE WHEN o_orderkey % 13 = 0 THEN ' if risk is high' ELSE '' END || CASE WHEN o_orderkey % 17 = 0 THEN ' unless an approval exists' ELSE '' END || '.' END AS sentence
 FROM orders"""
 
 

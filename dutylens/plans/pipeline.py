@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,11 @@ from dutylens.sources import documents as sources
 from dutylens.sources.scratch import written
 
 FINDING = ["finding_id", "finding_type", "source_obligation_id", "target_obligation_id", "severity", "confidence", "deterministic_score", "llm_verified", "explanation", "evidence"]
+# what a stage that failed leaves: tables without rows
+VECTOR = "struct<idx: array<int>, val: array<int>, sq: bigint>"
+PAIRS = "id_low string, id_high string, cosine double, same_policy boolean, same_subject boolean, same_action boolean, same_object boolean, same_scope boolean, same_frequency boolean, modality_mismatch boolean, negation_mismatch boolean, n_same int"
+EVIDENCE = "struct<" + ", ".join(f"{side}_{c}: {({'negated': 'boolean', 'technology': 'array<string>'}).get(c, 'string')}" for c in detect.EVIDENCE for side in ("source", "target")) + ", cosine_similarity: double>"
+FOUND = f"finding_id string, finding_type string, source_obligation_id string, target_obligation_id string, severity string, confidence double, deterministic_score double, llm_verified boolean, explanation string, evidence {EVIDENCE}"
 
 
 @dataclass
@@ -26,46 +32,76 @@ class Result:
     warnings: DataFrame
     statistics: DataFrame
     processing_time_ms: float = 0.0
-    stages: dict[str, float] = field(default_factory=dict)
 
 
-def obligations_of(sentences: DataFrame) -> DataFrame:
+def obligations_of(sentences: DataFrame, encoder: embed.Encoder | None = None) -> DataFrame:
     """sentence rows (policy_id, section_id, sentence, ord) -> canonical obligations with vectors."""
-    return embed.embed(normalize.normalize(extract.extract(sentences)))
+    return embed.embed(normalize.normalize(extract.extract(sentences)), encoder)
 
 
-def analyze_table(documents: DataFrame, today: date | None = None, provider: verify.Provider | None = None, threshold: float = candidates.THRESHOLD, top_k: int | None = candidates.TOP_K) -> Result:
+def message(e: Exception) -> str:
+    """The first line of what went wrong, or its kind."""
+    return (str(e).strip() or type(e).__name__).splitlines()[0]
+
+
+def analyze_table(
+    documents: DataFrame, today: date | None = None, provider: verify.Provider | None = None, threshold: float = candidates.THRESHOLD, top_k: int | None = candidates.TOP_K, encoder: embed.Encoder | None = None,
+) -> Result:
     """documents: doc, path, raw and optionally error. Rows with an error become warnings; the rest is analysed.
 
-    Obligations, pairs and findings are written to the shared folder, as several stages read each; the rest is lazy.
+    Every stage is written to the shared folder, as several others read it. A stage after normalisation that fails ends nothing:
+    it leaves a warning `[stage]: message`, and the stages after it go on with what there is (no counts, no pairs, no findings of its kind).
     """
     began = time.perf_counter()
+    spark = documents.sparkSession
+    notes: list[str] = []
+
+    def attempt(stage: str, action: Callable[[], DataFrame], otherwise: Callable[[], DataFrame]):
+        try:
+            return action()
+        except Exception as e:  # noqa: BLE001  whatever it is, the stages after it go on
+            notes.append(f"[{stage}]: {message(e)}")
+            return otherwise()
+
     d = documents if "error" in documents.columns else documents.withColumn("error", F.lit(None).cast("string"))
     pol = ingest.policies(d.where("error is null and raw is not null"))
     sections = ingest.sections(pol)
     sentences = ingest.sentences(sections)
     ord_ = F.struct("doc", "section_index", "sentence_index")  # the place of a sentence in the input
-    obligations = written(obligations_of(sentences.withColumn("ord", ord_)), "obligations")
-    obligations = written(corpus.corpus_frequency(obligations), "counted")
-    pairs = candidates.candidates(obligations, threshold, top_k)
-    pairs = pairs if top_k else written(pairs, "pairs")
-    found = written(detect.findings(pairs, obligations), "findings")
+    canonical = written(normalize.normalize(extract.extract(sentences.withColumn("ord", ord_))), "canonical")
+    bare = lambda: canonical.withColumns({"embedding_text": F.lit(None).cast("string"), "vector": F.lit(None).cast(VECTOR), "backend": F.lit("none")})
+    obligations = attempt("embeddings", lambda: written(embed.embed(canonical, encoder), "obligations"), bare)
+    counted = attempt("corpus_frequency", lambda: written(corpus.corpus_frequency(obligations), "counted"), lambda: obligations.withColumn("corpus_frequency", F.lit(None).cast("int")))
+    at = counted.schema["ord"].dataType.simpleString()
+    pairs = attempt("candidates", lambda: written(candidates.candidates(counted, threshold, top_k), "pairs"), lambda: spark.createDataFrame([], f"src_ord {at}, tgt_ord {at}, {PAIRS}"))
+    found = attempt("detection", lambda: written(detect.findings(pairs, counted).select(*FINDING), "findings"), lambda: spark.createDataFrame([], FOUND))
     keys = pol.select("policy_id", "title", "review_date")
-    stale = staleness.stale_policies(keys, today or date.today()).unionByName(staleness.stale_references(obligations))
-    empty = found.schema["evidence"].dataType.simpleString()
-    stale = stale.withColumns({"target_obligation_id": F.lit(None).cast("string"), "llm_verified": F.lit(False), "evidence": F.lit(None).cast(empty)})
-    both = found.select(*FINDING).withColumn("stage", F.lit(0)).unionByName(stale.select(*FINDING).withColumn("stage", F.lit(1)))
-    done = verify.verify(both, obligations, provider)
+    none = {"target_obligation_id": F.lit(None).cast("string"), "llm_verified": F.lit(False), "evidence": F.lit(None).cast(EVIDENCE)}
+    late = lambda: staleness.stale_policies(keys, today or date.today()).unionByName(staleness.stale_references(counted)).withColumns(none)
+    stale = attempt("staleness", lambda: written(late().select(*FINDING), "stale"), lambda: spark.createDataFrame([], FOUND))
+    both = found.withColumn("stage", F.lit(0)).unionByName(stale.withColumn("stage", F.lit(1)))
+    done = attempt("llm", lambda: verify.verify(both, counted, provider), lambda: verify.verify(both, counted, None))
+    hashed = counted.where("embedding_error is not null").select("embedding_text", "embedding_error").distinct().groupBy("embedding_error").agg(F.count("*").alias("n")) if "embedding_error" in counted.columns else None
     warnings = sources.warnings_of(d).unionByName(done.warnings.select("warning"))
+    if hashed is not None:
+        warnings = warnings.unionByName(hashed.select(F.format_string("[embeddings]: %d texts were hashed: %s", "n", "embedding_error").alias("warning")))
+    if notes:
+        warnings = warnings.unionByName(spark.createDataFrame([(n,) for n in notes], "warning string"))
+    pol = written(pol.join(ingest.section_counts(sections), "doc").withColumn("source_file", F.col("path")), "policies")
+    sent = lambda s: F.coalesce(F.sum(F.when(F.col("status") == s, F.col("count"))), F.lit(0)).cast("long").alias(f"llm_{s}_findings")
+    asked = done.stats if provider is not None else done.stats.where("false")
     stats = evaluate.counts(done.findings).crossJoin(d.agg(  # one row each
         F.count("*").alias("documents_received"), F.count_if(F.col("error").isNull()).alias("policies_processed"), F.count_if(F.col("error").isNotNull()).alias("documents_failed"),
-    )).crossJoin(obligations.agg(F.count("*").alias("obligations_extracted"))).crossJoin(pairs.agg(F.count("*").alias("candidate_pairs"))).crossJoin(
-        done.stats.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "count")))).alias("llm_findings"))
-    )
+    )).crossJoin(counted.agg(F.count("*").alias("obligations_extracted"), F.coalesce(F.array_join(F.array_sort(F.collect_set("backend")), "+"), F.lit("")).alias("embedding_backend"))).crossJoin(
+        pairs.agg(F.count("*").alias("candidate_pairs"))
+    ).crossJoin(asked.agg(*[sent(s) for s in ("verified", "rejected", "bypassed", "dropped", "failed")]))
     name = type(provider).__name__ if provider is not None else None
-    stats = stats.withColumns({"llm_enabled": F.lit(provider is not None), "llm_provider": F.lit(name).cast("string"), "llm_model": F.lit(getattr(provider, "model", None)).cast("string"), "embedding_backend": F.lit("hashing")})
-    pol = pol.join(ingest.section_counts(sections), "doc").withColumn("source_file", F.col("path"))
-    return Result(pol, obligations, pairs, done.findings, warnings, stats, (time.perf_counter() - began) * 1000.0)
+    stats = stats.withColumns({
+        "llm_enabled": F.lit(provider is not None), "llm_provider": F.lit(name).cast("string"), "llm_model": F.lit(getattr(provider, "model", None)).cast("string"),
+        "llm_eligible_findings": F.lit(done.eligible).cast("long"),
+    })
+    stats = written(stats, "statistics")
+    return Result(pol, counted, pairs, done.findings, written(warnings, "warnings"), stats, (time.perf_counter() - began) * 1000.0)
 
 
 def analyze(spark: SparkSession, documents: object, **options) -> Result:

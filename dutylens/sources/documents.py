@@ -100,6 +100,8 @@ def read_labels(spark: SparkSession, path: str, columns: list[str]) -> DataFrame
 
 def write_result(result, folder: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
     """The tables of a result as Parquet or JSON."""
+    if fmt not in ("parquet", "json"):
+        raise ValueError(f"results are written as parquet or json, not {fmt}")
     for name in ("policies", "obligations", "findings", "warnings", "statistics"):
         getattr(result, name).write.mode(mode).format(fmt).save(f"{folder}/{name}")
 
@@ -117,3 +119,23 @@ def check_upload(name: str, size: int) -> tuple[int, str] | None:
 def staged_name(index: int, name: str) -> str:
     """The name under which an upload is put aside: without its folders, after its place."""
     return f"{index}-{os.path.basename(name.replace(chr(92), '/'))}"
+
+
+def stage_uploads(uploads: Iterable[tuple[str, Iterable[bytes]]], folder: str) -> list[str]:
+    """Put uploads (name, chunks of bytes) aside as files of a folder, whose paths are returned; ValueError says what a form would answer."""
+    out = []
+    for i, (name, chunks) in enumerate(uploads):
+        if refused := check_upload(name, 1):
+            raise ValueError(f"{refused[0]} {refused[1]}")
+        os.makedirs(folder, exist_ok=True)
+        path, size = os.path.join(folder, staged_name(i, name)), 0
+        with open(path, "wb") as f:
+            for chunk in chunks:
+                size += f.write(chunk)
+        if refused := check_upload(name, size):
+            os.remove(path)
+            raise ValueError(f"{refused[0]} {refused[1]}")
+        out.append(path)
+    if not out:
+        raise ValueError("422 no documents")
+    return out

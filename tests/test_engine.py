@@ -167,12 +167,13 @@ def test_near_texts_are_complete(spark):
     rng = random.Random(4)
     base = " ".join(f"w{k}" for k in range(60))
     texts = [base + f" v{k}" for k in range(6)] + [" ".join(f"u{rng.randint(0, 30)}" for _ in range(rng.randint(1, 40))) for _ in range(60)] + ["solo", "solo solo solo solo solo solo solo solo x"]
-    d = spark.createDataFrame([(t,) for t in sorted(set(texts))], "embedding_text string").withColumn("vector", embed.hash_vector(F.col("embedding_text")))
+    d = spark.createDataFrame([(t,) for t in sorted(set(texts))], "embedding_text string").withColumns({"vector": embed.hash_vector(F.col("embedding_text")), "id": F.xxhash64("embedding_text")})
+    name = {r["id"]: r["embedding_text"] for r in d.collect()}
     v = {t: vector(t) for t in texts}
     n = {t: sum(x * x for x in v[t].values()) for t in texts}
     cos = lambda a, b: sum(x * v[b].get(k, 0) for k, x in v[a].items()) / math.sqrt(n[a] * n[b])
     want = {(a, b) for a in v for b in v if a != b and n[a] and n[b] and cos(a, b) >= 0.9}
-    assert {(r["a"], r["b"]) for r in corpus.near_texts(d, 0.9).collect()} == want and want
+    assert {(name[r["a"]], name[r["b"]]) for r in corpus.near_texts(d, 0.9).collect()} == want and want
 
 
 def test_staleness(spark):
@@ -244,27 +245,149 @@ def test_documents(spark, tmp_path):
     assert (s["documents_received"], s["policies_processed"], s["obligations_extracted"]) == (2, 1, 1) and r.warnings.count() == 1
 
 
+class Counting:
+    """Answers, and notes every prompt in a file, as it runs in other processes."""
+
+    def __init__(self, log):
+        self.log = log
+
+    def generate(self, prompt):
+        with open(self.log, "a") as f:
+            f.write(prompt + "\n")
+        if prompt == "bad":
+            raise RuntimeError("no answer")
+        return '{"verified": true, "confidence": 0.5, "explanation": "' + prompt + '"}'
+
+
 def test_replies_are_kept(spark, tmp_path):
-    class Counting:
-        calls = 0
+    """A prompt is sent once, over readers and runs; what failed is sent again in the next run."""
+    log = tmp_path / "log"
+    cached = verify.CachedProvider(Counting(str(log)), str(tmp_path / "replies"))
+    prompts = lambda *p: spark.createDataFrame([(x,) for x in p], "prompt string")
+    for asked, sent in ((("a", "b", "a", "bad"), ["a", "b", "bad"]), (("b", "c", "bad"), ["bad", "c"])):
+        log.write_text("")
+        got = verify.ask(prompts(*asked), cached)
+        rows = {r["prompt"]: (r["verified"], r["reply_explanation"], r["error"]) for r in got.collect()}
+        assert got.count() == len(set(asked)) and sorted(log.read_text().split()) == sent
+        assert rows == {p: (None, None, "no answer") if p == "bad" else (True, p, None) for p in asked}
+    assert cached.generate("x") and cached.replies(spark).count() == 3
+
+
+def documents(spark, n=5):
+    rules = ["Employees must rotate database keys every 30 days.", "Employees must not rotate database keys.", "Contractors should use SHA-1."]
+    raw = "# Policy {}\n**Last Reviewed:** 2020-01-01\n\n## Rules\n" + "\n".join("- " + r for r in rules) + "\n"
+    return spark.createDataFrame([(i, f"/p{i}.md", raw.format(i)) for i in range(n)], "doc long, path string, raw string")
+
 
-        def generate(self, prompt):
-            self.calls += 1
-            return "reply to " + prompt
+def angle(texts):
+    """Two dimensions: what is about keys lies near one direction, the rest across."""
+    return [[1.0, 0.01 * (len(t) % 7)] if "keys" in t else [0.0, 1.0] for t in texts]
 
-    inner = Counting()
-    path = str(tmp_path / "replies.jsonl")
-    first = verify.CachedProvider(inner, path)
-    assert [first.generate(x) for x in "aba"] == ["reply to a", "reply to b", "reply to a"] and inner.calls == 2
-    assert verify.CachedProvider(inner, path).generate("b") == "reply to b" and inner.calls == 2
+
+def test_encoder_in_the_whole_analysis(spark):
+    """An encoder's vectors go through counts, pairs and findings; a batch that fails is hashed and told."""
+    r = pipeline.analyze_table(documents(spark), today=date(2026, 1, 1), top_k=None, encoder=angle)
+    s = r.statistics.first()
+    assert s["embedding_backend"] == "encoder" and s["by_finding_type"]["CONTRADICTION"] == 25 and r.warnings.count() == 0
+    assert {o["corpus_frequency"] for o in r.obligations.collect()} == {5}
+    assert {len(o["embedding"]) for o in r.obligations.collect()} == {2}
+
+    def broken(texts):
+        raise RuntimeError("no model here")
+
+    r = pipeline.analyze_table(documents(spark), today=date(2026, 1, 1), top_k=None, encoder=broken)
+    assert [w["warning"] for w in r.warnings.collect()] == ["[embeddings]: 3 texts were hashed: no model here"]
+    s = r.statistics.first()
+    assert s["embedding_backend"] == "hashing" and s["by_finding_type"]["CONTRADICTION"] == 25
+
+
+def test_near_texts_of_an_encoder(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    base = rng.standard_normal((30, 24))
+    x = np.concatenate([base, base + 0.18 * rng.standard_normal((30, 24)), base + 0.4 * rng.standard_normal((30, 24)), np.zeros((2, 24))])
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>")
+    f = x.astype(np.float32).astype(float)
+    n = np.maximum(np.linalg.norm(f, axis=1), 1e-30)
+    like = (f @ f.T) / n[:, None] / n
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(like >= 0.95)) if i != j}
+    assert {(r["a"], r["b"]) for r in corpus.near_texts(d).collect()} == want and len(want) > 40
+
+
+def test_model_is_loaded_once(monkeypatch):
+    """On the first device that takes it; a model that can't be loaded is not tried again."""
+    tries = []
+
+    def load(device):
+        tries.append(device)
+        if device == "cuda":
+            raise RuntimeError("out of memory")
+        return angle
+
+    monkeypatch.setattr(embed, "devices", lambda: ["cuda", "cpu"])
+    model = embed.ModelEncoder("m", load)
+    assert model.device() == "not-loaded" and model(["keys"]) == angle(["keys"]) == model(["keys"]) and tries == ["cuda", "cpu"] and model.device() == "cpu"
+    monkeypatch.setattr(embed, "devices", lambda: ["cuda"])
+    lost = embed.ModelEncoder("lost", load)
+    for _ in range(2):
+        with pytest.raises(RuntimeError, match="can't be loaded"):
+            lost(["x"])
+    assert tries == ["cuda", "cpu", "cuda"]
+    model.forget()
+    assert model.device() == "not-loaded"
+
+
+@pytest.mark.parametrize("stage, owner, name", [
+    ("embeddings", embed, "embed"), ("corpus_frequency", corpus, "corpus_frequency"), ("candidates", candidates, "candidates"), ("detection", detect, "findings"),
+    ("staleness", staleness, "stale_references"), ("llm", verify, "ask"),
+])
+def test_a_stage_that_fails_ends_nothing(spark, monkeypatch, stage, owner, name):
+    """Whether it fails when it is planned or when it runs (the last two in turn)."""
+
+    def fails(d, *args, **kw):
+        if stage in ("embeddings", "candidates"):
+            return d.select(F.raise_error(F.lit("out of order")).alias("x"))
+        raise RuntimeError("out of order")
+
+    monkeypatch.setattr(owner, name, fails)
+    r = pipeline.analyze_table(documents(spark), today=date(2026, 1, 1), top_k=None, provider=Model() if stage == "llm" else None)
+    notes = [w["warning"] for w in r.warnings.collect()]
+    assert len(notes) == 1 and notes[0].startswith(f"[{stage}]: ") and "out of order" in notes[0]
+    s, kinds = r.statistics.first(), r.findings.groupBy("finding_type").count().collect()
+    kinds = {k["finding_type"]: k["count"] for k in kinds}
+    assert s["obligations_extracted"] == 15 and s["policies_processed"] == 5 and s["by_finding_type"] == kinds
+    assert kinds.get("CONTRADICTION", 0) == (0 if stage in ("embeddings", "candidates", "detection") else 25)
+    assert kinds.get("STALE_POLICY", 0) == (0 if stage == "staleness" else 5)
+
+
+def test_results_and_labels(spark, tmp_path):
+    """Results are written in both formats, labels are read as text."""
+    r = pipeline.analyze_table(documents(spark, 2), today=date(2026, 1, 1), provider=Model())
+    s = r.statistics.first()
+    assert s["llm_enabled"] and s["llm_provider"] == "Model" and s["llm_eligible_findings"] == s["llm_verified_findings"] + s["llm_rejected_findings"] + s["llm_failed_findings"] > 0
+    for fmt in ("parquet", "json"):
+        sources.write_result(r, str(tmp_path / fmt), fmt)
+        back = spark.read.format(fmt).load(str(tmp_path / fmt / "findings"))
+        assert back.count() == r.findings.count() == s["findings_total"]
+    with pytest.raises(ValueError):
+        sources.write_result(r, str(tmp_path / "x"), "csv")
+    (tmp_path / "l.csv").write_bytes(b'\xef\xbb\xbfa,b\n1,"x, ""y"""\n')
+    assert [tuple(x) for x in sources.read_labels(spark, str(tmp_path / "l.csv"), ["a", "b"]).collect()] == [("1", 'x, "y"')]
+    staged = sources.stage_uploads([("../a.md", [b"# A\n", b"Users must log out.\n"]), ("a.md", [b"x"])], str(tmp_path / "staged"))
+    assert [p.rsplit("/", 1)[-1] for p in staged] == ["0-a.md", "1-a.md"] and open(staged[0], "rb").read() == b"# A\nUsers must log out.\n"
+    for name, parts in (("a.exe", [b"x"]), ("a.md", [])):
+        with pytest.raises(ValueError):
+            sources.stage_uploads([(name, parts)], str(tmp_path / "staged"))
+    with pytest.raises(ValueError):
+        sources.stage_uploads([], str(tmp_path / "staged"))
 
 
 @pytest.mark.parametrize("top_k", [None, 2])
 def test_whole_analysis(spark, top_k):
-    rules = ["Employees must rotate database keys every 30 days.", "Employees must not rotate database keys.", "Contractors should use SHA-1."]
-    raw = "# Policy {}\n**Last Reviewed:** 2020-01-01\n\n## Rules\n" + "\n".join("- " + r for r in rules) + "\n"
-    rows = [(i, f"/p{i}.md", raw.format(i), None) for i in range(5)] + [(5, "/p5.pdf", None, "can't be read")]
-    r = pipeline.analyze_table(spark.createDataFrame(rows, "doc long, path string, raw string, error string"), today=date(2026, 1, 1), top_k=top_k)
+    bad = spark.createDataFrame([(5, "/p5.pdf", None, "can't be read")], "doc long, path string, raw string, error string")
+    rows = documents(spark).withColumn("error", F.lit(None).cast("string")).unionByName(bad)
+    r = pipeline.analyze_table(rows, today=date(2026, 1, 1), top_k=top_k)
     s = r.statistics.first()
     assert (s["documents_received"], s["policies_processed"], s["documents_failed"], s["obligations_extracted"]) == (6, 5, 1, 15) and r.warnings.count() == 1
     kinds = s["by_finding_type"]
