@@ -43,9 +43,11 @@ def op4_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     html, hit = F.coalesce(F.col("html"), F.lit("")), lambda n, k: F.coalesce(F.col("page_id") % n == k, F.lit(False))
     stored = F.when(hit(97, 11), F.concat(F.lit("X"), F.substring(html, F.lit(2), F.length(html)))).when(hit(389, 7), F.repeat(F.lit("0"), F.octet_length(html)))
     stored = stored.when(hit(193, 5), F.substring(html, F.lit(1), F.floor(F.length(html) / 2).cast("int"))).otherwise(html)
-    damaged = pages.where(~hit(211, 3)).withColumn("stored", stored).unionByName(pages.where(hit(307, 2)).select((-1 - F.col("page_id")).alias("page_id"), "url", "html", html.alias("stored")))
-    replicas = [warc_fixity.write_warc(pages, n_files), warc_fixity.write_warc(damaged, n_files, "stored")]
-    return warc_fixity.audit(*[warc_fixity.read_warc(spark, r) for r in replicas])
+    both = pages.withColumn("extra", F.lit(False)).unionByName(pages.where(hit(307, 2)).select((-1 - F.col("page_id")).alias("page_id"), "url", "html", F.lit(True).alias("extra")))
+    extra = F.col("extra")
+    payloads = {"a": F.when(~extra, html), "b": F.when(extra, html).when(~hit(211, 3), stored)}
+    replicas = warc_fixity.write_replicas(both, n_files, payloads, ("extra",))
+    return warc_fixity.audit(*[warc_fixity.read_warc(spark, r) for r in replicas.values()])
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,11 +108,11 @@ f AS (SELECT side, page_id, url, 'file=' || ('0x' || substr(md5(concat_ws('|', c
     'WARC/1.1' || n || 'WARC-Type: response' || n || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || n || 'WARC-Target-URI: ' || coalesce(url, '') || n || 'Content-Length: ' || strlen(html) || n || n || stored || n || n AS record
   FROM s, (SELECT chr(13) || chr(10) AS n)),
 o AS (SELECT side, file, page_id, coalesce(url, '') AS url, strlen(record)::BIGINT AS length, sha256(record) AS sha,
-    coalesce(sum(strlen(record)) OVER (PARTITION BY side, file ORDER BY page_id NULLS FIRST, url NULLS FIRST, record ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at FROM f),
-g AS (SELECT side, file, page_id, url, sha, count(*) AS n, min(at) AS at, min(length) AS length FROM o GROUP BY ALL),
+    coalesce(sum(strlen(record)) OVER (PARTITION BY side, file ORDER BY page_id NULLS FIRST, url NULLS FIRST, record ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM f),
+g AS (SELECT side, file, page_id, url, sha, count(*) AS n, min(pos) AS pos, min(length) AS length FROM o GROUP BY ALL),
 m AS (SELECT x.*, x.n - coalesce(y.n, 0) AS more FROM g x LEFT JOIN g y ON x.side <> y.side AND x.file = y.file AND x.page_id IS NOT DISTINCT FROM y.page_id AND x.url = y.url AND x.sha = y.sha),
-k AS (SELECT *, row_number() OVER (PARTITION BY side, file, page_id, url ORDER BY at, sha) AS nth FROM m WHERE more > 0)
-SELECT coalesce(a.file, b.file) AS file, coalesce(a.page_id, b.page_id) AS page_id, coalesce(a.url, b.url) AS url, coalesce(a.at, b.at) AS "offset", coalesce(a.length, b.length) AS length, coalesce(a.more, b.more)::BIGINT AS copies,
+k AS (SELECT *, row_number() OVER (PARTITION BY side, file, page_id, url ORDER BY pos, sha) AS nth FROM m WHERE more > 0)
+SELECT coalesce(a.file, b.file) AS file, coalesce(a.page_id, b.page_id) AS page_id, coalesce(a.url, b.url) AS url, coalesce(a.pos, b.pos) AS "offset", coalesce(a.length, b.length) AS length, coalesce(a.more, b.more)::BIGINT AS copies,
   CASE WHEN b.sha IS NULL THEN 'missing' WHEN a.sha IS NULL THEN 'extra' ELSE 'altered' END AS fault, a.sha AS expected, b.sha AS found
 FROM (SELECT * FROM k WHERE side = 'a') a FULL JOIN (SELECT * FROM k WHERE side = 'b') b ON a.file = b.file AND a.page_id IS NOT DISTINCT FROM b.page_id AND a.url = b.url AND a.nth = b.nth
 """

@@ -43,20 +43,33 @@ def record(page_id: Column, url: Column, declared: Column, payload: Column) -> C
     )
 
 
-def write_warc(pages: DataFrame, n_files: int, stored: str | None = None, folder: str | None = None, compression: str = "gzip") -> str:
-    """Store pages as WARC files in a folder, which is returned. `stored` names a column that stands in place of html.
+def write_replicas(pages: DataFrame, n_files: int, payloads: dict[str, Column], also: tuple[str, ...] = (), folder: str | None = None, compression: str = "gzip") -> dict[str, str]:
+    """Store pages as WARC files, once for each replica; returns the folder of each.
 
-    Pages are dealt to files by a hash of their key and lie there in the order of their key. With gzip, a file is one
-    stream and is read by one task; with "none", large files are read in splits.
+    payloads: what each replica holds in place of html, made of html and the columns in `also`; null: it has no such record. Pages are
+    dealt to files by a hash of their key and lie there in the order of their key. They are dealt once for all replicas. With gzip, a
+    file is one stream and is read by one task; with "none", large files are read in splits.
     """
-    p = with_columns_apart(pages, ["page_id", "url", "html", stored or "html"][: 4 if stored else 3])
+    p = with_columns_apart(pages, ["page_id", "url", "html", *also])
     key = F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce(F.col("url"), F.lit("")))
     file = F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long"), F.lit(n_files)).cast("int")
-    rows = p.select(file.alias("file"), "page_id", "url", record(F.col("page_id"), F.col("url"), F.col("html"), F.col(stored or "html")).alias("value"))
-    rows = rows.repartition(max(1, n_files), "file").sortWithinPartitions("file", "page_id", "url", "value")
+    dealt = p.withColumn("file", file).repartition(max(1, n_files), "file")
+    every = F.array(*[F.struct(F.lit(name).alias("replica"), payload.alias("payload")) for name, payload in payloads.items()])
+    rows = dealt.withColumn("x", F.explode(every)).where("x.payload is not null")
+    rows = rows.select("x.replica", "file", "page_id", "url", record(F.col("page_id"), F.col("url"), F.col("html"), F.col("x.payload")).alias("value"))
     folder = folder or new_folder(pages.sparkSession, "warc")
-    rows.select("file", "value").write.partitionBy("file").option("lineSep", GAP).option("compression", compression).text(folder)
-    return folder
+    rows.sortWithinPartitions("replica", "file", "page_id", "url", "value").select("replica", "file", "value").write.partitionBy("replica", "file").option("lineSep", GAP).option("compression", compression).text(folder)
+    out = {name: f"{folder}/replica={name}" for name in payloads}
+    for path in out.values():  # one without records has no files
+        where = pages.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(pages.sparkSession.sparkContext._jsc.hadoopConfiguration()).mkdirs(where)
+    return out
+
+
+def write_warc(pages: DataFrame, n_files: int, stored: str | None = None, **options) -> str:
+    """One replica. `stored` names a column that stands in place of html; a null one is an empty payload."""
+    payload = F.coalesce(F.col(stored or "html").cast("string"), F.lit(""))
+    return write_replicas(pages, n_files, {"only": payload}, (stored,) if stored else (), **options)["only"]
 
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
