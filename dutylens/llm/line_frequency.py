@@ -5,7 +5,8 @@ documents that have a line are counted, where documents of equal text are one do
 its text boilerplate. Lines in more documents than the limit are removed, and a document that loses more than
 `max_lost` of its words is rejected. Documents without a host share one.
 
-The limit of a host is max(min_docs, share * its distinct documents). Basic rules come first: too few words, or too
+The limit of a host is max(min_docs, share * its distinct documents), but never above most_docs, so that it stops growing with the
+host: a line in thousands of documents is boilerplate however many more there are. Basic rules come first: too few words, or too
 many of them in repeated 3-word windows.
 
 Cases: a null text has no words and fails the basic rules; long texts are counted whole; repeated rows get the same
@@ -117,23 +118,23 @@ def measured(docs: DataFrame) -> DataFrame:
     return d.mapInArrow(run, f"doc_id {kind}, host string, same bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, line_hash array<bigint>, line_words array<bigint>")
 
 
-def frequent_lines(lines: DataFrame, hosts: DataFrame, min_docs: int, share: float) -> DataFrame:
+def frequent_lines(lines: DataFrame, hosts: DataFrame, min_docs: int, share: float, most_docs: int) -> DataFrame:
     """(host, line): lines in more distinct documents of the host than its limit."""
     counted = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
     # the lines of a host are dealt out, so that a host with a third of them is no one task's work
     dealt = counted.withColumn("salt", F.pmod("line", F.lit(SALTS)).cast("int"))
     limits = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return dealt.join(limits, ["host", "salt"]).where(F.col("n") > F.greatest(F.lit(float(min_docs)), F.col("docs") * share)).select("host", "line")
+    return dealt.join(limits, ["host", "salt"]).where(F.col("n") > F.least(F.lit(float(most_docs)), F.greatest(F.lit(float(min_docs)), F.col("docs") * share))).select("host", "line")
 
 
-def _counted(all_docs: DataFrame, min_docs: int, share: float) -> DataFrame:
+def _counted(all_docs: DataFrame, min_docs: int, share: float, most_docs: int) -> DataFrame:
     """(host, same, removed_words, cut): the words and hashes of the frequent lines of every distinct text of a host that has some."""
     # documents of one host with the same text are one from here on
     once = all_docs.select("host", "same", F.arrays_zip("line_hash", "line_words").alias("lines")).dropDuplicates(["host", "same"])
     once = written(once, "line-texts")
     lines = once.select("host", "same", F.explode("lines").alias("x")).select("host", "same", F.col("x.line_hash").alias("line"), F.col("x.line_words").alias("words"))
     hosts = once.groupBy("host").agg(F.count("*").alias("docs"))
-    often = written(frequent_lines(lines, hosts, min_docs, share), "line-frequent")
+    often = written(frequent_lines(lines, hosts, min_docs, share, most_docs), "line-frequent")
     return lines.join(often, ["host", "line"]).groupBy("host", "same").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("cut"))
 
 
@@ -143,21 +144,21 @@ def _verdict(out: DataFrame, max_lost: float, min_words: int, max_repeated: floa
     return out.withColumn("kept", ~failed & (F.col("removed_words") <= max_lost * F.col("n_words")))
 
 
-def judge(docs: DataFrame, min_docs: int = 10, share: float = 0.01, max_lost: float = 0.5, min_words: int = 50, max_repeated: float = 50.0) -> DataFrame:
+def judge(docs: DataFrame, min_docs: int = 10, share: float = 0.01, most_docs: int = 100, max_lost: float = 0.5, min_words: int = 50, max_repeated: float = 50.0) -> DataFrame:
     """Per document: doc_id, the measures, base_failed, removed_words and kept."""
     all_docs = written(measured(docs), "line-measures")
-    lost = _counted(all_docs, min_docs, share).drop("cut")
+    lost = _counted(all_docs, min_docs, share, most_docs).drop("cut")
     out = _verdict(all_docs.drop("line_hash", "line_words").join(lost, ["host", "same"], "left"), max_lost, min_words, max_repeated)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
 
-def keep_rows(docs: DataFrame, min_docs: int = 10, share: float = 0.01, max_lost: float = 0.5, min_words: int = 50, max_repeated: float = 50.0) -> DataFrame:
+def keep_rows(docs: DataFrame, min_docs: int = 10, share: float = 0.01, most_docs: int = 100, max_lost: float = 0.5, min_words: int = 50, max_repeated: float = 50.0) -> DataFrame:
     """The rows of docs that `judge` keeps, with all their columns, and their texts without the frequent lines."""
     name = next((c for c in docs.columns if c.lower() == "text"), None)
     if name is None:
         return docs.where(F.lit(False))  # no words, no row
     all_docs = written(measured(docs), "line-measures")
-    lost = _counted(all_docs, min_docs, share)
+    lost = _counted(all_docs, min_docs, share, most_docs)
     rules = _verdict(all_docs.drop("doc_id", "line_hash", "line_words").dropDuplicates(["host", "same"]).join(lost, ["host", "same"], "left"), max_lost, min_words, max_repeated)
     host, same, cut = (free_name(docs, n) for n in ("host", "same", "cut"))
     rules = written(rules.where("kept").select(F.col("host").alias(host), F.col("same").alias(same), F.coalesce("cut", F.array().cast("array<bigint>")).alias(cut)), "line-rules")

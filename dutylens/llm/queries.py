@@ -129,7 +129,7 @@ l AS (SELECT r, host, text, x AS line, len(regexp_extract_all(x, '[^\x20\x09-\x0
   FROM (SELECT r, host, text, unnest(string_split(text, chr(10))) AS x FROM d) WHERE len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) > 0),
 dup AS (SELECT r, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines FROM l GROUP BY r),
 docs AS (SELECT host, count(*) AS docs FROM (SELECT DISTINCT host, text FROM d) GROUP BY host),
-often AS (SELECT host, normal FROM (SELECT host, normal, count(DISTINCT text) AS n FROM l GROUP BY host, normal) JOIN docs USING (host) WHERE n > greatest(10, docs * 0.01::DOUBLE)),
+often AS (SELECT host, normal FROM (SELECT host, normal, count(DISTINCT text) AS n FROM l GROUP BY host, normal) JOIN docs USING (host) WHERE n > least(100, greatest(10, docs * 0.01::DOUBLE))),
 lost AS (SELECT r, sum(words)::BIGINT AS removed_words FROM l JOIN often USING (host, normal) GROUP BY r),
 f AS (SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(list_sum(list_transform(d.words, lambda x: length(x))), 0)::BIGINT AS word_chars,
     (length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,

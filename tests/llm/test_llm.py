@@ -754,7 +754,7 @@ def test_line_frequency(spark, docs, empty):
     assert line_frequency.judge(empty).count() == 0
 
 
-def line_rows(rows, min_docs, min_words, share=0.01):
+def line_rows(rows, min_docs, min_words, share=0.01, most=100):
     """(doc_id, text) of what stays, counted over all lines at once."""
     normal = lambda line: re.sub("[0-9]", "0", " ".join(WORD.findall(line.lower())))
     having, texts = defaultdict(set), defaultdict(set)
@@ -763,7 +763,7 @@ def line_rows(rows, min_docs, min_words, share=0.01):
         for line in (t or "").split("\n"):
             if WORD.search(line):
                 having[s, normal(line)].add(t)
-    often = {k for k, v in having.items() if len(v) > max(min_docs, share * len(texts[k[0]]))}
+    often = {k for k, v in having.items() if len(v) > min(most, max(min_docs, share * len(texts[k[0]])))}
     out = []
     for i, t, s in rows:
         words = WORD.findall(t or "")
@@ -794,6 +794,9 @@ def test_frequent_lines_are_removed(spark, docs, empty):
     want = line_rows(rows, 15, 10)
     assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter(want) and 0 < len(want) < len(rows) and any(t != dict((i, t) for i, t, _ in rows)[i] for i, t in want)
     assert Counter(r["doc_id"] for r in line_frequency.judge(d, min_docs=15, min_words=10).where("kept").collect()) == Counter(i for i, _ in want)
+    for share, most in ((0.5, 10_000), (0.5, 40)):  # the share alone, and the bound above it
+        got = line_frequency.keep_rows(d, min_docs=15, min_words=10, share=share, most_docs=most).collect()
+        assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(line_rows(rows, 15, 10, share, most))
     assert line_frequency.keep_rows(empty).count() == 0 and line_frequency.keep_rows(d.drop("text")).count() == 0
     assert Counter((r["doc_id"], r["text"]) for r in line_frequency.keep_rows(docs).collect()) == Counter(line_rows(odd_rows(), 10, 50))
 
