@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dutylens.functions.lexicon import J
@@ -35,26 +37,39 @@ def strip(c: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """Runs of white space as one blank, none at the ends."""
-    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
+    return F.btrim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
 def fragment(c: Column) -> Column:
     """Squeezed, without punctuation at the ends; null if nothing is left."""
-    return none_if_empty(F.btrim(squeeze(c), F.lit(EDGE)))
+    return none_if_empty(F.btrim(F.regexp_replace(c, r"(?U)\s+", " "), F.lit(EDGE)))
 
 
 def lowered(c: Column) -> Column:
     return none_if_empty(F.lower(squeeze(c)))
 
 
-def found(c: Column, pattern: str, group: int = 0) -> Column:
-    """The first match, or its group; null without one, or for an empty one."""
-    return none_if_empty(F.regexp_extract(c, J + pattern, group))
+def plain(s: Column) -> Column:
+    """Small letters, also those that a pattern takes for a plain letter: what a pattern finds in s, a search of a word finds here."""
+    return F.lower(F.translate(s, "\u017f\u212a\u0130\u0131", "skii"))
+
+
+def may_match(low: Column, pattern: str) -> Column:
+    """False only where the pattern can't match, as the word it begins with is not there; low: plain of the text."""
+    word = re.match(r"\\b([A-Za-z]+)(\?)?", pattern)
+    start = word[1][: -1 if word[2] else None].lower() if word else ""
+    return low.contains(start) if start else F.lit(True)
+
+
+def found(c: Column, pattern: str, group: int = 0, low: Column | None = None) -> Column:
+    """The first match, or its group; null without one, or for an empty one. low: plain(c), if there is one, spares most searches."""
+    match = F.regexp_extract(c, J + pattern, group)
+    return none_if_empty(match if low is None else F.when(may_match(low, pattern), match))
 
 
-def first_found(c: Column, patterns: list[str]) -> Column:
+def first_found(c: Column, patterns: list[str], low: Column | None = None) -> Column:
     """The match of the first pattern of the list that matches anywhere."""
-    return F.coalesce(*[found(c, p) for p in patterns])
+    return F.coalesce(*[found(c, p, 0, low) for p in patterns])
 
 
 def stable_id(prefix: str, value: Column) -> Column:
@@ -69,3 +84,11 @@ def lookup(c: Column, table: dict[str, str]) -> Column:
 
 def lines_of(text: Column) -> Column:
     return F.split(text, LINE_END, -1)
+
+
+def computed(d: DataFrame, **columns: Column) -> DataFrame:
+    """d with columns that are computed once for each row, however often what follows uses or filters by them.
+
+    A filter or projection after a plain projection takes its expressions apart and repeats them; it can't do so with a generator's.
+    """
+    return d.withColumn("__made", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))).select(*d.columns, "__made.*")

@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dutylens.functions import lexicon as L
-from dutylens.functions.text import EDGE, case, first_found, found, fragment, none_if_empty, squeeze, stable_id, strip
-
-
-def plain(s: Column) -> Column:
-    """Small letters, also those that a pattern takes for a plain letter: what a pattern finds in s, a search of a word finds here."""
-    return F.lower(F.translate(s, "\u017f\u212a\u0130\u0131", "skii"))
+from dutylens.functions.text import EDGE, case, computed, first_found, found, fragment, may_match, none_if_empty, plain, squeeze, stable_id, strip
 
 
 def modality_rule(s: Column, low: Column) -> Column:
     """Index of the first modality rule of the list that matches anywhere; null without one. low: plain(s)."""
-    return case((low.contains(words.split()[0]) & s.rlike(L.J + L.phrase(words)), F.lit(i)) for i, (words, *_) in enumerate(L.MODALITY))
+    return case((may_match(low, L.phrase(words)) & s.rlike(L.J + L.phrase(words)), F.lit(i)) for i, (words, *_) in enumerate(L.MODALITY))
 
 
 def _by_rule(s: Column, rule: Column, shape: str) -> Column:
@@ -30,13 +28,14 @@ def cut_qualifiers(text: Column) -> Column:
     return strip(F.regexp_extract(text, f"(?siuU)^(.*?)(?:{stops}|$)", 1))
 
 
-def technologies(s: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(s.rlike(L.J + p), F.lit(name)) for name, p in L.TECHNOLOGY]))
+def technologies(s: Column, low: Column) -> Column:
+    return F.array_compact(F.array(*[F.when(may_match(low, p) & s.rlike(L.J + p), F.lit(name)) for name, p in L.TECHNOLOGY]))
 
 
 def topic(s: Column) -> Column:
+    """The first topic of which a word stands anywhere, also within another word."""
     low = F.lower(s)
-    return case((low.rlike("|".join(words)), F.lit(name)) for name, words in L.TOPICS.items())
+    return case((reduce(or_, [low.contains(w) for w in words]), F.lit(name)) for name, words in L.TOPICS.items())
 
 
 def confidence(subject: Column, action: Column, obj: Column, strength: Column) -> Column:
@@ -47,8 +46,9 @@ def confidence(subject: Column, action: Column, obj: Column, strength: Column) -
 def extract(sentences: DataFrame) -> DataFrame:
     """policy_id, section_id, sentence (and whatever else comes along) -> obligations; other sentences fall out."""
     s = F.col("sentence")
-    d = sentences.withColumn("low", plain(s))
-    d = d.withColumn("passive", F.col("low").contains("prohibited") & s.rlike(L.J + L.passive())).withColumn("rule", modality_rule(s, F.col("low"))).where("passive or rule is not null")
+    d = computed(sentences, low=plain(s))
+    low = F.col("low")
+    d = computed(d, passive=low.contains("prohibited") & s.rlike(L.J + L.passive()), rule=modality_rule(s, low)).where("passive or rule is not null")
     entry = lambda i, kind: F.element_at(F.array(*[F.lit(r[i]) for r in L.MODALITY]), F.col("rule") + 1).cast(kind)
     d = d.withColumns({
         "before": _by_rule(s, F.col("rule"), "(?siuU)^(.*?){}"),
@@ -63,12 +63,12 @@ def extract(sentences: DataFrame) -> DataFrame:
         "subject": F.when(p, F.col("actor")).otherwise(fragment(F.col("before"))),
         "action": F.when(p, F.col("matter")).otherwise(fragment(F.lower(none_if_empty(F.get(words, F.lit(0)))))),
         "object": F.when(~p, fragment(F.get(words, F.lit(1)))),
-        "scope": F.when(p, F.col("actor")).otherwise(fragment(F.lower(first_found(s, L.SCOPE)))),
+        "scope": F.when(p, F.col("actor")).otherwise(fragment(F.lower(first_found(s, L.SCOPE, low)))),
         "modality": F.when(p, F.lit("PROHIBITED")).otherwise(entry(1, "string")),
         "negated": F.when(p, F.lit(True)).otherwise(entry(2, "boolean")),
         "strength": F.when(p, F.lit(1.0)).otherwise(entry(3, "double")),
-        "technology": technologies(s),
-        "frequency": fragment(F.lower(first_found(s, L.FREQUENCY))),
+        "technology": technologies(s, low),
+        "frequency": fragment(F.lower(first_found(s, L.FREQUENCY, low))),
         "condition": fragment(found(s, L.condition(), 1)),
         "exception": fragment(found(s, L.exception(), 1)),
         "topic": topic(s),
