@@ -21,10 +21,10 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Op 9's groups and choice of one document, with links by 5-word shingles at an exact similarity of 0.8.
+    """Op 9: SimHash fingerprints and their search, components and choice of one document, with links by 5-word shingles at an exact similarity of 0.8.
 
-    SimHash can't find these links (README, "Pipeline"), so candidates come from minimum hashes here and not from fingerprints; components and
-    the document that stays, the one with the smallest doc_id, are those of the SimHash operator.
+    Near fingerprints are candidates, checked exactly. SimHash alone doesn't reach all links of that similarity (README, "Pipeline"), so texts
+    that meet by minimum hashes are candidates beside them.
     """
     return near_text.keep_one(docs, width=5, similarity=0.8)
 

@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dutylens.llm.common import use_workers, with_columns_apart
+from dutylens.llm.common import keep_for, let_go, use_workers, with_columns_apart
 
 #: Distinct runs of text between blanks whose encoding a worker keeps, in each of two generations.
-CACHED_RUNS = 400_000
+CACHED_RUNS = 250_000
 #: White space of the tokenizer files, that is of Unicode.
 BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 NONE = np.iinfo(np.int64).max
@@ -221,7 +221,9 @@ def encode_documents(docs: DataFrame, path: str, with_text: bool = False) -> Dat
     kind = d.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go("bpe")
         coder = coder_of(path)
+        keep_for("bpe", coder_of.cache_clear)
         for b in (batch.slice(s, 500) for batch in batches for s in range(0, batch.num_rows, 500)):
             texts = b.column(1).to_pylist()
             for i, j in in_pieces(texts):

@@ -2,18 +2,46 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dutylens.sources.scratch import new_folder, written
 from dutylens.sources.workers import use_workers
 
-__all__ = ["WORD", "components", "free_name", "n_words", "new_folder", "use_workers", "with_columns_apart", "written"]
+__all__ = ["WORD", "components", "free_name", "keep_for", "let_go", "n_words", "new_folder", "use_workers", "with_columns_apart", "written"]
 
 #: A word: a run of anything but blank, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: What gives back the caches that outlast a task in a worker, by operator, and whose task came last.
+_held: dict[str, Callable[[], object]] = {}
+_last: list[str] = []
+
+
+def keep_for(operator: str, clear: Callable[[], object]) -> None:
+    """Say that this worker keeps something for the operator's next tasks; clear() gives it back."""
+    _held[operator] = clear
+
+
+def let_go(operator: str) -> None:
+    """Called first in a task: workers are used again, so what another operator left in this one is given back."""
+    if _last == [operator]:
+        return
+    _last[:] = [operator]
+    for k in [k for k in _held if k != operator]:
+        _held.pop(k)()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -4,8 +4,10 @@ A text is the set of its shingles of `width` words (words between ASCII blanks,
 shingle), as 64-bit hashes. Two texts link if the Jaccard similarity of their sets is at least `similarity`. Texts of
 one set are one node.
 
-Candidates share one of BANDS keys, each of ROWS minimum hashes; a pair at similarity s shares none with probability
-(1 - s^ROWS)^BANDS, 3 in a million at 0.8. Whatever candidates join is dealt to the tasks as one group, a large group
+Candidates are those whose SimHash fingerprints, of the same shingles, differ in `radius` bits at most: they are found by the SimHash
+operator's own search. Fingerprints of texts at 0.8 can differ in 15 bits, so texts that share one of BANDS keys, each of
+ROWS minimum hashes, are candidates as well; a pair at similarity s shares none with probability (1 - s^ROWS)^BANDS,
+3 in a million at 0.8. Whatever candidates join is dealt to the tasks as one group, a large group
 in pairs of blocks, and there every candidate pair is compared exactly unless links found before join it already.
 
 Cases: null, empty and blank texts are one node without shingles; null ids take no part in the smallest id (a component
@@ -23,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dutylens.llm.common import components, use_workers, with_columns_apart, written
-from dutylens.llm.simhash import keep_lowest, name_components
+from dutylens.llm.common import components, let_go, use_workers, with_columns_apart, written
+from dutylens.llm.simhash import fingerprint_texts, keep_lowest, links, name_components
 
 ROWS, BANDS = 4, 24
 #: Most texts, and about the most shingles, of one side of a block.
@@ -76,7 +78,7 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def shingled(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, node, n, keys, shingles) of every row: node names the set, n counts it, shingles are its bytes."""
+    """(doc_id, node, n, fp, keys, shingles) of every row: node names the set, n counts it, fp is its SimHash, shingles are its bytes."""
     use_workers(docs.sparkSession)
     d = with_columns_apart(docs, ["doc_id", "text"])
     kind = d.schema["doc_id"].dataType.simpleString()
@@ -84,23 +86,26 @@ def shingled(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
+        let_go("near")
         known: dict[bytes, int] = {}
         for b in batches:
             for s in range(0, b.num_rows, 200):
                 part = b.slice(s, 200)
                 if len(known) > WORDS_KEPT:
                     known.clear()
-                sets = [shingle_set(t, width, known) for t in part.column(1).cast(pa.binary()).to_pylist()]
+                texts = part.column(1).cast(pa.binary()).to_pylist()
+                fps = fingerprint_texts(texts, width).view(np.int64)
+                sets = [shingle_set(t, width, known) for t in texts]
                 raw = [x.tobytes() for x in sets]
                 node = np.array([xxh64_intdigest(x, 1) for x in raw], np.uint64).view(np.int64)
                 keys = pa.array([band_keys(x).view(np.int64) for x in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node), pa.array([len(x) for x in sets], pa.int64()), keys, pa.array(raw, pa.binary())], names=["doc_id", "node", "n", "keys", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node), pa.array([len(x) for x in sets], pa.int64()), pa.array(fps), keys, pa.array(raw, pa.binary())], names=["doc_id", "node", "n", "fp", "keys", "shingles"])
 
-    return d.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, node bigint, n bigint, keys array<bigint>, shingles binary")
+    return d.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, node bigint, n bigint, fp bigint, keys array<bigint>, shingles binary")
 
 
-def similar_pairs(side: np.ndarray, sets: list[np.ndarray], keys: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
-    """Links that join what pairs of `similarity` join, among candidates: pairs with a key in common.
+def similar_pairs(side: np.ndarray, sets: list[np.ndarray], fps: np.ndarray, keys: np.ndarray, similarity: float, radius: int) -> tuple[list[int], list[int]]:
+    """Links that join what pairs of `similarity` join, among candidates: pairs of near fingerprints, or with a key in common.
 
     Where side has two values, only pairs across them count; within one side another block answers.
     """
@@ -112,7 +117,7 @@ def similar_pairs(side: np.ndarray, sets: list[np.ndarray], keys: np.ndarray, si
         rest = np.arange(i + 1, len(sets))
         rest = rest[(root[rest] != root[i]) & ((side[rest] != side[i]) | (not two))]
         rest = rest[np.minimum(n[rest], n[i]) >= similarity * np.maximum(n[rest], n[i]) - 1e-6]
-        shared = (keys[rest] == keys[i]).sum(axis=1)
+        shared = (keys[rest] == keys[i]).sum(axis=1) + (BANDS + 1) * (np.bitwise_count(fps[rest] ^ fps[i]) <= radius)  # near fingerprints first
         rest = rest[np.argsort(-shared, kind="stable")][: int((shared > 0).sum())]
         while len(rest):
             now, rest = rest[:AT_ONCE], rest[AT_ONCE:]
@@ -127,34 +132,45 @@ def similar_pairs(side: np.ndarray, sets: list[np.ndarray], keys: np.ndarray, si
     return us, vs
 
 
-def similar_links(rows: DataFrame, similarity: float) -> DataFrame:
+def print_links(nodes: DataFrame, radius: int) -> DataFrame:
+    """(u, v): links between nodes (node, fp) that join those whose fingerprints the SimHash operator links."""
+    low = written(nodes.groupBy("fp").agg(F.min("node").alias("low")), "near-prints")
+    end = lambda key: low.select(F.col("fp").alias(key), F.col("low").alias(f"{key}_low"))
+    far = links(low.select("fp"), radius).distinct().join(end("u"), "u").join(end("v"), "v").select(F.col("u_low").alias("u"), F.col("v_low").alias("v"))
+    return far.unionByName(nodes.join(low.hint("merge"), "fp").select(F.col("node").alias("u"), F.col("low").alias("v")))
+
+
+def similar_links(rows: DataFrame, similarity: float, radius: int = 3) -> DataFrame:
     """(u, v): links between nodes that join exactly what candidate pairs of `similarity` join. rows: as of shingled."""
     spark = rows.sparkSession
-    met = written(rows.groupBy("node").agg(F.max("n").alias("n"), F.first("keys").alias("keys")).select("node", "n", F.explode("keys").alias("key")), "near-keys")
+    nodes = written(rows.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.min("fp").alias("fp"), F.first("keys").alias("keys")), "near-keys")
+    met = nodes.select("node", F.explode("keys").alias("key"))
     first = met.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "low")
-    groups = components(met.join(first.hint("merge"), "key").select(F.col("node").alias("u"), F.col("low").alias("v")), "near-groups")
-    sizes = met.select("node", "n").distinct()
-    groups = written(groups.join(sizes, "node"), "near-members")
+    shared = met.join(first.hint("merge"), "key").select(F.col("node").alias("u"), F.col("low").alias("v"))
+    groups = components(shared.unionByName(print_links(nodes.select("node", "fp"), radius)), "near-groups")
+    groups = written(groups.join(nodes.select("node", "n", "fp"), "node"), "near-members")
     blocks = groups.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    groups = groups.select("node", "root").join(blocks, "root")
+    groups = groups.select("node", "root", "fp").join(blocks, "root")
     sets = rows.select("node", "keys", "shingles").join(groups, "node").dropDuplicates(["node"])
     own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
     dealt = written(sets, "near-sets").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("k"), "own", "node", "keys", "shingles")
+    dealt = dealt.select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("k"), "own", "node", "keys", "shingles", "fp")
     dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k").sortWithinPartitions("k", "node")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go("near")
         key, held = None, []
 
         def told() -> Iterator[pa.RecordBatch]:
             if len(held) < 2:
                 return
             node = [h[1] for h in held]
-            u, v = similar_pairs(np.array([h[0] for h in held]), [np.frombuffer(h[3], np.uint64) for h in held], np.array([h[2] for h in held], np.int64), similarity)
+            sets, fps, keys = [np.frombuffer(h[3], np.uint64) for h in held], np.array([h[4] for h in held], np.int64), np.array([h[2] for h in held], np.int64)
+            u, v = similar_pairs(np.array([h[0] for h in held]), sets, fps.view(np.uint64), keys, similarity, radius)
             yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in u], pa.int64()), pa.array([node[i] for i in v], pa.int64())], names=["u", "v"])
 
         for b in batches:
-            for k, *row in zip(b.column(0).to_pylist(), *(b.column(i).to_pylist() for i in range(1, 5))):
+            for k, *row in zip(b.column(0).to_pylist(), *(b.column(i).to_pylist() for i in range(1, 6))):
                 if k != key:
                     yield from told()
                     key, held = k, []

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dutylens.llm.common import components, free_name, use_workers, with_columns_apart, written
+from dutylens.llm.common import components, free_name, let_go, use_workers, with_columns_apart, written
 
 BITS = 64
 #: Fingerprints that steer the partitions and thresholds.
@@ -89,6 +89,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     kind = d.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go("simhash")
         for b in batches:
             for s in range(0, b.num_rows, 500):
                 part = b.slice(s, 500)
@@ -290,6 +291,7 @@ def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
     plan = make_plan(sample, total, radius)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go("simhash")
         for b in batches:
             for s in range(0, b.num_rows, 4096):
                 fps = b.column(0).slice(s, 4096).to_numpy(zero_copy_only=False).view(np.uint64)

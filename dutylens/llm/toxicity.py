@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dutylens.llm.common import free_name, use_workers, with_columns_apart, written
+from dutylens.llm.common import free_name, let_go, use_workers, with_columns_apart, written
 
 #: Insults in four languages.
 INSULTS = "idiot moron stupid loser scum trash worthless pathetic disgusting clown dumb imbecile cretin jerk bastard dumm dummkopf trottel arschloch abschaum idiote imbécile crétin connard salaud stupide estúpido imbécil idiota basura cabrón asqueroso".split()
@@ -237,6 +237,7 @@ def _term_counts(sample: DataFrame, toxic: int, only: set[str] | None) -> DataFr
     """(term, n): documents with that label that have the term; added up in each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go("toxicity")
         c: Counter = Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
@@ -275,6 +276,7 @@ def _features(rows: DataFrame, lexicon: dict[str, float]) -> DataFrame:
     """(toxic, key, x) of each row (toxic, key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go("toxicity")
         tokens = Tokens(lexicon)
         for b in batches:
             x = [tokens.features(t).tolist() for t in b.column(2).to_pylist()]
@@ -312,6 +314,7 @@ def score_documents(docs: DataFrame, model: Model, keep: str | None = None) -> D
     kind = d.schema[d.columns[0]].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go("toxicity")
         tokens = Tokens(model.lexicon)
         for b in batches:
             for s in range(0, b.num_rows, 1000):

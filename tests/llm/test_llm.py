@@ -968,3 +968,35 @@ def test_pipeline_near_copies(spark, monkeypatch, block):
     got = corpus_pipeline.without_near_duplicates(spark, table(spark, rows), "")
     assert got.columns == table(spark, rows[:1]).columns
     assert Counter(r["doc_id"] for r in got.collect()) == Counter(i for i, _, _ in plain_groups(rows))
+
+
+def test_pipeline_links_by_simhash(spark, monkeypatch):
+    """Texts whose fingerprints are near are candidates by them alone, and the exact similarity decides."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from dutylens.llm import near_text, simhash
+
+    rng = random.Random(3)
+    rows = []
+    for g in range(30):
+        words = [f"w{rng.randint(0, 10_000)}" for _ in range(400)]
+        rows += [(2 * g, " ".join(words), "s"), (2 * g + 1, " ".join([*words[:-1], "other"]), "s")]
+    rows.append((100, "yes " * 40, "s"))  # one fingerprint, another set
+    rows.append((101, "yes " * 40 + "no", "s"))
+    fps = simhash.fingerprint_texts([t.encode() for _, t, _ in rows], 5)
+    near = {b for b in range(1, 60, 2) if int(fps[b] ^ fps[b - 1]).bit_count() <= 3}
+    assert len(near) > 15 and int(fps[60] ^ fps[61]).bit_count() <= 3
+    monkeypatch.setattr(near_text, "band_keys", lambda x: np.empty(0, np.uint64))  # nothing meets by minimum hashes
+    got = corpus_pipeline.without_near_duplicates(spark, table(spark, rows), "")
+    assert {r["doc_id"] for r in got.collect()} == {i for i, _, _ in rows} - near
+
+
+def test_workers_let_go_of_what_others_keep():
+    from dutylens.llm import common
+
+    gone = []
+    common.keep_for("one", lambda: gone.append("one"))
+    common.let_go("one")
+    assert gone == []
+    common.let_go("two")
+    common.let_go("two")
+    assert gone == ["one"]
