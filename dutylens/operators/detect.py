@@ -11,6 +11,7 @@ from dutylens.functions.text import case, stable_id
 from dutylens.operators.candidates import CARRIED, with_ends
 
 NEAR, COMMON = 0.95, 5
+ALIKE = ("action", "object")  # of both sides of any finding; see comparable()
 BASE = {"CONTRADICTION": 0.80, "FREQUENCY_MISMATCH": 0.65, "MODALITY_INCONSISTENCY": 0.55, "REDUNDANCY": 0.45}
 EVIDENCE = ["policy_id", "section_id", "sentence", "subject", "action", "object", "scope", "frequency", "modality", "negated", "technology"]
 

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from dutylens.functions import lexicon as L
 from dutylens.functions.text import stable_id
 from dutylens.functions.vectors import cosine
-from dutylens.operators import candidates, corpus, detect, embed, evaluate, extract, ingest, normalize, staleness, verify
+from dutylens.operators import blocks, candidates, corpus, detect, embed, evaluate, extract, ingest, normalize, staleness, verify
 from dutylens.plans import corpora, pipeline
 from dutylens.sources.scratch import written
 
@@ -301,7 +301,7 @@ def plain(pairs: DataFrame) -> DataFrame:
 
 @query(f"WITH {PAIRS_SQL} SELECT {PAIR} FROM cand")
 def candidates_flags(spark, sf):
-    return plain(candidates.candidates(obligations(spark, sf), top_k=None))
+    return plain(blocks.pairs(obligations(spark, sf), candidates.THRESHOLD, ids=False))
 
 
 @query(f"WITH {PAIRS_SQL} SELECT src_ord, tgt_ord, row_number() OVER (ORDER BY modality_mismatch DESC, negation_mismatch DESC, cosine DESC, n_same DESC, least(s.obligation_id, g.obligation_id) DESC, greatest(s.obligation_id, g.obligation_id) DESC, src_ord, tgt_ord) AS place FROM cand QUALIFY place <= 100")

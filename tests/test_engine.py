@@ -411,3 +411,34 @@ def test_scratch_folder(spark):
 
     d = spark.range(3).select("id", F.struct("id").alias("s"), F.lit(None).cast("string").alias("n"))
     assert written(d, "t").orderBy("id").collect() == d.orderBy("id").collect()
+
+
+@pytest.mark.parametrize("block", [2048, 16])
+def test_blocked_pairs_are_those_of_the_joins(spark, monkeypatch, block):
+    """Every pair once, whatever anchors it shares and however its groups are dealt out, with the columns' own cosines."""
+    from dutylens.functions.vectors import sparse_cosine
+    from dutylens.operators import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK", block)
+    rng = random.Random(5)
+    names = ["TLS 1.0", "WEP", "SHA-1"]
+    kind = "ord long, policy_id string, section_id string, obligation_id string, sentence string, subject string, action string, object string, scope string, frequency string, technology array<string>, modality string, negated boolean, topic string, condition string, exception string"
+    rows = []
+    for i in range(400):
+        pick = lambda *v: rng.choice(v)
+        rows.append((
+            i, f"p{i % 7}", "s", f"o{rng.randint(0, 99):03}", f"sentence {rng.randint(0, 60)}", pick(None, "staff", "teams"), pick(None, "review", "rotate", "use"), pick(None, f"file {i % 50}", "keys"),
+            pick(None, "home"), pick(None, "every 30 days"), rng.sample(names, rng.choice([0, 1, 1, 2, 3])), pick("REQUIRED", "PROHIBITED"), pick(True, False), pick(None, "network"), None, pick(None, "risk is high"),
+        ))
+    rows.append((400, "p1", "s", "o1", "bare", None, None, None, None, None, ["WEP"], "REQUIRED", False, "network", None, None))
+    o = candidates.written(embed.embed(spark.createDataFrame(rows, kind)), "o")
+    for across in (True, False):
+        plain = candidates.with_ends(candidates.anchored(o, across), o, ["policy_id", "subject", "action", "object", "scope", "frequency", "modality", "negated", "obligation_id", "vector"])
+        plain = plain.withColumn("cosine", sparse_cosine(F.col("s.vector"), F.col("t.vector"))).where("cosine >= 0.55").withColumns(candidates.flags())
+        plain = plain.select("src_ord", "tgt_ord", F.least("s.obligation_id", "t.obligation_id"), F.greatest("s.obligation_id", "t.obligation_id"), "cosine", *candidates.flags())
+        want = sorted(map(tuple, plain.collect()))
+        got = blocks.pairs(o, 0.55, across)
+        assert len(want) > 4000 and sorted(map(tuple, got.drop("n_same").collect())) == want
+        assert got.where("n_same <> int(same_subject) + int(same_action) + int(same_object) + int(same_scope) + int(same_frequency)").isEmpty()
+        alike = blocks.pairs(o, 0.55, across, alike=("action", "object"), ids=False, ends=["policy_id"])
+        assert sorted((r[0], r[1], r["s_policy_id"], r["t_policy_id"]) for r in alike.collect()) == sorted((w[0], w[1], f"p{w[0] % 7}" if w[0] < 400 else "p1", f"p{w[1] % 7}" if w[1] < 400 else "p1") for w in want if w[7] and w[8])
