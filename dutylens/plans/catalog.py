@@ -306,8 +306,12 @@ def candidates_flags(spark, sf):
 
 @query(f"WITH {PAIRS_SQL} SELECT src_ord, tgt_ord, row_number() OVER (ORDER BY modality_mismatch DESC, negation_mismatch DESC, cosine DESC, n_same DESC, least(s.obligation_id, g.obligation_id) DESC, greatest(s.obligation_id, g.obligation_id) DESC, src_ord, tgt_ord) AS place FROM cand QUALIFY place <= 100")
 def candidates_priority(spark, sf):
-    """The hundred most urgent pairs."""
-    best = candidates.candidates(obligations(spark, sf), top_k=None).orderBy(*candidates.priority()).limit(100)
+    """The hundred most urgent pairs. If a hundred of the most similar ones mismatch twice, no other comes before them."""
+    o = obligations(spark, sf)
+    for threshold in (0.95, candidates.THRESHOLD):
+        best = written(candidates.candidates(o, threshold, top_k=None).orderBy(*candidates.priority()).limit(100), "best")
+        if best.where("modality_mismatch and negation_mismatch").count() == 100:
+            break
     return best.withColumn("place", F.row_number().over(Window.orderBy(*candidates.priority())).cast("long")).select("src_ord", "tgt_ord", "place")
 
 
