@@ -493,9 +493,10 @@ def best_pair_argmax(spark, sf):
 def redundancy_gates(spark, sf):
     """Which condition of a redundancy fails first, over all candidate pairs."""
     o = obligations(spark, sf)
-    pairs = candidates.candidates(o, top_k=None)
-    ends = candidates.with_ends(pairs, o, ["subject", "scope", "technology"])
-    return evaluate.redundancy_gates(ends).groupBy("first_failed").agg(F.count("*").alias("n"))
+    # only pairs that pass the first two are joined with the columns of their ends
+    early = blocks.pairs(o, candidates.THRESHOLD, ids=False).where("not (same_action and same_object)").select(F.when(~F.col("same_action"), "action").otherwise("object").alias("first_failed"))
+    ends = candidates.with_ends(blocks.pairs(o, candidates.THRESHOLD, alike=detect.ALIKE, ids=False), o, ["subject", "scope", "technology"])
+    return early.unionByName(evaluate.redundancy_gates(ends).select("first_failed")).groupBy("first_failed").agg(F.count("*").alias("n"))
 
 
 # Labels about the pairs of sentences of one customer, as rows of a label file: kind, files, a description in words.
