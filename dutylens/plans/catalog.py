@@ -563,7 +563,7 @@ def eval_confusion(spark, sf):
 def eval_redundancy_pairs(spark, sf):
     """Pairs of 0.90 and more, and whether a label has their files."""
     o = obligations(spark, sf)
-    pairs = candidates.with_ends(candidates.candidates(o, top_k=None).select("src_ord", "tgt_ord", "cosine"), o, ["policy_id"])
+    pairs = candidates.with_ends(candidates.candidates(o, 0.90, top_k=None).select("src_ord", "tgt_ord", "cosine"), o, ["policy_id"])
     low, high = evaluate.unordered(F.col("s.policy_id"), F.col("t.policy_id"))
     pairs = pairs.select("src_ord", "tgt_ord", "cosine", F.concat(low, F.lit(".md")).alias("file_a"), F.concat(high, F.lit(".md")).alias("file_b"))
     return evaluate.labelled_redundancies(pairs, evaluate.label_keys(label_rows(spark, sf))).select("src_ord", "tgt_ord", "file_a", "file_b", "labelled")
