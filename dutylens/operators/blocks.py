@@ -163,3 +163,42 @@ def pairs(obligations: DataFrame, threshold: float, across: bool = True, alike:
     names = (", id_low string, id_high string" if ids else "") + ", cosine double, same_policy boolean, " + ", ".join(f"same_{c} boolean" for c in EQUAL)
     more = "".join(f", {s}_{c} {obligations.schema[c].dataType.simpleString()}" for c in ends for s in "st")
     return dealt.mapInArrow(meet, f"src_ord {kind}, tgt_ord {kind}{names}, modality_mismatch boolean, negation_mismatch boolean, n_same int{more}")
+
+
+def array_pairs(rows: DataFrame, by: str, name: str, column: str, threshold: float) -> DataFrame:
+    """(a, b, c): ids (`name`) a < b of rows with one value of `by`, whose arrays have a cosine c of at least threshold > 0.
+
+    A product of matrices leaves out what is clearly below; the rest is summed in the order, and by the formula, of vectors.cosine.
+    """
+    use_workers(rows.sparkSession)
+    d = rows.where(F.col(by).isNotNull() & (F.size(column) > 0)).select(F.col(by).alias("by"), F.col(name).alias("id"), F.col(column).cast("array<double>").alias("x"))
+    sizes = d.groupBy("by").agg(F.count("*").alias("n"))
+    d = d.join(sizes, "by").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    d = d.withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    d = d.select("by", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "x")
+    kind = d.schema["id"].dataType.simpleString()
+
+    def meet(t: pa.Table) -> pa.Table:
+        ids, own, x, two = t["id"].to_numpy(), t["own"].to_numpy(), t["x"].combine_chunks(), t["low"][0] != t["high"][0]
+        length = np.diff(x.offsets.to_numpy())
+        if len(set(length)) > 1:
+            raise ValueError("vectors of different dimension")
+        x = x.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        summed = lambda u, v: np.cumsum(u * v, axis=1)[:, -1]  # noqa: E731  in order
+        norm = np.sqrt(summed(x, x))
+        out = []
+        for s in range(0, len(ids), 512):
+            near = ~(x[s : s + 512] @ x.T < (threshold - 1e-6) * norm[s : s + 512, None] * norm[None, :]) & (ids[s : s + 512, None] < ids[None, :])
+            if two:
+                near &= own[s : s + 512, None] != own[None, :]
+            u, v = np.nonzero(near)
+            for k in range(0, len(u), PIECE):
+                i, j = s + u[k : k + PIECE], v[k : k + PIECE]
+                both = norm[i] * norm[j]
+                c = np.where(both == 0, 0.0, summed(x[i], x[j]) / np.where(both == 0, 1.0, both))
+                c = np.where(np.isnan(c), 1.0, np.clip(c, -1.0, 1.0))  # as least() and greatest() have it
+                out.append((ids[i][c >= threshold], ids[j][c >= threshold], c[c >= threshold]))
+        parts = [np.concatenate(p) for p in zip(*out)] if out else [ids[:0], ids[:0], np.empty(0)]
+        return pa.table({"a": pa.array(parts[0], t["id"].type), "b": pa.array(parts[1], t["id"].type), "c": parts[2]})
+
+    return d.groupBy("by", "low", "high").applyInArrow(meet, f"a {kind}, b {kind}, c double")

@@ -14,7 +14,6 @@ from pyspark.sql.window import Window
 
 from dutylens.functions import lexicon as L
 from dutylens.functions.text import stable_id
-from dutylens.functions.vectors import cosine
 from dutylens.operators import blocks, candidates, corpus, detect, embed, evaluate, extract, ingest, normalize, staleness, verify
 from dutylens.plans import corpora, pipeline
 from dutylens.sources.scratch import written
@@ -284,9 +283,7 @@ def embed_hash_vectors(spark, sf):
 
 @query("""SELECT a, b, round(c, 5) AS cosine FROM (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS c FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id) WHERE c >= 0.3""")
 def cosine_pairs(spark, sf):
-    e = table(spark, sf, "embeddings")
-    side = lambda s: e.select("label", F.col("vec_id").alias(s), F.col("embedding").alias(f"v{s}"))
-    return side("a").join(side("b"), "label").where("a < b").withColumn("c", cosine(F.col("va"), F.col("vb"))).where("c >= 0.3").select("a", "b", F.round("c", 5).alias("cosine"))
+    return blocks.array_pairs(table(spark, sf, "embeddings"), "label", "vec_id", "embedding", 0.3).select("a", "b", F.round("c", 5).alias("cosine"))
 
 
 # ---------------------------------------------------------------- candidates and findings

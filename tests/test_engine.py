@@ -442,3 +442,16 @@ def test_blocked_pairs_are_those_of_the_joins(spark, monkeypatch, block):
         assert got.where("n_same <> int(same_subject) + int(same_action) + int(same_object) + int(same_scope) + int(same_frequency)").isEmpty()
         alike = blocks.pairs(o, 0.55, across, alike=("action", "object"), ids=False, ends=["policy_id"])
         assert sorted((r[0], r[1], r["s_policy_id"], r["t_policy_id"]) for r in alike.collect()) == sorted((w[0], w[1], f"p{w[0] % 7}" if w[0] < 400 else "p1", f"p{w[1] % 7}" if w[1] < 400 else "p1") for w in want if w[7] and w[8])
+
+
+def test_array_pairs_are_those_of_the_column(spark, monkeypatch):
+    """Blocks of arrays give the pairs and the cosines of vectors.cosine, zero and null arrays included."""
+    from dutylens.operators import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK", 20)
+    rng = random.Random(6)
+    rows = [(i, i % 3 if i % 11 else None, [rng.gauss(0, 1) for _ in range(6)]) for i in range(200)] + [(500, 1, [0.0] * 6), (501, 1, None), (502, 2, []), (503, 9, [1.0] * 6)]
+    d = spark.createDataFrame(rows, "id long, label int, x array<float>")
+    side = lambda s: d.select("label", F.col("id").alias(s), F.col("x").alias(f"x{s}"))
+    want = side("a").join(side("b"), "label").where("a < b").select("a", "b", cosine(F.col("xa"), F.col("xb")).alias("c")).where("c >= 0.3")
+    assert sorted(map(tuple, blocks.array_pairs(d, "label", "id", "x", 0.3).collect())) == sorted(map(tuple, want.collect()))
