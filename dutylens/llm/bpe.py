@@ -138,6 +138,11 @@ class Coder:
         """Begin a new generation of known runs; the one before it stays at hand."""
         self.old, self.runs = self.runs, {s: (1, self.number[i], self.names[i]) for s, i in self.special.items()}
 
+    def forget(self) -> None:
+        """Let go of all known runs; the file's tables stay, as building them takes more than they do."""
+        self._turn()
+        self.old = {}
+
     def _learn(self, new: list[str]) -> None:
         """new: runs without blanks. Normal forms and cuts don't reach across blanks, so all are cut in one call."""
         plain = [r.lower() if r.isascii() else self.normalise(r) for r in new] if self.lower else [self.normalise(r) for r in new]
@@ -223,7 +228,7 @@ def encode_documents(docs: DataFrame, path: str, with_text: bool = False) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go("bpe")
         coder = coder_of(path)
-        keep_for("bpe", coder_of.cache_clear)
+        keep_for("bpe", coder.forget)
         for b in (batch.slice(s, 500) for batch in batches for s in range(0, batch.num_rows, 500)):
             texts = b.column(1).to_pylist()
             for i, j in in_pieces(texts):

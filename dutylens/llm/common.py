@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from dutylens.sources.scratch import new_folder, written
 from dutylens.sources.workers import use_workers
 
-__all__ = ["WORD", "components", "free_name", "keep_for", "let_go", "n_words", "new_folder", "use_workers", "with_columns_apart", "written"]
+__all__ = ["WORD", "components", "free_name", "give_back", "keep_for", "let_go", "n_words", "new_folder", "use_workers", "with_columns_apart", "written"]
 
 #: A word: a run of anything but blank, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,6 +36,11 @@ def let_go(operator: str) -> None:
     _last[:] = [operator]
     for k in [k for k in _held if k != operator]:
         _held.pop(k)()
+    give_back()
+
+
+def give_back() -> None:
+    """Called last in a task as well: a worker that waits for its next task holds no memory that nothing uses."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dutylens.llm.common import components, let_go, use_workers, with_columns_apart, written
+from dutylens.llm.common import components, give_back, let_go, use_workers, with_columns_apart, written
 from dutylens.llm.simhash import fingerprint_texts, keep_lowest, links, name_components
 
 ROWS, BANDS = 4, 24
@@ -100,6 +100,8 @@ def shingled(docs: DataFrame, width: int) -> DataFrame:
                 node = np.array([xxh64_intdigest(x, 1) for x in raw], np.uint64).view(np.int64)
                 keys = pa.array([band_keys(x).view(np.int64) for x in sets], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node), pa.array([len(x) for x in sets], pa.int64()), pa.array(fps), keys, pa.array(raw, pa.binary())], names=["doc_id", "node", "n", "fp", "keys", "shingles"])
+        del known
+        give_back()
 
     return d.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, node bigint, n bigint, fp bigint, keys array<bigint>, shingles binary")
 
@@ -176,6 +178,8 @@ def similar_links(rows: DataFrame, similarity: float, radius: int = 3) -> DataFr
                     key, held = k, []
                 held.append(row)
         yield from told()
+        held = []
+        give_back()
 
     return dealt.mapInArrow(meet, "u bigint, v bigint")
 
