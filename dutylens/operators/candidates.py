@@ -7,8 +7,10 @@ is a union of three equi-joins, so no join is a cross product; their equi-keys l
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,8 +18,11 @@ from pyspark.sql.window import Window
 from dutylens.functions.vectors import cosine
 from dutylens.operators import blocks
 from dutylens.sources.scratch import written
+from dutylens.sources.workers import use_workers
 
 THRESHOLD, TOP_K = 0.55, 20
+#: Pairs that one task goes through in order, and of how many the bounds between them are chosen.
+BAND, SAMPLE = 4_000_000, 20_000
 CARRIED = ["ord", "policy_id", "section_id", "obligation_id", "sentence", "subject", "action", "object", "scope", "frequency", "technology", "modality", "negated", "confidence"]
 
 
@@ -81,44 +86,93 @@ def priority() -> list[Column]:
     return [F.col(c).desc() for c in ("modality_mismatch", "negation_mismatch", "cosine", "n_same", "id_low", "id_high")] + [F.col("src_ord").asc(), F.col("tgt_ord").asc()]
 
 
+def _numbered(nodes: DataFrame) -> tuple[DataFrame, int]:
+    """nodes with their places from 0 on (column at), and how many there are."""
+    d = written(nodes.withColumn("n", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("n", 33)
+    sizes = {int(r["part"]): int(r["size"]) for r in d.groupBy(part.alias("part")).agg(F.count("*").alias("size")).collect()}  # one row per partition
+    before = np.cumsum([0] + [sizes.get(i, 0) for i in range(max(sizes, default=0) + 1)]).tolist()
+    start = F.get(F.array(*[F.lit(x) for x in before]), part.cast("int"))
+    return d.withColumn("at", (start + F.col("n").bitwiseAND(F.lit(2**33 - 1))).cast("int")).drop("n"), before[-1]
+
+
+def _through(undecided: DataFrame, count: int) -> Column:
+    """Which pairs are not after a place of the order that about BAND pairs are before; the sample only chooses that place."""
+    keys = ("modality_mismatch", "negation_mismatch", "cosine", "n_same", "id_low", "id_high")
+    some = undecided.select(*keys).sample(min(1.0, SAMPLE / count), seed=7).collect()
+    some = sorted((tuple(r) for r in some or [undecided.select(*keys).first()]), reverse=True)
+    out = F.lit(True)
+    for c, v in reversed(list(zip(keys, some[min(len(some) - 1, len(some) * BAND // count)]))):
+        out = (F.col(c) > F.lit(v)) | ((F.col(c) == F.lit(v)) & out)
+    return out
+
+
+def _passed(band: DataFrame, used: DataFrame | None, busy: int, top_k: int) -> DataFrame:
+    """The pairs of a band that a pass in order keeps; sb and tb number the ends that are bound, used (at, used) says what bands before took."""
+    rows = band.withColumn("used", F.lit(None).cast("long"))
+    if used is not None:
+        rows = rows.unionByName(used.select(F.col("at").alias("sb"), "used"), allowMissingColumns=True)
+    schema = band.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        room = np.full(busy + 1, top_k, np.int64)
+        for b in batches:
+            get = lambda name: b.column(b.schema.get_field_index(name))
+            s, t = (get(c).fill_null(busy).to_numpy(zero_copy_only=False) for c in ("sb", "tb"))
+            state = get("used").is_valid().to_numpy(zero_copy_only=False)
+            room[s[state]] -= get("used").drop_null().to_numpy(zero_copy_only=False)
+            room[busy] = np.iinfo(np.int64).max  # an end that is not bound
+            kept = []
+            for i in np.flatnonzero(~state & (room[s] > 0) & (room[t] > 0)):
+                if room[s[i]] > 0 and room[t[i]] > 0:
+                    room[s[i]] -= 1
+                    room[t[i]] -= 1
+                    room[busy] = np.iinfo(np.int64).max
+                    kept.append(i)
+            if kept:
+                yield b.take(pa.array(kept)).select(schema.names)
+
+    use_workers(band.sparkSession)
+    return rows.repartition(1).sortWithinPartitions(F.col("used").isNull(), *priority()).mapInArrow(run, schema)
+
+
 def capped(pairs: DataFrame, top_k: int) -> DataFrame:
     """The pairs that a pass in order of priority keeps if an obligation may be in top_k pairs at most.
 
-    Rounds: a pair that ranks, among the undecided pairs of both its obligations, within what is left of their
-    capacity is safe, as nothing before it can use that up; then pairs of full obligations go. The first pair of all is
-    safe in every round, so rounds end; nothing reaches the driver but whether any are left. Obligations with top_k
-    pairs or fewer are no constraint, and pairs of two such are kept at once. Pairs and what a round leaves are written
-    to the shared folder, so a plan never grows with the rounds. n obligations that all pair with one another take
-    about n / top_k rounds.
+    Obligations with top_k pairs or fewer are no constraint, and pairs of two such are kept at once. The rest goes through in bands of
+    about BAND pairs, the most urgent first: one task goes through a band in order, knowing only how many pairs each bound obligation has,
+    and pairs of obligations that are full by then leave the rest. So there are as many passes as there are bands among
+    the pairs at most, however pairs depend on one another, and far fewer where obligations fill up. Bands and what they leave are
+    written to the shared folder, so a plan never grows with them; the driver sees counts and a sample for the bounds of the bands.
     """
-    ends = lambda p: p.select(F.col("src_ord").alias("ord")).unionByName(p.select(F.col("tgt_ord").alias("ord")))
+    ends = lambda p, s, t, name: p.select(F.col(s).alias(name)).unionByName(p.select(F.col(t).alias(name)))
     columns = pairs.columns
     pairs = written(pairs, "pairs")
-    degree = ends(pairs).groupBy("ord").agg(F.count("*").alias("n"))
-    busy = written(degree.where(F.col("n") > top_k).select("ord"), "busy")
-    if busy.isEmpty():
+    degree = ends(pairs, "src_ord", "tgt_ord", "ord").groupBy("ord").agg(F.count("*").alias("n"))
+    busy, n_busy = _numbered(degree.where(F.col("n") > top_k).select("ord"))
+    if not n_busy:
         return pairs
-    mark = lambda p, key, name: p.join(busy.select(F.col("ord").alias(key), F.lit(True).alias(name)), key, "left")
-    marked = written(mark(mark(pairs, "src_ord", "sb"), "tgt_ord", "tb").withColumn("free", F.col("sb").isNull() & F.col("tb").isNull()).select(*columns, "free"), "marked")
-    out = marked.where("free").select(columns)
-    undecided = marked.where("not free").select(columns)
-    used = ends(out).groupBy("ord").agg(F.count("*").alias("used"))
-    room = ends(undecided).distinct().join(used, "ord", "left").select("ord", (F.lit(top_k) - F.coalesce("used", F.lit(0))).alias("room")).where("room > 0")
+    mark = lambda p, key, name: p.join(busy.select(F.col("ord").alias(key), F.col("at").alias(name)), key, "left")
+    marked = written(mark(mark(pairs, "src_ord", "sb"), "tgt_ord", "tb").select(*columns, "sb", "tb"), "marked")
+    free = F.col("sb").isNull() & F.col("tb").isNull()
+    out, undecided, used = marked.where(free).select(columns), marked.where(~free), None
     while True:
-        place = Window.partitionBy("ord").orderBy(*priority())
-        sides = undecided.select("*", F.explode(F.array("src_ord", "tgt_ord")).alias("ord"))
-        sides = sides.withColumn("nth", F.row_number().over(place)).join(room, "ord")
-        inside = sides.where("nth <= room").groupBy("src_ord", "tgt_ord").agg(F.count("*").alias("sides")).where("sides = 2")
-        safe = written(undecided.join(inside.drop("sides"), ["src_ord", "tgt_ord"]).select(columns), "safe")
-        if safe.isEmpty():
+        count = undecided.count()
+        if not count:
+            return out
+        last = count <= BAND
+        now = F.lit(True) if last else _through(undecided, count)
+        kept = written(_passed(undecided.where(now), used, n_busy, top_k), "kept")
+        out = out.unionByName(kept.select(columns))
+        if last:
             return out
-        out = out.unionByName(safe)
-        used = ends(safe).groupBy("ord").agg(F.count("*").alias("used"))
-        room = written(room.join(used, "ord", "left").select("ord", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room")).where("room > 0"), "room")
-        rest = undecided.join(safe.select("src_ord", "tgt_ord"), ["src_ord", "tgt_ord"], "left_anti")
-        for key in ("src_ord", "tgt_ord"):
-            rest = rest.join(room.select(F.col("ord").alias(key)), key, "left_semi")
-        undecided = written(rest.select(columns), "undecided")
+        more = ends(kept, "sb", "tb", "at").where("at is not null").groupBy("at").agg(F.count("*").alias("used"))
+        used = written(more if used is None else more.unionByName(used).groupBy("at").agg(F.sum("used").alias("used")), "used")
+        full = used.where(F.col("used") >= top_k)
+        rest = undecided.where(~now)
+        for key in ("sb", "tb"):
+            rest = rest.join(full.select(F.col("at").alias(key)), key, "left_anti")
+        undecided = written(rest.select(*columns, "sb", "tb"), "undecided")
 
 
 def ordered(pairs: DataFrame) -> DataFrame:

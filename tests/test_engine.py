@@ -142,6 +142,26 @@ def test_cap_equals_a_pass_in_order(spark, seed, k):
     assert {(r["src_ord"], r["tgt_ord"]) for r in candidates.capped(d, k).collect()} == want
 
 
+@pytest.mark.parametrize("band", [40, 400, 4_000_000])
+def test_cap_takes_few_passes(spark, monkeypatch, band):
+    """All pairs of 90 alike, so that each depends on those before it: rounds of safe pairs would be 45 (two ends at a time)."""
+    n, k, tables = 90, 2, []
+    d = spark.range(n).select(F.col("id").alias("src_ord")).crossJoin(spark.range(n).select(F.col("id").alias("tgt_ord"))).where("src_ord < tgt_ord").selectExpr(
+        "src_ord", "tgt_ord", "format_string('o%02d', src_ord) as id_low", "format_string('o%02d', tgt_ord) as id_high", "0.75d as cosine", "src_ord % 9 = 0 as modality_mismatch", "false as negation_mismatch", "1 as n_same",
+    )
+    rows = sorted([tuple(r) for r in d.collect()], key=lambda r: (r[5], r[2], r[3]), reverse=True)
+    degree, want = dict.fromkeys(range(n), 0), set()
+    for a, b, *_ in rows:
+        if degree[a] < k and degree[b] < k:
+            want.add((a, b))
+            degree[a], degree[b] = degree[a] + 1, degree[b] + 1
+    monkeypatch.setattr(candidates, "BAND", band)
+    real = candidates.written
+    monkeypatch.setattr(candidates, "written", lambda df, name: tables.append(name) or real(df, name))
+    assert {(r["src_ord"], r["tgt_ord"]) for r in candidates.capped(d, k).collect()} == want
+    assert len(tables) <= 3 + 3 * (1 + len(rows) // band // 2)
+
+
 def test_candidates_and_findings(spark):
     texts = [
         "Employees must rotate database keys every 30 days.", "Employees must not rotate database keys.", "Employees must rotate database keys every 90 days.", "Employees should rotate database keys every 30 days.",
