@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dutylens.sources.scratch import new_folder, written
+from dutylens.sources.scratch import new_folder, passing, written
 from dutylens.sources.workers import use_workers
 
-__all__ = ["WORD", "components", "free_name", "give_back", "keep_for", "let_go", "n_words", "new_folder", "use_workers", "with_columns_apart", "written"]
+__all__ = ["WORD", "components", "free_name", "give_back", "keep_for", "let_go", "n_words", "new_folder", "passing", "use_workers", "with_columns_apart", "written"]
 
 #: A word: a run of anything but blank, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"

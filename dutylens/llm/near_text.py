@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dutylens.llm.common import components, give_back, let_go, use_workers, with_columns_apart, written
+from dutylens.llm.common import components, give_back, let_go, passing, use_workers, with_columns_apart, written
 from dutylens.llm.simhash import fingerprint_texts, keep_lowest, links, name_components
 
 ROWS, BANDS = 4, 24
@@ -77,10 +77,19 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return keys
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, t1, t2): 128 bits name a text."""
+    d = with_columns_apart(docs, ["doc_id", "text"]).select("doc_id", F.col("text").cast("string").alias("text"))
+    return d.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
+
+
 def shingled(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, node, n, fp, keys, shingles) of every row: node names the set, n counts it, fp is its SimHash, shingles are its bytes."""
+    """(doc_id, t1, t2, node, n, fp, keys) of every row: node names the set of shingles, n counts it, fp is its SimHash; t1 and t2 as of _texts.
+
+    The set itself takes more room than the text, so it is made again where it is compared.
+    """
     use_workers(docs.sparkSession)
-    d = with_columns_apart(docs, ["doc_id", "text"])
+    d = _texts(docs)
     kind = d.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,14 +105,38 @@ def shingled(docs: DataFrame, width: int) -> DataFrame:
                 texts = part.column(1).cast(pa.binary()).to_pylist()
                 fps = fingerprint_texts(texts, width).view(np.int64)
                 sets = [shingle_set(t, width, known) for t in texts]
-                raw = [x.tobytes() for x in sets]
-                node = np.array([xxh64_intdigest(x, 1) for x in raw], np.uint64).view(np.int64)
+                node = np.array([xxh64_intdigest(x.tobytes(), 1) for x in sets], np.uint64).view(np.int64)
+                keys = pa.array([band_keys(x).view(np.int64) for x in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(node), pa.array([len(x) for x in sets], pa.int64()), pa.array(fps), keys], names=["doc_id", "t1", "t2", "node", "n", "fp", "keys"])
+        del known
+        give_back()
+
+    return d.mapInArrow(run, f"doc_id {kind}, t1 bigint, t2 bigint, node bigint, n bigint, fp bigint, keys array<bigint>")
+
+
+def member_sets(docs: DataFrame, rows: DataFrame, groups: DataFrame, width: int) -> DataFrame:
+    """groups (node, root, fp, blocks) with keys and shingles, made from the text of one row of each node."""
+    one = rows.select("node", F.struct("doc_id", "t1", "t2").alias("one")).join(groups, "node").groupBy("node", "root", "fp", "blocks").agg(F.min("one").alias("one"))
+    one = one.select("node", "root", "fp", "blocks", F.col("one.doc_id").alias("id"), F.col("one.t1").alias("h1"), F.col("one.t2").alias("h2"))
+    # members grow with the table, so this is a sort-merge join at every size and never a broadcast
+    found = _texts(docs).join(one.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t1") == F.col("h1")) & (F.col("t2") == F.col("h2")))
+    found = found.dropDuplicates(["node"]).select("node", "root", "fp", "blocks", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go("near")
+        known: dict[bytes, int] = {}
+        for b in batches:
+            for s in range(0, b.num_rows, 200):
+                part = b.slice(s, 200)
+                if len(known) > WORDS_KEPT:
+                    known.clear()
+                sets = [shingle_set(t, width, known) for t in part.column(4).cast(pa.binary()).to_pylist()]
                 keys = pa.array([band_keys(x).view(np.int64) for x in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node), pa.array([len(x) for x in sets], pa.int64()), pa.array(fps), keys, pa.array(raw, pa.binary())], names=["doc_id", "node", "n", "fp", "keys", "shingles"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], keys, pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "root", "fp", "blocks", "keys", "shingles"])
         del known
         give_back()
 
-    return d.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, node bigint, n bigint, fp bigint, keys array<bigint>, shingles binary")
+    return found.mapInArrow(run, "node bigint, root bigint, fp bigint, blocks int, keys array<bigint>, shingles binary")
 
 
 def similar_pairs(side: np.ndarray, sets: list[np.ndarray], fps: np.ndarray, keys: np.ndarray, similarity: float, radius: int) -> tuple[list[int], list[int]]:
@@ -142,7 +175,7 @@ def print_links(nodes: DataFrame, radius: int) -> DataFrame:
     return far.unionByName(nodes.join(low.hint("merge"), "fp").select(F.col("node").alias("u"), F.col("low").alias("v")))
 
 
-def similar_links(rows: DataFrame, similarity: float, radius: int = 3) -> DataFrame:
+def similar_links(docs: DataFrame, rows: DataFrame, width: int, similarity: float, radius: int = 3) -> DataFrame:
     """(u, v): links between nodes that join exactly what candidate pairs of `similarity` join. rows: as of shingled."""
     spark = rows.sparkSession
     nodes = written(rows.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.min("fp").alias("fp"), F.first("keys").alias("keys")), "near-keys")
@@ -153,7 +186,7 @@ def similar_links(rows: DataFrame, similarity: float, radius: int = 3) -> DataFr
     groups = written(groups.join(nodes.select("node", "n", "fp"), "node"), "near-members")
     blocks = groups.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     groups = groups.select("node", "root", "fp").join(blocks, "root")
-    sets = rows.select("node", "keys", "shingles").join(groups, "node").dropDuplicates(["node"])
+    sets = member_sets(docs, rows, groups, width)
     own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
     dealt = written(sets, "near-sets").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("k"), "own", "node", "keys", "shingles", "fp")
@@ -187,9 +220,12 @@ def similar_links(rows: DataFrame, similarity: float, radius: int = 3) -> DataFr
 def link_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """Per document: doc_id, node, component_id (the smallest doc_id reachable over links, its own included)."""
     rows = written(shingled(docs, width), "near-shingles")
-    return name_components(rows.select("doc_id", "node"), "node", similar_links(rows, similarity), "near")
+    return name_components(rows.select("doc_id", "node"), "node", similar_links(docs, rows, width, similarity), "near")
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs, with their columns, of one document from each component: that of the smallest doc_id."""
-    return keep_lowest(docs, written(link_similar(docs, width, similarity), "near-components"))
+    with passing(docs.sparkSession) as made:
+        found = written(link_similar(docs, width, similarity), "near-components")
+        made.pop()  # this one stays
+    return keep_lowest(docs, found)

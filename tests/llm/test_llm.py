@@ -1000,3 +1000,27 @@ def test_workers_let_go_of_what_others_keep():
     common.let_go("two")
     common.let_go("two")
     assert gone == ["one"]
+
+
+def test_near_duplicates_leave_little_on_disk(spark, tmp_path, monkeypatch):
+    """Sets of shingles are stored for the members of groups only, and what the stage wrote goes at its end."""
+    import corpus_pipeline
+    from dutylens.llm import near_text
+    from dutylens.sources import scratch
+
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join([*words, "more"]), *[" ".join(f"x{i}y{k}" for k in range(60)) for i in range(30)], None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    seen: dict[str, tuple[list[str], int]] = {}
+
+    def spied(df, name):
+        out = scratch.written(df, name)
+        seen[name] = (out.columns, out.count())
+        return out
+
+    monkeypatch.setattr(near_text, "written", spied)
+    monkeypatch.setattr(scratch, "shared_folder", lambda _: str(tmp_path))
+    got = corpus_pipeline.without_near_duplicates(spark, docs, "")
+    assert sorted(r["doc_id"] for r in got.collect()) == [i for i in range(len(texts)) if i not in (1, len(texts) - 1)]
+    assert "shingles" not in seen["near-shingles"][0] and seen["near-sets"][1] == 2
+    assert {f.name.rsplit("-", 1)[0] for f in tmp_path.iterdir()} == {"near-components", "simhash-kept"}
