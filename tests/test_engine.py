@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import sys
+import time
 import zipfile
 from datetime import date
 
@@ -475,3 +476,14 @@ def test_array_pairs_are_those_of_the_column(spark, monkeypatch):
     side = lambda s: d.select("label", F.col("id").alias(s), F.col("x").alias(f"x{s}"))
     want = side("a").join(side("b"), "label").where("a < b").select("a", "b", cosine(F.col("xa"), F.col("xb")).alias("c")).where("c >= 0.3")
     assert sorted(map(tuple, blocks.array_pairs(d, "label", "id", "x", 0.3).collect())) == sorted(map(tuple, want.collect()))
+
+def test_units_of_lines(spark):
+    """As the rules say, and in time that grows with the lines: a section may be one long list."""
+    parts = lambda lines: spark.createDataFrame([(lines,)], "l array<string>").select(ingest.units(F.col("l"))).first()[0]
+    assert parts([]) == []
+    assert parts(["a", "b.", "c", "- d", "-", "e", "2. f!", "+ g", "h?", "i"]) == ["a b.", "c", "d", " e", "f!", "g h?", "i"]
+    assert parts(["+x", "-y", "* ", "+ z.", "+ w"]) == ["+x -y", "", "z.", "w"]
+    many = [f"- line {i}" for i in range(60_000)]
+    began = time.perf_counter()
+    assert parts(many) == [x[2:] for x in many]
+    assert time.perf_counter() - began < 10
