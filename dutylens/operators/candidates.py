@@ -1,12 +1,13 @@
 """Candidate pairs of obligations: blocked self-join, similarity, flags, priority, and a cap per obligation.
 
 Obligations need ord (a unique number in the order of the input). An obligation pairs with one of its own topic that
-shares its action, its object or a technology. Hashed vectors are compared by blocks (blocks.py). For an encoder's vectors that OR
+shares its action, its object or a technology. Hashed vectors are compared by blocks (blocks.py), under a cap those of large groups in bands. For an encoder's vectors that OR
 is a union of three equi-joins, so no join is a cross product; their equi-keys let adaptive execution split a frequent action.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -23,6 +24,8 @@ from dutylens.sources.workers import use_workers
 THRESHOLD, TOP_K = 0.55, 20
 #: Pairs that one task goes through in order, and of how many the bounds between them are chosen.
 BAND, SAMPLE = 4_000_000, 20_000
+#: Of how many pairs a band's size is estimated where pairs are not listed.
+DRAWN = 400
 CARRIED = ["ord", "policy_id", "section_id", "obligation_id", "sentence", "subject", "action", "object", "scope", "frequency", "technology", "modality", "negated", "confidence"]
 
 
@@ -67,8 +70,12 @@ def candidates(
     if top_k is not None and top_k <= 0:
         raise ValueError("top_k must be positive or None")
     if "vector" in obligations.columns:
-        pairs = blocks.pairs(obligations, threshold, include_same_policy, alike)
-        return capped(pairs, top_k) if top_k else pairs
+        if not top_k:
+            return blocks.pairs(obligations, threshold, include_same_policy, alike)
+        large = blocks.Large(obligations, threshold, include_same_policy, alike)
+        if not large.any:
+            return capped(blocks.pairs(obligations, threshold, include_same_policy, alike), top_k)
+        return capped(blocks.pairs(obligations, threshold, include_same_policy, alike, without=large.keys), top_k, large)
     columns = [c for c in CARRIED if c in obligations.columns and c not in ("sentence", "section_id", "technology", "confidence")] + ["embedding"]
     pairs = with_ends(anchored(obligations, include_same_policy), obligations, columns)
     pairs = pairs.withColumn("cosine", cosine(F.col("s.embedding"), F.col("t.embedding"))).where(F.col("cosine") >= threshold)
@@ -98,15 +105,27 @@ def _numbered(nodes: DataFrame) -> tuple[DataFrame, int]:
 
 def _through(undecided: DataFrame, count: int) -> Column:
     """Which pairs are not after a place of the order that about BAND pairs are before; the sample only chooses that place."""
-    keys = ("modality_mismatch", "negation_mismatch", "cosine", "n_same", "id_low", "id_high")
+    keys = (*blocks.URGENCY, "id_high")
     some = undecided.select(*keys).sample(min(1.0, SAMPLE / count), seed=7).collect()
     some = sorted((tuple(r) for r in some or [undecided.select(*keys).first()]), reverse=True)
+    return _not_after(keys, some[min(len(some) - 1, len(some) * BAND // count)])
+
+
+def _not_after(keys: Sequence[str], bound: tuple) -> Column:
     out = F.lit(True)
-    for c, v in reversed(list(zip(keys, some[min(len(some) - 1, len(some) * BAND // count)]))):
+    for c, v in reversed(list(zip(keys, bound))):
         out = (F.col(c) > F.lit(v)) | ((F.col(c) == F.lit(v)) & out)
     return out
 
 
+def _bound(undecided: DataFrame, large: blocks.Large, after: blocks.Bound | None) -> blocks.Bound | None:
+    """The place of the order that about BAND pairs after `after` are before; None if there are not so many."""
+    rate = min(1.0, DRAWN / BAND)
+    drawn = large.sample(rate, after).unionByName(undecided.select(*blocks.URGENCY).sample(rate, seed=7))
+    some = drawn.orderBy(*[F.desc(c) for c in blocks.URGENCY]).limit(max(2, int(BAND * rate))).collect()
+    return tuple(some[-1]) if len(some) == max(2, int(BAND * rate)) else None
+
+
 def _passed(band: DataFrame, used: DataFrame | None, busy: int, top_k: int) -> DataFrame:
     """The pairs of a band that a pass in order keeps; sb and tb number the ends that are bound, used (at, used) says what bands before took."""
     rows = band.withColumn("used", F.lit(None).cast("long"))
@@ -115,7 +134,8 @@ def _passed(band: DataFrame, used: DataFrame | None, busy: int, top_k: int) -> D
     schema = band.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        room = np.full(busy + 1, top_k, np.int64)
+        left = array("q", [top_k]) * (busy + 1)  # one by one it is read faster than numpy's
+        room = np.frombuffer(left, np.int64)
         for b in batches:
             get = lambda name: b.column(b.schema.get_field_index(name))
             s, t = (get(c).fill_null(busy).to_numpy(zero_copy_only=False) for c in ("sb", "tb"))
@@ -123,11 +143,11 @@ def _passed(band: DataFrame, used: DataFrame | None, busy: int, top_k: int) -> D
             room[s[state]] -= get("used").drop_null().to_numpy(zero_copy_only=False)
             room[busy] = np.iinfo(np.int64).max  # an end that is not bound
             kept = []
-            for i in np.flatnonzero(~state & (room[s] > 0) & (room[t] > 0)):
-                if room[s[i]] > 0 and room[t[i]] > 0:
-                    room[s[i]] -= 1
-                    room[t[i]] -= 1
-                    room[busy] = np.iinfo(np.int64).max
+            at = np.flatnonzero(~state & (room[s] > 0) & (room[t] > 0))
+            for i, a, z in zip(at.tolist(), s[at].tolist(), t[at].tolist()):
+                if left[a] > 0 and left[z] > 0:
+                    left[a] -= 1
+                    left[z] -= 1
                     kept.append(i)
             if kept:
                 yield b.take(pa.array(kept)).select(schema.names)
@@ -136,7 +156,7 @@ def _passed(band: DataFrame, used: DataFrame | None, busy: int, top_k: int) -> D
     return rows.repartition(1).sortWithinPartitions(F.col("used").isNull(), *priority()).mapInArrow(run, schema)
 
 
-def capped(pairs: DataFrame, top_k: int) -> DataFrame:
+def capped(pairs: DataFrame, top_k: int, large: blocks.Large | None = None) -> DataFrame:
     """The pairs that a pass in order of priority keeps if an obligation may be in top_k pairs at most.
 
     Obligations with top_k pairs or fewer are no constraint, and pairs of two such are kept at once. The rest goes through in bands of
@@ -144,25 +164,39 @@ def capped(pairs: DataFrame, top_k: int) -> DataFrame:
     and pairs of obligations that are full by then leave the rest. So there are as many passes as there are bands among
     the pairs at most, however pairs depend on one another, and far fewer where obligations fill up. Bands and what they leave are
     written to the shared folder, so a plan never grows with them; the driver sees counts and a sample for the bounds of the bands.
+
+    large: groups whose pairs are not among the given ones, as they grow with the square of a group. They are made band by band, and
+    only of obligations that are not full by then; all obligations in such groups count as bound.
     """
     ends = lambda p, s, t, name: p.select(F.col(s).alias(name)).unionByName(p.select(F.col(t).alias(name)))
     columns = pairs.columns
     pairs = written(pairs, "pairs")
     degree = ends(pairs, "src_ord", "tgt_ord", "ord").groupBy("ord").agg(F.count("*").alias("n"))
-    busy, n_busy = _numbered(degree.where(F.col("n") > top_k).select("ord"))
+    bound = degree.where(F.col("n") > top_k).select("ord")
+    busy, n_busy = _numbered(bound if large is None else bound.unionByName(large.rows.select("ord")).distinct())
     if not n_busy:
         return pairs
+    if large is not None:
+        large.number(busy)
     mark = lambda p, key, name: p.join(busy.select(F.col("ord").alias(key), F.col("at").alias(name)), key, "left")
     marked = written(mark(mark(pairs, "src_ord", "sb"), "tgt_ord", "tb").select(*columns, "sb", "tb"), "marked")
     free = F.col("sb").isNull() & F.col("tb").isNull()
-    out, undecided, used = marked.where(free).select(columns), marked.where(~free), None
+    out, undecided, used, after = marked.where(free).select(columns), marked.where(~free), None, None
     while True:
-        count = undecided.count()
-        if not count:
-            return out
-        last = count <= BAND
-        now = F.lit(True) if last else _through(undecided, count)
-        kept = written(_passed(undecided.where(now), used, n_busy, top_k), "kept")
+        if large is None:
+            count = undecided.count()
+            if not count:
+                return out
+            last = count <= BAND
+            now = F.lit(True) if last else _through(undecided, count)
+            band = undecided.where(now)
+        else:
+            until = _bound(undecided, large, after)
+            last = until is None
+            now = F.lit(True) if last else _not_after(blocks.URGENCY, until)
+            band = undecided.where(now).unionByName(large.band(after, until).withColumnsRenamed({"s_at": "sb", "t_at": "tb"}))
+            after = until
+        kept = written(_passed(band, used, n_busy, top_k), "kept")
         out = out.unionByName(kept.select(columns))
         if last:
             return out
@@ -173,6 +207,8 @@ def capped(pairs: DataFrame, top_k: int) -> DataFrame:
         for key in ("sb", "tb"):
             rest = rest.join(full.select(F.col("at").alias(key)), key, "left_anti")
         undecided = written(rest.select(*columns, "sb", "tb"), "undecided")
+        if large is not None:
+            large.drop(full)
 
 
 def ordered(pairs: DataFrame) -> DataFrame:

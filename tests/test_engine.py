@@ -13,7 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from dutylens.functions.vectors import cosine
-from dutylens.operators import candidates, corpus, detect, embed, evaluate, extract, ingest, normalize, staleness, verify
+from dutylens.operators import blocks, candidates, corpus, detect, embed, evaluate, extract, ingest, normalize, staleness, verify
 from dutylens.plans import pipeline
 from dutylens.sources import documents as sources
 
@@ -163,6 +163,37 @@ def test_cap_takes_few_passes(spark, monkeypatch, band):
     assert len(tables) <= 3 + 3 * (1 + len(rows) // band // 2)
 
 
+@pytest.mark.parametrize("seed, k, across", [(1, 2, True), (2, 3, False)])
+def test_cap_lists_no_large_group(spark, monkeypatch, seed, k, across):
+    """Large groups under a cap: the pairs of a pass in order over all of them, which are never written all at once."""
+    rng = random.Random(seed)
+    some = lambda *v: rng.choice(v)
+    texts = [f"{some('Staff', 'Admins')} {some('must', 'must not', 'should', 'may')} {some('rotate', 'review', 'copy')} {some('file', 'key')} {rng.randint(0, 9)}{some('', ' using WEP', ' using SHA-1 and WEP')}{some('', ' every 30 days')}." for _ in range(150)]
+    o = pipeline.obligations_of(obligations(spark, texts, [i % 7 for i in range(150)])).persist()
+    every = candidates.candidates(o, 0.55, None, across).collect()
+    urgency = lambda r: (r["modality_mismatch"], r["negation_mismatch"], r["cosine"], r["n_same"], r["id_low"], r["id_high"])
+    degree, want = {}, set()
+    for r in sorted(sorted(every, key=lambda r: (r["src_ord"], r["tgt_ord"])), key=urgency, reverse=True):
+        a, b = r["src_ord"], r["tgt_ord"]
+        if degree.get(a, 0) < k and degree.get(b, 0) < k:
+            want.add(tuple(r[c] for c in every[0].__fields__))
+            degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+    for name, value in (("BLOCK", 10), ("LISTED", 12)):
+        monkeypatch.setattr(blocks, name, value)
+    monkeypatch.setattr(candidates, "BAND", 60)
+    sizes, real = [], candidates.written
+
+    def counted(df, name):
+        d = real(df, name)
+        sizes.append(d.count())
+        return d
+
+    monkeypatch.setattr(candidates, "written", counted)
+    got = candidates.candidates(o, 0.55, k, across).select(*every[0].__fields__).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert max(sizes) < len(every) / 4 and len(sizes) > 6
+
+
 def test_candidates_and_findings(spark):
     texts = [
         "Employees must rotate database keys every 30 days.", "Employees must not rotate database keys.", "Employees must rotate database keys every 90 days.", "Employees should rotate database keys every 30 days.",
