@@ -413,6 +413,41 @@ def test_a_stage_that_fails_ends_nothing(spark, monkeypatch, stage, owner, name)
     assert kinds.get("STALE_POLICY", 0) == (0 if stage == "staleness" else 5)
 
 
+@pytest.mark.parametrize("stage, owner, name", [
+    ("embeddings", embed, "embed"), ("corpus_frequency", corpus, "corpus_frequency"), ("candidates", candidates, "candidates"), ("detection", detect, "findings"),
+    ("staleness", staleness, "stale_references"), ("llm", verify, "verify"),
+])
+def test_a_failure_is_no_result(spark, monkeypatch, stage, owner, name):
+    """The queries give counts of findings only, so a stage that fails ends them; elsewhere the statistics name it."""
+    from dutylens.plans import catalog
+
+    def fails(d, *args, **kw):
+        if stage in ("embeddings", "candidates"):
+            return d.select(F.raise_error(F.lit("out of order")).alias("x"))
+        raise RuntimeError("out of order")
+
+    monkeypatch.setattr(catalog.corpora, "policy_documents", lambda spark, sf: documents(spark, 2))
+    monkeypatch.setattr(owner, name, fails)
+    with pytest.raises(pipeline.StageFailed, match=rf"^\[{stage}\]: .*out of order"):
+        catalog.analyze_documents(spark, "")
+    if stage != "llm":  # what is called in its place is the same function here
+        r = pipeline.analyze_table(documents(spark, 2), today=date(2026, 1, 1))
+        assert r.stages_failed == r.statistics.first()["stages_failed"] == [stage]
+
+
+def test_a_document_without_text_failed(spark, monkeypatch):
+    from dutylens.plans import catalog
+
+    rows = documents(spark, 2).unionByName(spark.createDataFrame([(7, "/p7.md", None)], "doc long, path string, raw string"))
+    r = pipeline.analyze_table(rows, today=date(2026, 1, 1))
+    s = r.statistics.first()
+    assert (s["documents_received"], s["policies_processed"], s["documents_failed"]) == (3, 2, 1) and r.policies.count() == 2
+    assert ["/p7.md" in w["warning"] and "no text" in w["warning"] for w in r.warnings.collect()] == [True] and s["stages_failed"] == r.stages_failed == []
+    monkeypatch.setattr(catalog.corpora, "policy_documents", lambda spark, sf: rows)
+    with pytest.raises(pipeline.StageFailed, match="no text"):
+        catalog.analyze_documents(spark, "")
+
+
 def test_results_and_labels(spark, tmp_path):
     """Results are written in both formats, labels are read as text."""
     r = pipeline.analyze_table(documents(spark, 2), today=date(2026, 1, 1), provider=Model())
