@@ -428,8 +428,9 @@ def test_a_failure_is_no_result(spark, monkeypatch, stage, owner, name):
 
     monkeypatch.setattr(catalog.corpora, "policy_documents", lambda spark, sf: documents(spark, 2))
     monkeypatch.setattr(owner, name, fails)
-    with pytest.raises(pipeline.StageFailed, match=rf"^\[{stage}\]: .*out of order"):
-        catalog.analyze_documents(spark, "")
+    for query in (catalog.analyze_documents, catalog.analyze_documents_capped):
+        with pytest.raises(pipeline.StageFailed, match=rf"^\[{stage}\]: .*out of order"):
+            query(spark, "")
     if stage != "llm":  # what is called in its place is the same function here
         r = pipeline.analyze_table(documents(spark, 2), today=date(2026, 1, 1))
         assert r.stages_failed == r.statistics.first()["stages_failed"] == [stage]
