@@ -113,6 +113,22 @@ def test_hash_vectors(spark):
         assert math.isclose(sum(x * x for x in r["e"]), 1.0 if want else 0.0, abs_tol=1e-5)
 
 
+def test_hash_vectors_in_batches(spark, monkeypatch):
+    """As columns and plain Python have them, whatever a worker still knows; features of a row cost no square of their number."""
+    texts = ["employees | rotate keys | every 90 days", "a", "", "TLS 1.2 tls 1.2 TLS 1.2", "x-y.z \u00e9 w", "\u212aey \u0130d", None]
+    rows = [(i, t, [t], i % 2 == 0) for i, t in enumerate(texts * 3)]
+    monkeypatch.setattr(embed, "KNOWN", 3)
+    d = spark.createDataFrame(rows, "ord long, t string, l array<string>, b boolean").where("t is not null").repartition(2)
+    got = embed.with_hash_vectors(d, "t")
+    assert got.columns == [*d.columns, "vector"]
+    got = got.withColumn("again", embed.hash_vector(F.col("t"))).collect()
+    assert len(got) == 18 and all(r["vector"] == r["again"] and r["l"] == [r["t"]] and r["b"] == (r["ord"] % 2 == 0) for r in got)
+    assert all(dict(zip(r["vector"]["idx"], r["vector"]["val"])) == vector(r["t"]) for r in got if r["t"].isascii())
+    long = spark.createDataFrame([(" ".join(f"w{k}" for k in range(30_000)),)], "t string")
+    began = time.perf_counter()
+    assert embed.with_hash_vectors(long, "t").first()["vector"]["sq"] > 0 and time.perf_counter() - began < 10
+
+
 def test_encoder_plugs_in(spark):
     o = normalize.normalize(extract.extract(obligations(spark, ["A must run.", "B must stop."])))
     r = embed.embed(o, lambda ts: [[3.0, 4.0] for _ in ts]).collect()
