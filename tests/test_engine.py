@@ -244,6 +244,40 @@ def test_near_texts_are_complete(spark):
     assert {(name[r["a"]], name[r["b"]]) for r in corpus.near_texts(d, 0.9).collect()} == want and want
 
 
+@pytest.mark.parametrize("threshold", [0.9, 0.95])
+def test_near_texts_by_two_and_three_places(spark, threshold):
+    """Both ways find all pairs, vectors that one or two places dominate included, and three let fewer texts meet."""
+    rng = random.Random(9)
+    base = [1] * 30
+    rows = [dict(enumerate(base))]
+    for _ in range(60):  # near ones and others, multiples, and some of few or heavy places
+        rows.append({k + (rng.random() < 0.06): v for k, v in enumerate(base)} | {40 + rng.randint(0, 60): 1 for _ in range(rng.randint(0, 2))})
+        rows.append({rng.randint(0, 40): rng.choice([-1, 1, 1, 2, 3]) for _ in range(rng.randint(1, 12))})
+        rows.append({rng.randint(0, 4): 9, rng.randint(5, 8): rng.choice([1, 9, 18])} | {10 + rng.randint(0, 90): 1 for _ in range(rng.randint(0, 3))})
+        rows.append({k: 2 * v for k, v in rng.choice(rows).items()})
+    rows = list({tuple(sorted(r.items())): r for r in rows}.values())
+    kind = f"id long, vector {embed.VECTOR}"
+    d = spark.createDataFrame([(i, (sorted(r), [r[k] for k in sorted(r)], sum(v * v for v in r.values()))) for i, r in enumerate(rows)], kind)
+    sq = [sum(v * v for v in r.values()) for r in rows]
+    want = {(i, j) for i, a in enumerate(rows) for j, b in enumerate(rows) if i < j and sum(v * b.get(k, 0) for k, v in a.items()) / math.sqrt(sq[i] * sq[j]) >= threshold}
+    for shared in (2, 3):
+        got = [tuple(r) for r in corpus.sparse_candidates(d, threshold, shared).collect()]
+        assert want <= set(got) and len(set(got)) == len(got) and all(a < b for a, b in got) and len(want) > 200, shared
+
+
+def test_near_texts_of_many_meet_by_three(spark, monkeypatch):
+    """Where many texts share two rare places, three are asked for."""
+    rng = random.Random(10)
+    rows = [(i, (sorted(v), [1] * 20, 20)) for i, v in enumerate(rng.sample(range(60), 20) for _ in range(3000))]
+    d, asked = spark.createDataFrame(rows, f"id long, vector {embed.VECTOR}"), []
+    chosen = corpus._chosen
+    monkeypatch.setattr(corpus, "_chosen", lambda p, n: asked.append(n) or chosen(p, n))
+    monkeypatch.setattr(corpus, "SHUFFLED", 1)
+    corpus.sparse_candidates(d, 0.95)
+    corpus.sparse_candidates(d.limit(20), 0.95)
+    assert asked == [2, 3, 2]  # keys of two are only listed where there is need
+
+
 def test_staleness(spark):
     today = date(2026, 7, 12)
     rows = [("a", "A", date(2025, 1, 10)), ("b", "B", date(2025, 1, 9)), ("c", "C", None), ("d", "D", date(2024, 8, 27))]
